@@ -1,0 +1,225 @@
+"""Review, area and document tables derived from the star-schema test tables.
+
+Each table grows with its source: one plan per customer, one area per customer,
+one polygon and one plan name per part, one document per order.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from planlens.functions.geo import POINT
+from planlens.operators.areas import union_search
+from planlens.operators.reshape import cell_max
+from planlens.operators.review import review_long
+from planlens.questions import FIRST_ANSWER, N_QUESTIONS, question_key
+
+PLANS_PER_SHEET = 20
+AREAS_PER_PLAN = 8
+
+# Name endings that the name shortening knows.
+NAME_TERMS = [
+    "Marine Protected Area",
+    "Marine Reserve",
+    "National Park",
+    "Marine Park",
+    "Biosphere Reserve",
+    "National Marine Sanctuary",
+    "Marine National Monument",
+    "Conservation Area",
+    "Ecological Station",
+    "National Wildlife Refuge",
+    "Parks and ",
+]
+
+LANGUAGES = ["english", "spanish", "french", "portuguese", "english"]
+
+
+def _stat_entry(n: Column) -> Column:
+    h = (F.col("c_custkey") * 31 + n * n * 17 + F.floor(F.abs(F.col("c_acctbal")))) % 11
+    planned = n.between(31, 33)
+    coded = (
+        F.when(h <= 3, "1")
+        .when(h <= 7, "0")
+        .when(h == 8, F.when(n.between(34, 47), "0.5").otherwise("0"))
+        .when(h == 9, F.when(planned, "Planned").otherwise("1"))
+        .otherwise(F.when(planned | n.between(50, 59), F.lit(None)).otherwise("0"))
+    )
+    language = F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return F.when(n == 3, F.col("n_name")).when(n == 4, language).otherwise(coded)
+
+
+def _box(lon: Column, lat: Column, width: Column) -> Column:
+    corners = [(lon, lat), (lon + width, lat), (lon + width, lat + width), (lon, lat + width), (lon, lat)]
+    return F.array(*[F.struct(x.alias("lon"), y.alias("lat")).cast(POINT) for x, y in corners])
+
+
+@dataclass(frozen=True)
+class Testbed:
+    """The tables below one folder of the test data."""
+
+    spark: SparkSession
+    folder: str
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def answers(self) -> DataFrame:
+        """plan_id, name, type, q_id, q_num, entry: both record types of every plan."""
+        customers = self.table("customer").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        number = F.explode(F.sequence(F.lit(FIRST_ANSWER), F.lit(N_QUESTIONS))).alias("q_num")
+        stat = customers.select(
+            "c_custkey", "c_name", "c_acctbal", "c_mktsegment", "n_name", number
+        ).withColumn("_stat", _stat_entry(F.col("q_num")))
+        text = F.concat(F.lit(" - "), F.lower("c_mktsegment"), F.lit(" measure "), F.col("q_num"))
+        detail = F.when(F.col("_stat").isin("1", "0.5", "Planned"), text)
+        records = F.array(
+            F.struct(F.lit("stat").alias("type"), F.col("_stat").alias("entry")),
+            F.struct(F.lit("detail").alias("type"), detail.alias("entry")),
+        )
+        return stat.select(
+            F.col("c_custkey").alias("plan_id"),
+            F.concat("c_name", F.lit(" (segment "), "c_mktsegment", F.lit(")")).alias("name"),
+            F.concat(F.lit("Q_"), F.col("q_num")).alias("q_id"),
+            "q_num",
+            F.inline(records),
+        )
+
+    def review(self) -> DataFrame:
+        return review_long(self.answers(), question_key(self.spark))
+
+    def sheets(self) -> DataFrame:
+        """Questionnaire sheets: 83 rows and two columns per plan, 20 plans to a sheet."""
+        answers = self.answers().select("plan_id", "name", "type", "q_num", "entry")
+        first = answers.where(F.col("q_num") == FIRST_ANSWER)
+        heads = first.select(
+            "plan_id",
+            "type",
+            F.inline(
+                F.array(
+                    F.struct(F.lit(1).alias("q_num"), F.col("name").alias("entry")),
+                    F.struct(F.lit(2).alias("q_num"), F.col("type").alias("entry")),
+                )
+            ),
+        )
+        cells = answers.select("plan_id", "type", "q_num", "entry").unionByName(heads)
+        at = F.col("plan_id") % PLANS_PER_SHEET * 2 + F.when(F.col("type") == "stat", 0).otherwise(1)
+        located = cells.select(
+            F.floor(F.col("plan_id") / PLANS_PER_SHEET).alias("sheet_id"), "q_num", at.alias("_at"), "entry"
+        )
+        columns = [cell_max(F.col("entry"), F.col("_at") == i).alias(f"p{i + 1}") for i in range(2 * PLANS_PER_SHEET)]
+        key = question_key(self.spark).select("q_num", F.col("q_code").alias("code"), F.col("q_long").alias("plan-id"))
+        wide = located.groupBy("sheet_id", "q_num").agg(*columns)
+        return wide.join(F.broadcast(key), "q_num").select("sheet_id", "q_num", "code", "plan-id", *wide.columns[2:])
+
+    def atlas(self) -> DataFrame:
+        places = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        customers = self.table("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+        segment = F.col("c_mktsegment")
+        return customers.select(
+            F.col("c_custkey").alias("mpa_id"),
+            F.when(F.col("c_custkey") % 10 == 0, 0).otherwise(1).alias("implemente"),
+            F.when(segment == "AUTOMOBILE", "All").when(segment == "BUILDING", "Part").otherwise("None").alias("no_take"),
+            F.when(F.col("c_custkey") % 7 == 0, 0).otherwise(1).alias("is_mpa"),
+            F.col("n_name").alias("country"),
+            F.col("r_name").alias("region"),
+            F.concat("r_name", F.lit("-"), F.col("n_nationkey") % 2).alias("subregion"),
+        )
+
+    def _searched(self) -> DataFrame:
+        """The first order of each customer; an unspecified priority means never searched."""
+        fields = ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
+        first = self.table("orders").groupBy("o_custkey").agg(F.min(F.struct(*fields)).alias("_o"))
+        rows = first.select("o_custkey", "_o.*").where(F.col("o_orderpriority") != "4-NOT SPECIFIED")
+        status = F.col("o_orderstatus")
+        plan = F.floor(F.col("o_custkey") / AREAS_PER_PLAN) + 1
+        return rows.select(
+            F.col("o_custkey").alias("mpa_id"),
+            F.when(status == "F", "F").when(status == "P", "F-AI").otherwise("NI").alias("search"),
+            F.when(status != "O", plan).alias("plan_id"),
+            F.col("o_orderpriority").alias("notes"),
+            F.when(status == "P", "shared").alias("network"),
+            F.concat(F.lit("Area "), F.col("o_custkey")).alias("name"),
+            F.year("o_orderdate").alias("_year"),
+        )
+
+    def search_lists(self) -> tuple[DataFrame, DataFrame]:
+        """The first list and the later additions."""
+        rows = self._searched().drop("_year")
+        later = F.col("notes") == "5-LOW"
+        return rows.where(~later), rows.where(later).select("name", "network", "notes", "plan_id", "search", "mpa_id")
+
+    def search(self) -> DataFrame:
+        return union_search(*self.search_lists())
+
+    def plans(self) -> DataFrame:
+        """Plan metadata: least name, country and year of the search rows of a plan."""
+        rows = self._searched().where(F.col("plan_id").isNotNull())
+        located = rows.join(self.atlas().select("mpa_id", "country"), "mpa_id")
+        return located.groupBy("plan_id").agg(
+            F.concat(F.lit("Plan "), F.col("plan_id")).alias("name"),
+            F.min("country").alias("country"),
+            F.min("_year").alias("mp_year"),
+        )
+
+    def all_plans(self) -> DataFrame:
+        """Every plan number, searched or not."""
+        plan = F.floor(F.col("c_custkey") / AREAS_PER_PLAN) + 1
+        return self.table("customer").select(plan.alias("plan_id")).distinct()
+
+    def geometry(self) -> DataFrame:
+        """Boxes, some with a hole or a second polygon, and five kinds of bad rings."""
+        key, width = F.col("p_partkey"), F.col("p_size") * F.col("p_size") / 500.0
+        lon, lat = (key * 37 % 340 - 170).cast("double"), (key * 53 % 140 - 70).cast("double")
+        outer = _box(lon, lat, width)
+        hole = _box(lon + width / 4, lat + width / 4, width / 2)
+        second = _box(lon, lat - width - 1, width)
+        first = F.when(F.col("p_size") % 2 == 0, F.array(outer, hole)).otherwise(F.array(outer))
+        good = F.when(F.col("p_size") % 5 == 0, F.array(first, F.array(second))).otherwise(F.array(first))
+        point = lambda x, y: F.struct(x.alias("lon"), y.alias("lat")).cast(POINT)
+        bad = {
+            0: F.slice(outer, 1, 4),
+            1: F.slice(outer, 1, 3),
+            2: F.concat(F.array(point(lon, F.lit(95.0))), F.slice(outer, 2, 3), F.array(point(lon, F.lit(95.0)))),
+            3: F.concat(F.slice(outer, 1, 2), F.array(point(lon, F.lit(None).cast("double"))), F.slice(outer, 4, 2)),
+        }
+        kind = key % 50
+        geometry = F.when(kind == 4, F.lit(None))
+        for remainder, ring in bad.items():
+            geometry = geometry.when(kind == remainder, F.array(F.array(ring)))
+        return self.table("part").select(key.alias("mpa_id"), geometry.otherwise(good).alias("geometry"))
+
+    def names(self) -> DataFrame:
+        """English plan names; the repeated term shows that only the first one is shortened."""
+        term = F.element_at(F.array(*[F.lit(t) for t in NAME_TERMS]), (F.col("p_partkey") % 11 + 1).cast("int"))
+        name = F.concat("p_name", F.lit(" "), term, F.lit(" and "), term, F.lit(" ("), "p_brand", F.lit(")"))
+        return self.table("part").select(F.col("p_partkey").alias("plan_id"), name.alias("name_english"))
+
+    def references(self) -> DataFrame:
+        """Document list with the headings of the sheet it comes from."""
+        key = F.col("o_orderkey")
+        return self.table("orders").select(
+            F.col("o_custkey").alias("Plan ID"),
+            F.when(key % 3 == 0, "appendix").otherwise("plan").alias("Document Type"),
+            F.when(key % 7 != 0, key % 20 + 1).cast("double").alias("timeListed"),
+            F.when(key % 4 != 0, F.col("o_orderpriority")).alias("Work-Plan"),
+        )
+
+    def raw_cells(self) -> DataFrame:
+        """Order rows as untrimmed text cells with several spellings of "no answer"."""
+        kind, status = F.col("o_orderkey") % 5, F.col("o_orderstatus")
+        cell = (
+            F.when(kind == 0, " NA")
+            .when(kind == 1, "NS")
+            .when(kind == 2, "")
+            .when(kind == 3, F.concat(F.lit("  "), status, F.lit(" ")))
+            .otherwise(status)
+        )
+        return self.table("orders").select(
+            F.col("o_orderkey").cast("string").alias("Plan ID"),
+            cell.alias("Document Type"),
+            F.when(kind == 4, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("Area #"),
+            F.col("o_orderpriority").alias("notesText"),
+        )
