@@ -20,11 +20,12 @@ from planlens.functions.nulls import (
 )
 from planlens.functions.text import sentence_case
 from planlens.operators.inclusion import short_names
-from planlens.operators.joins import full_join
+from planlens.operators.joins import full_join, heavy_keys, left_join
 from planlens.operators.ranking import shared_rank
-from planlens.operators.reshape import cell_max, stat_rows, to_long
+from planlens.operators.reshape import stat_rows, to_long
 from planlens.operators.review import plan_names
-from planlens.questions import THREATS
+from planlens.questions import ANSWER_CODES, THREATS
+from planlens.session import materialise
 
 CA, RA = "Climate Action", "Recommended Action"
 
@@ -126,7 +127,7 @@ def all_entries(review: DataFrame, codes: Sequence[str], earlier: bool = False)
     combined = [c for c in _combined(earlier) if c[1] in codes]
     inputs = list(dict.fromkeys(code for _, _, codes_, _ in combined for code in codes_))
     wide = binary.groupBy("plan_id").agg(
-        *[cell_max(F.col("entry"), F.col("q_code") == code).alias(code) for code in inputs]
+        *[F.expr(f"max(CASE WHEN q_code = '{code}' THEN entry END) AS {code}") for code in inputs]
     )
     rows = F.array(
         *[
@@ -162,10 +163,11 @@ def condensed_summary(review: DataFrame, plan_region: DataFrame) -> DataFrame:
         *[strict_sum_where(F.col("entry"), F.col("category") == c).alias(c) for c in COMPONENTS]
     )
     names = full_join(short_names(plan_names(review)), plan_region, ["plan_id"])
-    named = full_join(totals, names, ["plan_id"]).withColumn("total", row_total(COMPONENTS))
+    named = materialise(full_join(totals, names, ["plan_id"]).withColumn("total", row_total(COMPONENTS)))
     means = named.where(F.col("name_short").isNotNull()).groupBy(F.col("name_short").alias("_short"))
+    heavy = heavy_keys(named, ["name_short"])
     ranks = shared_rank(means.agg(F.avg("total").alias("_mean")), "_mean", "name_rank").drop("_mean")
-    ranked = named.join(ranks, F.col("name_short") == F.col("_short"), "left").drop("_short")
+    ranked = left_join(named, ranks.withColumnRenamed("_short", "name_short"), ["name_short"], heavy)
     long = to_long(ranked, ["name_short", "region", "total", "name_rank"], COMPONENTS, "indicator", "entry")
     return long.where(~(F.col("entry") == 0)).select(
         "name_short",
@@ -199,6 +201,14 @@ def earlier_level_stats(review: DataFrame, n_plans=None) -> DataFrame:
     return counts.withColumn("pct", percent(F.col("n"), whole))
 
 
+def earlier_code_stats(review: DataFrame, n_plans=None) -> DataFrame:
+    """Plans that meet each code, whatever its level, with their percentage."""
+    entries = all_entries(review, [*ANSWER_CODES, *[code for _, code, _, _ in _combined(True)]], earlier=True)
+    met = entries.where(F.col("entry") == 1).groupBy("category", "q_code", "entry").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.lit(n_plans) if n_plans is not None else review.agg(F.count_distinct("plan_id")).scalar()
+    return met.withColumn("pct", percent(F.col("n"), whole))
+
+
 def radar_score(review: DataFrame) -> DataFrame:
     """Codes met per plan and component; NULL where a component has none."""
     met = all_entries(review, RADAR_CODES, earlier=True).where(F.col("entry") == 1)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from planlens.functions.geo import area_m2, centroid, geometry_problem, m2_to_km2
 from planlens.functions.levels import level_rank
 from planlens.functions.nulls import first_match
-from planlens.operators.joins import heavy_keys, left_join, semi_join
+from planlens.operators.joins import left_join, lookup_join
 from planlens.operators.reshape import stat_rows
 
 # Size classes from small to large, in square kilometres.
@@ -51,14 +51,12 @@ def size_class(area: Column) -> Column:
     return first_match([(area > 100000, names[3]), (large, names[2]), (small, names[1]), (area < 10, names[0])])
 
 
-def with_size(rows: DataFrame, geometry: DataFrame) -> DataFrame:
+def with_size(rows: DataFrame, geometry: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
     """Area rows with size and size class, matched by area id.
 
-    Geometries are cut down to the areas in question before they are measured.
+    Polygons are measured where they are read: only ids and sizes are shuffled.
     """
-    sizes = polygon_area(semi_join(geometry, rows, ["mpa_id"]))
-    sized = left_join(rows, sizes, ["mpa_id"], heavy_keys(rows.select("mpa_id"), ["mpa_id"]))
-    return with_size_class(sized)
+    return with_size_class(left_join(rows, polygon_area(geometry), ["mpa_id"], heavy))
 
 
 def with_size_class(df: DataFrame, area: str = "area_calc") -> DataFrame:
@@ -90,11 +88,16 @@ def climate_mention(review: DataFrame) -> DataFrame:
     )
 
 
-def map_points(geometry: DataFrame, areas: DataFrame, review: DataFrame) -> DataFrame:
-    """Centroid and class of every area and plan, inside the limits of the map."""
+def map_points(
+    geometry: DataFrame, areas: DataFrame, review: DataFrame, heavy_areas: DataFrame, heavy_plans: DataFrame
+) -> DataFrame:
+    """Centroid and class of every area and plan, inside the limits of the map.
+
+    ``heavy_areas`` and ``heavy_plans`` list the areas and plans with very many rows.
+    """
     links = areas.select("mpa_id", "plan_id")
-    points = left_join(polygon_centroid(geometry), links, ["mpa_id"])
-    classed = left_join(points, climate_mention(review), ["plan_id"], heavy_keys(links, ["plan_id"]))
+    points = lookup_join(polygon_centroid(geometry), links, ["mpa_id"], heavy_areas)
+    classed = left_join(points, climate_mention(review), ["plan_id"], heavy_plans)
     label = F.coalesce(F.col("climate_mention"), F.lit(MENTION_CLASSES[2]))
     return classed.where(F.col("X").between(*LON_LIMITS) & F.col("Y").between(*LAT_LIMITS)).select(
         "mpa_id", "plan_id", "X", "Y", label.alias("climate_mention"), level_rank(label, MENTION_CLASSES).alias("class_rank")

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from planlens.functions.levels import level_rank
 from planlens.functions.nulls import first_match, in_set, lenient_sum
 from planlens.functions.text import clean_name, drop_parenthetical, replace_first_chain
-from planlens.operators.indicators import entries_with_rules
+from planlens.operators.indicators import indicators, stack
 from planlens.operators.joins import heavy_keys, left_join
 from planlens.operators.ranking import row_number_over
 from planlens.operators.reshape import cell_max
-from planlens.rules import CA, GA, RA, SECTIONS, TYPES
+from planlens.rules import CA, GA, RA, SECTIONS, TYPES, section_rules
+from planlens.session import materialise
 
 NOT_INCLUDED = "Not Included"
 
@@ -48,18 +49,22 @@ def short_names(names: DataFrame) -> DataFrame:
     return names.withColumn("name_short", drop_parenthetical(F.col("name")))
 
 
+def _score(section: str, type_: str) -> str:
+    """SQL for the number of indicators met; NULL where a section has none of the type."""
+    stats = [r.stat for r in section_rules(section) if r.type == type_]
+    return " + ".join(f"coalesce({s}, 0D)" for s in stats) if stats else "CAST(NULL AS DOUBLE)"
+
+
 def inclusion_levels(review: DataFrame) -> DataFrame:
     """Score per inclusion type and the level they give, per plan and component.
 
-    A type that a component does not have stays NULL.
+    Scores are sums across the indicator columns of a plan, so the only shuffle
+    is the one that brings the answers of a plan together.
     """
-    entries = entries_with_rules(review)
-    scores = [
-        F.sum(F.when(F.col("type") == t, F.coalesce(F.col("entry"), F.lit(0.0)))).alias(clean_name(t)) for t in TYPES
-    ]
-    by_component = entries.groupBy("plan_id", "category").agg(*scores)
+    rows = [(f"'{s}'", *[_score(s, t) for t in TYPES]) for s in SECTIONS]
+    scores = indicators(review).select("plan_id", stack(rows, ["category", *map(clean_name, TYPES)]))
     level = first_match([(F.col(clean_name(t)) > 0, t) for t in TYPES])
-    return by_component.withColumn("level", level)
+    return scores.withColumn("level", level)
 
 
 def inclusion_levels_wide(levels: DataFrame) -> DataFrame:
@@ -118,7 +123,7 @@ def level_heatmap(
         *_score_columns(), F.collect_list(F.struct(*[F.col(c) for c in _CELL])).alias("_cells")
     )
     short = abbreviate_names(names)
-    named = left_join(plans, short, ["plan_id"])
+    named = materialise(left_join(plans, short, ["plan_id"]))
     position = F.min(F.struct(*_ORDER, "plan_id")).alias("_first")
     firsts = named.where(F.col("name_abbrev").isNotNull()).groupBy("name_abbrev").agg(position)
     firsts = firsts.select(

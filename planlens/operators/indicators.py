@@ -34,8 +34,8 @@ def indicators(review: DataFrame, rules: Sequence[Rule] = tuple(RULES)) -> DataF
     Only the answer codes that the rules read are widened, which also keeps
     every row below the field limit of generated code.
     """
-    wide = answers_wide(review, input_codes(list(rules)), numeric=True)
-    return wide.select("plan_id", *[r.column() for r in rules])
+    wide = answers_wide(review, input_codes(rules), numeric=True)
+    return wide.selectExpr("plan_id", *[r.column for r in rules])
 
 
 def indicator_matrix(review: DataFrame) -> DataFrame:
@@ -55,14 +55,10 @@ def _rule_sum(rule: Rule) -> Column:
     return strict_sum(entry) if rule.section in STRICT_SECTIONS else lenient_sum(entry)
 
 
-def _stat_row(rule: Rule) -> Column:
-    return F.struct(
-        F.lit(rule.stat).alias("stat"),
-        F.col(rule.stat).alias("n_plans"),
-        F.lit(rule.type).alias("type"),
-        F.lit(rule.figure).alias("figure"),
-        F.lit(rule.section).alias("category"),
-    )
+def stack(rows: Sequence[Sequence[str]], names: Sequence[str]) -> Column:
+    """Spread one row into several; ``rows`` hold SQL expressions."""
+    cells = ", ".join(", ".join(row) for row in rows)
+    return F.expr(f"stack({len(rows)}, {cells}) AS ({', '.join(names)})")
 
 
 def summarise(matrix: DataFrame, rules: Sequence[Rule], n_plans=None) -> DataFrame:
@@ -74,7 +70,8 @@ def summarise(matrix: DataFrame, rules: Sequence[Rule], n_plans=None) -> DataFra
     meets has no row.
     """
     sums = matrix.agg(*[_rule_sum(r).alias(r.stat) for r in rules], F.count(F.lit(1)).alias("_plans"))
-    rows = sums.select("_plans", F.inline(F.array(*[_stat_row(r) for r in rules])))
+    spread = [(f"'{r.stat}'", r.stat, f"'{r.type}'", str(r.figure), f"'{r.section}'") for r in rules]
+    rows = sums.select("_plans", stack(spread, ["stat", "n_plans", "type", "figure", "category"]))
     whole = F.col("_plans") if n_plans is None else F.lit(n_plans)
     kept = rows.where((F.col("category") != ASSESSMENTS) | (F.col("n_plans") > 0))
     return kept.select(

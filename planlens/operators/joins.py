@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,40 +24,56 @@ def heavy_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> Da
     """Keys that hold more than ``share`` of all rows: at most 1 / share keys."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.where(F.col("_rows") > total * share).select(*on)
+    return counts.where(F.col("_rows") > total * F.lit(share)).select(*on)
 
 
 def _same_key(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:
     return reduce(and_, (left[k].eqNullSafe(right[f"_r_{k}"]) for k in on))
 
 
-def _mark_hot(df: DataFrame, keys: Sequence[str], heavy: DataFrame | None, heavy_names: Sequence[str]) -> DataFrame:
-    null_key = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+def _mark_hot(df: DataFrame, keys: Sequence[str], heavy: DataFrame | None, on: Sequence[str]) -> DataFrame:
+    """Add ``_hot``: does the key occur in the list of hot keys?"""
     if heavy is None:
-        return df.withColumn("_hot", null_key)
-    marks = heavy.select(*[F.col(n).alias(f"_h_{n}") for n in heavy_names], F.lit(True).alias("_heavy"))
-    same = reduce(and_, (F.col(k) == F.col(f"_h_{n}") for k, n in zip(keys, heavy_names, strict=True)))
-    marked = df.join(F.broadcast(marks), same, "left")
-    return marked.withColumn("_hot", null_key | F.col("_heavy").isNotNull()).drop(
-        "_heavy", *[f"_h_{n}" for n in heavy_names]
-    )
+        return df.withColumn("_hot", F.lit(False))
+    marks = heavy.select(*[F.col(k).alias(f"_h_{k}") for k in on], F.lit(True).alias("_hot"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_h_{h}")) for k, h in zip(keys, on, strict=True)))
+    marked = df.join(F.broadcast(marks), same, "left").drop(*[f"_h_{k}" for k in on])
+    return marked.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+
+
+def _is_null(keys: Sequence[str]) -> Column:
+    return reduce(or_, (F.col(k).isNull() for k in keys))
+
+
+def _own_salt(df: DataFrame, spread: int) -> Column:
+    content = [F.col(c) for c in df.columns if c != "_hot"]
+    return F.when(F.col("_hot"), F.pmod(F.xxhash64(*content), F.lit(spread)).cast("int")).otherwise(0)
+
+
+def _all_salts(spread: int) -> Column:
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    return F.explode(salts)
+
+
+def _renamed(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in df.columns])
 
 
 def _salted_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str, heavy: DataFrame | None, spread: int
 ) -> DataFrame:
-    """Join whose left side may be hot; ``how`` keeps each left row at most once per match."""
-    content = [F.col(c) for c in left.columns]
-    salted = _mark_hot(left, on, heavy, on).withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*content), F.lit(spread)).cast("int")).otherwise(0)
-    )
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in right.columns])
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-    repeated = _mark_hot(renamed, [f"_r_{k}" for k in on], heavy, on).withColumn("_r_salt", F.explode(salts))
-    repeated = repeated.drop("_hot")
+    """Join whose left side may be hot: its hot rows are salted, the right ones repeated.
+
+    A NULL key is taken to be hot, since it stands for everything unknown.
+    """
+    right_on = [f"_r_{k}" for k in on]
+    marked = _mark_hot(left, on, heavy, on).withColumn("_hot", F.col("_hot") | _is_null(on))
+    salted = marked.withColumn("_salt", _own_salt(marked, spread))
+    others = _mark_hot(_renamed(right, on), right_on, heavy, on)
+    others = others.withColumn("_hot", F.col("_hot") | _is_null(right_on))
+    repeated = others.withColumn("_r_salt", _all_salts(spread)).drop("_hot")
     condition = _same_key(salted, repeated, on) & (salted["_salt"] == repeated["_r_salt"])
-    joined = salted.join(repeated, condition, how)
-    return joined.drop("_hot", "_salt", "_r_salt", *[f"_r_{k}" for k in on])
+    return salted.join(repeated, condition, how).drop("_hot", "_salt", "_r_salt", *right_on)
 
 
 def left_join(
@@ -82,20 +98,20 @@ def anti_join(
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], heavy: DataFrame | None = None, spread: int = SPREAD
+    left: DataFrame, right: DataFrame, on: Sequence[str], heavy: DataFrame, spread: int = SPREAD
 ) -> DataFrame:
     """All rows of a unique ``left`` with their many, possibly hot, ``right`` matches.
 
-    A left join cannot salt its right side (every copy of an unmatched left row
-    would appear), so matched and unmatched rows are computed apart.  ``heavy``
-    lists hot keys of the right side.
+    ``heavy`` lists hot keys of the right side.  Left rows of these keys are
+    repeated; they surely have a match, so the copies that meet none are dropped.
     """
-    matched = _salted_join(right, left, on, "inner", heavy, spread)
-    unmatched = anti_join(left, right, on)
-    names = left.columns + [c for c in right.columns if c not in on]
-    types = {f.name: f.dataType for f in right.schema.fields}
-    blanks = [F.lit(None).cast(types[c]).alias(c) for c in right.columns if c not in on]
-    return matched.select(*names).unionByName(unmatched.select(*left.columns, *blanks))
+    right_on = [f"_r_{k}" for k in on]
+    repeated = _mark_hot(left, on, heavy, on).withColumn("_salt", _all_salts(spread))
+    others = _mark_hot(_renamed(right, on), right_on, heavy, on)
+    salted = others.withColumn("_r_salt", _own_salt(others, spread)).drop("_hot").withColumn("_met", F.lit(True))
+    condition = _same_key(repeated, salted, on) & (repeated["_salt"] == salted["_r_salt"])
+    joined = repeated.join(salted, condition, "left").where(~F.col("_hot") | F.col("_met").isNotNull())
+    return joined.drop("_hot", "_salt", "_r_salt", "_met", *right_on)
 
 
 def mark_member(

@@ -26,7 +26,7 @@ def answers_wide(review: DataFrame, codes: Sequence[str], numeric: bool = False)
     stat = stat_rows(review).where(F.col("q_code").isin(*codes))
     value = to_number(F.col("entry")) if numeric else F.col("entry")
     cells = stat.select("plan_id", "q_code", value.alias("cell"))
-    return cells.groupBy("plan_id").agg(*[cell_max(F.col("cell"), F.col("q_code") == c).alias(c) for c in codes])
+    return cells.groupBy("plan_id").agg(*[F.expr(f"max(CASE WHEN q_code = '{c}' THEN cell END) AS {c}") for c in codes])
 
 
 def cell_max(value: Column, here: Column) -> Column:

@@ -6,7 +6,7 @@ one polygon and one plan name per part, one document per order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -56,16 +56,18 @@ def _box(lon: Column, lat: Column, width: Column) -> Column:
     return F.array(*[F.struct(x.alias("lon"), y.alias("lat")).cast(POINT) for x, y in corners])
 
 
-@dataclass(frozen=True)
 class Testbed:
-    """The tables below one folder of the test data."""
+    """The tables below one folder of the test data; each is planned once."""
 
-    spark: SparkSession
-    folder: str
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder
 
+    @cache
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cache
     def answers(self) -> DataFrame:
         """plan_id, name, type, q_id, q_num, entry: both record types of every plan."""
         customers = self.table("customer").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -87,9 +89,11 @@ class Testbed:
             F.inline(records),
         )
 
+    @cache
     def review(self) -> DataFrame:
         return review_long(self.answers(), question_key(self.spark))
 
+    @cache
     def sheets(self) -> DataFrame:
         """Questionnaire sheets: 83 rows and two columns per plan, 20 plans to a sheet."""
         answers = self.answers().select("plan_id", "name", "type", "q_num", "entry")
@@ -114,6 +118,7 @@ class Testbed:
         wide = located.groupBy("sheet_id", "q_num").agg(*columns)
         return wide.join(F.broadcast(key), "q_num").select("sheet_id", "q_num", "code", "plan-id", *wide.columns[2:])
 
+    @cache
     def atlas(self) -> DataFrame:
         places = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         customers = self.table("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -128,6 +133,7 @@ class Testbed:
             F.concat("r_name", F.lit("-"), F.col("n_nationkey") % 2).alias("subregion"),
         )
 
+    @cache
     def _searched(self) -> DataFrame:
         """The first order of each customer; an unspecified priority means never searched."""
         fields = ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
@@ -145,15 +151,18 @@ class Testbed:
             F.year("o_orderdate").alias("_year"),
         )
 
+    @cache
     def search_lists(self) -> tuple[DataFrame, DataFrame]:
         """The first list and the later additions."""
         rows = self._searched().drop("_year")
         later = F.col("notes") == "5-LOW"
         return rows.where(~later), rows.where(later).select("name", "network", "notes", "plan_id", "search", "mpa_id")
 
+    @cache
     def search(self) -> DataFrame:
         return union_search(*self.search_lists())
 
+    @cache
     def plans(self) -> DataFrame:
         """Plan metadata: least name, country and year of the search rows of a plan."""
         rows = self._searched().where(F.col("plan_id").isNotNull())
@@ -164,11 +173,13 @@ class Testbed:
             F.min("_year").alias("mp_year"),
         )
 
+    @cache
     def all_plans(self) -> DataFrame:
         """Every plan number, searched or not."""
         plan = F.floor(F.col("c_custkey") / AREAS_PER_PLAN) + 1
         return self.table("customer").select(plan.alias("plan_id")).distinct()
 
+    @cache
     def geometry(self) -> DataFrame:
         """Boxes, some with a hole or a second polygon, and five kinds of bad rings."""
         key, width = F.col("p_partkey"), F.col("p_size") * F.col("p_size") / 500.0
@@ -191,12 +202,14 @@ class Testbed:
             geometry = geometry.when(kind == remainder, F.array(F.array(ring)))
         return self.table("part").select(key.alias("mpa_id"), geometry.otherwise(good).alias("geometry"))
 
+    @cache
     def names(self) -> DataFrame:
         """English plan names; the repeated term shows that only the first one is shortened."""
         term = F.element_at(F.array(*[F.lit(t) for t in NAME_TERMS]), (F.col("p_partkey") % 11 + 1).cast("int"))
         name = F.concat("p_name", F.lit(" "), term, F.lit(" and "), term, F.lit(" ("), "p_brand", F.lit(")"))
         return self.table("part").select(F.col("p_partkey").alias("plan_id"), name.alias("name_english"))
 
+    @cache
     def references(self) -> DataFrame:
         """Document list with the headings of the sheet it comes from."""
         key = F.col("o_orderkey")
@@ -207,6 +220,7 @@ class Testbed:
             F.when(key % 4 != 0, F.col("o_orderpriority")).alias("Work-Plan"),
         )
 
+    @cache
     def raw_cells(self) -> DataFrame:
         """Order rows as untrimmed text cells with several spellings of "no answer"."""
         kind, status = F.col("o_orderkey") % 5, F.col("o_orderstatus")
