@@ -162,12 +162,12 @@ def condensed_summary(review: DataFrame, plan_region: DataFrame) -> DataFrame:
     totals = flags.groupBy("plan_id").agg(
         *[strict_sum_where(F.col("entry"), F.col("category") == c).alias(c) for c in COMPONENTS]
     )
-    names = full_join(short_names(plan_names(review)), plan_region, ["plan_id"])
-    named = materialise(full_join(totals, names, ["plan_id"]).withColumn("total", row_total(COMPONENTS)))
+    names = full_join(short_names(plan_names(review)), plan_region, "plan_id")
+    named = materialise(full_join(totals, names, "plan_id").withColumn("total", row_total(COMPONENTS)))
     means = named.where(F.col("name_short").isNotNull()).groupBy(F.col("name_short").alias("_short"))
-    heavy = heavy_keys(named, ["name_short"])
+    heavy = heavy_keys(named, "name_short")
     ranks = shared_rank(means.agg(F.avg("total").alias("_mean")), "_mean", "name_rank").drop("_mean")
-    ranked = left_join(named, ranks.withColumnRenamed("_short", "name_short"), ["name_short"], heavy)
+    ranked = left_join(named, ranks.withColumnRenamed("_short", "name_short"), "name_short", heavy)
     long = to_long(ranked, ["name_short", "region", "total", "name_rank"], COMPONENTS, "indicator", "entry")
     return long.where(~(F.col("entry") == 0)).select(
         "name_short",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from planlens.functions.geo import area_m2, centroid, geometry_problem, m2_to_km2
@@ -51,12 +53,12 @@ def size_class(area: Column) -> Column:
     return first_match([(area > 100000, names[3]), (large, names[2]), (small, names[1]), (area < 10, names[0])])
 
 
-def with_size(rows: DataFrame, geometry: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def with_size(rows: DataFrame, geometry: DataFrame, heavy_areas: Sequence = ()) -> DataFrame:
     """Area rows with size and size class, matched by area id.
 
     Polygons are measured where they are read: only ids and sizes are shuffled.
     """
-    return with_size_class(left_join(rows, polygon_area(geometry), ["mpa_id"], heavy))
+    return with_size_class(left_join(rows, polygon_area(geometry), "mpa_id", heavy_areas))
 
 
 def with_size_class(df: DataFrame, area: str = "area_calc") -> DataFrame:
@@ -89,15 +91,19 @@ def climate_mention(review: DataFrame) -> DataFrame:
 
 
 def map_points(
-    geometry: DataFrame, areas: DataFrame, review: DataFrame, heavy_areas: DataFrame, heavy_plans: DataFrame
+    geometry: DataFrame,
+    areas: DataFrame,
+    review: DataFrame,
+    heavy_areas: Sequence = (),
+    heavy_plans: Sequence = (),
 ) -> DataFrame:
     """Centroid and class of every area and plan, inside the limits of the map.
 
     ``heavy_areas`` and ``heavy_plans`` list the areas and plans with very many rows.
     """
     links = areas.select("mpa_id", "plan_id")
-    points = lookup_join(polygon_centroid(geometry), links, ["mpa_id"], heavy_areas)
-    classed = left_join(points, climate_mention(review), ["plan_id"], heavy_plans)
+    points = lookup_join(polygon_centroid(geometry), links, "mpa_id", heavy_areas)
+    classed = left_join(points, climate_mention(review), "plan_id", heavy_plans)
     label = F.coalesce(F.col("climate_mention"), F.lit(MENTION_CLASSES[2]))
     return classed.where(F.col("X").between(*LON_LIMITS) & F.col("Y").between(*LAT_LIMITS)).select(
         "mpa_id", "plan_id", "X", "Y", label.alias("climate_mention"), level_rank(label, MENTION_CLASSES).alias("class_rank")

@@ -123,15 +123,15 @@ def level_heatmap(
         *_score_columns(), F.collect_list(F.struct(*[F.col(c) for c in _CELL])).alias("_cells")
     )
     short = abbreviate_names(names)
-    named = materialise(left_join(plans, short, ["plan_id"]))
+    named = materialise(left_join(plans, short, "plan_id"))
     position = F.min(F.struct(*_ORDER, "plan_id")).alias("_first")
     firsts = named.where(F.col("name_abbrev").isNotNull()).groupBy("name_abbrev").agg(position)
     firsts = firsts.select(
         "name_abbrev", *[F.col(f"_first.{k}").alias(k) for k in _ORDER], F.col("_first.plan_id").alias("plan_id")
     )
     ranks = row_number_over(firsts, _ORDER, "plan_id", ["name_abbrev"], "name_rank").select("name_abbrev", "name_rank")
-    ranked = left_join(named, ranks, ["name_abbrev"], heavy=heavy_keys(short, ["name_abbrev"]))
-    placed = left_join(ranked, regions, ["plan_id"])
+    ranked = left_join(named, ranks, "name_abbrev", heavy_keys(named, "name_abbrev"))
+    placed = left_join(ranked, regions, "plan_id")
     spread = placed.select("*", F.inline("_cells")).drop("_cells")
     panel = F.lit(None).cast("string")
     if left_panel is not None:

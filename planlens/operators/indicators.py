@@ -45,7 +45,7 @@ def indicator_matrix(review: DataFrame) -> DataFrame:
 def indicator_full_join(review: DataFrame) -> DataFrame:
     """The matrix put together from six section tables by full joins."""
     parts = [indicators(review, section_rules(s)) for s in SECTIONS]
-    return reduce(lambda left, right: full_join(left, right, ["plan_id"]), parts)
+    return reduce(lambda left, right: full_join(left, right, "plan_id"), parts)
 
 
 def _rule_sum(rule: Rule) -> Column:

@@ -1,132 +1,114 @@
-"""Equi-joins in which NULL keys match NULL keys and hot keys are spread out.
+"""Equi-joins on one key in which NULL matches NULL and hot keys are spread out.
 
 A key that holds a large share of the rows, NULL included, would send them all
-to one task.  Rows of such keys get a salt from their own content and the rows
-of the other side are repeated once per salt, so results stay exact.
-Keys that are not hot travel once.  Whether a side is broadcast is left to the
-optimizer and adaptive execution, which know the sizes; the only hint given
-here is for the list of hot keys, whose length is bounded by 1 / share.
+to one task.  Rows of such keys get a salt from their own content, and the rows
+of the other side are repeated once per salt, so results stay exact.  All other
+keys travel once.  Which side is broadcast is left to the optimizer and to
+adaptive execution, which know the sizes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SPREAD = 32
 HOT_SHARE = 0.001
 
 
-def heavy_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of all rows: at most 1 / share keys."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+def heavy_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = 100_000) -> list:
+    """Keys other than NULL that hold more than ``share`` of the rows, and at least ``least`` rows.
+
+    One counting pass over the key column.  The answer has at most 1 / share
+    keys whatever the size of ``df``, so it may travel to the driver.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.where(F.col("_rows") > total * F.lit(share)).select(*on)
+    hot = counts.where((F.col("_rows") > total * F.lit(share)) & (F.col("_rows") >= least))
+    return [row[0] for row in hot.select(key).limit(int(1 / share)).collect()]
 
 
-def _same_key(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:
-    return reduce(and_, (left[k].eqNullSafe(right[f"_r_{k}"]) for k in on))
+def _spread(df: DataFrame) -> int:
+    """Salts per hot key: enough to occupy every shuffle partition."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _mark_hot(df: DataFrame, keys: Sequence[str], heavy: DataFrame | None, on: Sequence[str]) -> DataFrame:
-    """Add ``_hot``: does the key occur in the list of hot keys?"""
-    if heavy is None:
-        return df.withColumn("_hot", F.lit(False))
-    marks = heavy.select(*[F.col(k).alias(f"_h_{k}") for k in on], F.lit(True).alias("_hot"))
-    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_h_{h}")) for k, h in zip(keys, on, strict=True)))
-    marked = df.join(F.broadcast(marks), same, "left").drop(*[f"_h_{k}" for k in on])
-    return marked.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+def _own_salt(df: DataFrame, hot: Column, spread: int) -> Column:
+    content = F.xxhash64(*[F.col(c) for c in df.columns])
+    return F.when(hot, F.pmod(content, F.lit(spread)).cast("int")).otherwise(0)
 
 
-def _is_null(keys: Sequence[str]) -> Column:
-    return reduce(or_, (F.col(k).isNull() for k in keys))
+def _all_salts(hot: Column, spread: int) -> Column:
+    return F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0))))
 
 
-def _own_salt(df: DataFrame, spread: int) -> Column:
-    content = [F.col(c) for c in df.columns if c != "_hot"]
-    return F.when(F.col("_hot"), F.pmod(F.xxhash64(*content), F.lit(spread)).cast("int")).otherwise(0)
+def _keyed(df: DataFrame, on: str) -> DataFrame:
+    return df.withColumnRenamed(on, "_r_key")
 
 
-def _all_salts(spread: int) -> Column:
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-    return F.explode(salts)
+def _salted_join(left: DataFrame, right: DataFrame, on: str, how: str, heavy: Sequence) -> DataFrame:
+    """Join whose left side may be hot: its hot rows are salted, the right ones repeated.
 
+    A NULL key is taken to be hot, since it stands for everything unknown.
+    """
 
-def _renamed(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in df.columns])
+    def hot(key: str) -> Column:
+        unknown = F.col(key).isNull()
+        return unknown | F.col(key).isin(*heavy) if heavy else unknown
 
+    spread = _spread(left)
+    salted = left.withColumn("_salt", _own_salt(left, hot(on), spread))
+    repeated = _keyed(right, on).withColumn("_r_salt", _all_salts(hot("_r_key"), spread))
+    condition = salted[on].eqNullSafe(repeated["_r_key"]) & (salted["_salt"] == repeated["_r_salt"])
+    return salted.join(repeated, condition, how).drop("_salt", "_r_salt", "_r_key")
 
-def _salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, heavy: DataFrame | None, spread: int
-) -> DataFrame:
-    """Join whose left side may be hot: its hot rows are salted, the right ones repeated.
 
-    A NULL key is taken to be hot, since it stands for everything unknown.
-    """
-    right_on = [f"_r_{k}" for k in on]
-    marked = _mark_hot(left, on, heavy, on).withColumn("_hot", F.col("_hot") | _is_null(on))
-    salted = marked.withColumn("_salt", _own_salt(marked, spread))
-    others = _mark_hot(_renamed(right, on), right_on, heavy, on)
-    others = others.withColumn("_hot", F.col("_hot") | _is_null(right_on))
-    repeated = others.withColumn("_r_salt", _all_salts(spread)).drop("_hot")
-    condition = _same_key(salted, repeated, on) & (salted["_salt"] == repeated["_r_salt"])
-    return salted.join(repeated, condition, how).drop("_hot", "_salt", "_r_salt", *right_on)
-
-
-def left_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], heavy: DataFrame | None = None, spread: int = SPREAD
-) -> DataFrame:
+def left_join(left: DataFrame, right: DataFrame, on: str, heavy: Sequence = ()) -> DataFrame:
     """All left rows with their matches; ``heavy`` lists hot keys of the left side."""
-    return _salted_join(left, right, on, "left", heavy, spread)
+    return _salted_join(left, right, on, "left", heavy)
 
 
-def semi_join(
-    left: DataFrame, ids: DataFrame, on: Sequence[str], heavy: DataFrame | None = None, spread: int = SPREAD
-) -> DataFrame:
+def semi_join(left: DataFrame, ids: DataFrame, on: str, heavy: Sequence = ()) -> DataFrame:
     """Left rows whose key occurs in ``ids``; a NULL key matches a NULL id."""
-    return _salted_join(left, ids.select(*on).distinct(), on, "left_semi", heavy, spread)
+    return _salted_join(left, ids.select(on).distinct(), on, "left_semi", heavy)
 
 
-def anti_join(
-    left: DataFrame, ids: DataFrame, on: Sequence[str], heavy: DataFrame | None = None, spread: int = SPREAD
-) -> DataFrame:
+def anti_join(left: DataFrame, ids: DataFrame, on: str, heavy: Sequence = ()) -> DataFrame:
     """Left rows whose key does not occur in ``ids``; NULL keys stay unless NULL is an id."""
-    return _salted_join(left, ids.select(*on).distinct(), on, "left_anti", heavy, spread)
+    return _salted_join(left, ids.select(on).distinct(), on, "left_anti", heavy)
 
 
-def lookup_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], heavy: DataFrame, spread: int = SPREAD
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: str, heavy: Sequence = ()) -> DataFrame:
     """All rows of a unique ``left`` with their many, possibly hot, ``right`` matches.
 
     ``heavy`` lists hot keys of the right side.  Left rows of these keys are
-    repeated; they surely have a match, so the copies that meet none are dropped.
+    repeated; they surely have a match, so the copies that meet none are
+    dropped.  NULL is no such key: right rows without a key can only meet left
+    rows without a key, and are left out if there are none.
     """
-    right_on = [f"_r_{k}" for k in on]
-    repeated = _mark_hot(left, on, heavy, on).withColumn("_salt", _all_salts(spread))
-    others = _mark_hot(_renamed(right, on), right_on, heavy, on)
-    salted = others.withColumn("_r_salt", _own_salt(others, spread)).drop("_hot").withColumn("_met", F.lit(True))
-    condition = _same_key(repeated, salted, on) & (repeated["_salt"] == salted["_r_salt"])
+    spread = _spread(left)
+    if not heavy:
+        others = _keyed(right, on)
+        return left.join(others, left[on].eqNullSafe(others["_r_key"]), "left").drop("_r_key")
+    repeated = left.withColumn("_hot", F.coalesce(F.col(on).isin(*heavy), F.lit(False)))
+    repeated = repeated.withColumn("_salt", _all_salts(F.col("_hot"), spread))
+    others = _keyed(right, on)
+    salted = others.withColumns(
+        {"_r_salt": _own_salt(others, F.col("_r_key").isin(*heavy), spread), "_met": F.lit(True)}
+    )
+    condition = repeated[on].eqNullSafe(salted["_r_key"]) & (repeated["_salt"] == salted["_r_salt"])
     joined = repeated.join(salted, condition, "left").where(~F.col("_hot") | F.col("_met").isNotNull())
-    return joined.drop("_hot", "_salt", "_r_salt", "_met", *right_on)
+    return joined.drop("_hot", "_salt", "_r_salt", "_r_key", "_met")
 
 
-def mark_member(
-    left: DataFrame, ids: DataFrame, on: Sequence[str], name: str, heavy: DataFrame | None = None
-) -> DataFrame:
+def mark_member(left: DataFrame, ids: DataFrame, on: str, name: str, heavy: Sequence = ()) -> DataFrame:
     """Left rows with a true/false column: does the key occur in ``ids``?"""
-    marked = left_join(left, ids.select(*on).distinct().withColumn(name, F.lit(True)), on, heavy)
+    marked = left_join(left, ids.select(on).distinct().withColumn(name, F.lit(True)), on, heavy)
     return marked.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
-def full_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+def full_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Full outer join of tables that are unique (or nearly so) in their key."""
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in right.columns])
-    joined = left.join(renamed, _same_key(left, renamed, on), "full")
-    keys = [F.coalesce(left[k], renamed[f"_r_{k}"]).alias(k) for k in on]
-    return joined.select(
-        *keys, *[left[c] for c in left.columns if c not in on], *[renamed[c] for c in right.columns if c not in on]
-    )
+    renamed = _keyed(right, on)
+    joined = left.join(renamed, left[on].eqNullSafe(renamed["_r_key"]), "full")
+    return joined.withColumn(on, F.coalesce(on, "_r_key")).drop("_r_key")

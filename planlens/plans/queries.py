@@ -50,9 +50,14 @@ def _numeric(bed: Testbed, *codes: str) -> DataFrame:
     return reshape.answers_wide(bed.review(), codes, numeric=True)
 
 
+def _heavy(bed: Testbed) -> tuple[list, list]:
+    """Hot areas and plans, counted on the narrow search list."""
+    return bed.heavy("mpa_id"), bed.heavy("plan_id")
+
+
 def _area_metadata(bed: Testbed) -> DataFrame:
     return areas.area_metadata(
-        bed.atlas(), bed.search(), bed.plans(), bed.all_plans(), review.plan_ids(bed.review())
+        bed.atlas(), bed.search(), bed.plans(), bed.all_plans(), review.plan_ids(bed.review()), *_heavy(bed)
     )
 
 
@@ -60,20 +65,14 @@ def _found(bed: Testbed) -> DataFrame:
     return areas.found(_area_metadata(bed))
 
 
-def _heavy(bed: Testbed, key: str) -> DataFrame:
-    """Hot areas or plans, counted on the narrow search list."""
-    return joins.heavy_keys(bed.search(), [key])
 
 
 def _sized(bed: Testbed) -> DataFrame:
-    return geometry.with_size(_found(bed), bed.geometry(), _heavy(bed, "mpa_id"))
+    return geometry.with_size(_found(bed), bed.geometry(), bed.heavy("mpa_id"))
 
 
 def _map_points(bed: Testbed) -> DataFrame:
-    metadata = _area_metadata(bed)
-    return geometry.map_points(
-        bed.geometry(), metadata, bed.review(), _heavy(bed, "mpa_id"), _heavy(bed, "plan_id")
-    )
+    return geometry.map_points(bed.geometry(), _area_metadata(bed), bed.review(), *_heavy(bed))
 
 
 # Scans, cells, names, sinks
@@ -129,17 +128,17 @@ def search_union(bed: Testbed) -> DataFrame:
 
 @_query
 def missing_ids(bed: Testbed) -> DataFrame:
-    return areas.missing_plans(bed.search(), areas.qualify_areas(bed.atlas()), bed.all_plans())
+    return areas.missing_plans(bed.search(), areas.qualify_areas(bed.atlas()), bed.all_plans(), bed.heavy("mpa_id"))
 
 
 @_query
 def semi_join_ids(bed: Testbed) -> DataFrame:
-    return joins.semi_join(bed.search(), areas.qualify_areas(bed.atlas()), ["mpa_id"])
+    return joins.semi_join(bed.search(), areas.qualify_areas(bed.atlas()), "mpa_id", bed.heavy("mpa_id"))
 
 
 @_query
 def anti_join_ids(bed: Testbed) -> DataFrame:
-    return areas.areas_outside(bed.search(), areas.qualify_areas(bed.atlas()))
+    return areas.areas_outside(bed.search(), areas.qualify_areas(bed.atlas()), bed.heavy("mpa_id"))
 
 
 @_query
@@ -151,7 +150,7 @@ def exclude_ids(bed: Testbed) -> DataFrame:
 def null_safe_left_join(bed: Testbed) -> DataFrame:
     search = bed.search().select("mpa_id", "plan_id", "search")
     per_plan = search.groupBy("plan_id").agg(F.count(F.lit(1)).alias("plan_rows"), F.max("search").alias("last_search"))
-    return joins.left_join(search, per_plan, ["plan_id"], joins.heavy_keys(search, ["plan_id"]))
+    return joins.left_join(search, per_plan, "plan_id", bed.heavy("plan_id"))
 
 
 # Review
@@ -403,7 +402,7 @@ def level_counts(bed: Testbed) -> DataFrame:
 
 def _reviewed_regions(bed: Testbed) -> DataFrame:
     regions = areas.plan_region(_area_metadata(bed))
-    return joins.semi_join(regions, review.plan_ids(bed.review()), ["plan_id"])
+    return joins.semi_join(regions, review.plan_ids(bed.review()), "plan_id")
 
 
 @_query
@@ -466,12 +465,12 @@ def qualify_areas(bed: Testbed) -> DataFrame:
 
 @_query
 def qualify_strict_lost_plans(bed: Testbed) -> DataFrame:
-    return areas.lost_by_strict_rule(bed.atlas(), bed.search(), bed.all_plans())
+    return areas.lost_by_strict_rule(bed.atlas(), bed.search(), bed.all_plans(), *_heavy(bed))
 
 
 @_query
 def area_list(bed: Testbed) -> DataFrame:
-    return areas.area_list(bed.atlas(), bed.search(), bed.all_plans())
+    return areas.area_list(bed.atlas(), bed.search(), bed.all_plans(), *_heavy(bed))
 
 
 @_query
@@ -481,7 +480,7 @@ def area_metadata(bed: Testbed) -> DataFrame:
 
 @_query
 def search_status(bed: Testbed) -> DataFrame:
-    return areas.with_status(bed.search(), review.plan_ids(bed.review()), joins.heavy_keys(bed.search(), ["plan_id"]))
+    return areas.with_status(bed.search(), review.plan_ids(bed.review()), bed.heavy("plan_id"))
 
 
 @_query
@@ -522,7 +521,7 @@ def region_subregion_table(bed: Testbed) -> DataFrame:
 @_query
 def plan_time_stats(bed: Testbed) -> DataFrame:
     refs = tables.with_clean_names(bed.references())
-    stats = areas.document_times(refs, review.plan_ids(bed.review()))
+    stats = areas.document_times(refs, review.plan_ids(bed.review()), heavy_plans=joins.heavy_keys(refs, "plan_id"))
     return _rounded(stats, 8, "avg_time", "sd_time", "pct_work_plan")
 
 
@@ -581,10 +580,10 @@ def _plan_inputs(bed: Testbed) -> tuple[DataFrame, DataFrame]:
 
 @_query
 def plan_table(bed: Testbed) -> DataFrame:
-    return _rounded(reports.plan_table(*_plan_inputs(bed), _heavy(bed, "mpa_id")), 3, "total_plan_area")
+    return _rounded(reports.plan_table(*_plan_inputs(bed), bed.heavy("mpa_id")), 3, "total_plan_area")
 
 
 @_query
 def plan_results_wide(bed: Testbed) -> DataFrame:
-    results = reports.plan_results_wide(*_plan_inputs(bed), bed.review(), _heavy(bed, "mpa_id"))
+    results = reports.plan_results_wide(*_plan_inputs(bed), bed.review(), bed.heavy("mpa_id"))
     return _rounded(results, 3, "total_plan_area")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planlens.functions.geo import POINT
 from planlens.operators.areas import union_search
+from planlens.operators.joins import heavy_keys
 from planlens.operators.reshape import cell_max
 from planlens.operators.review import review_long
 from planlens.questions import FIRST_ANSWER, N_QUESTIONS, question_key
@@ -67,10 +68,16 @@ class Testbed:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cache
+    def _by_plan(self) -> DataFrame:
+        """Customers partitioned by the later plan id, so that answers of a plan need no second shuffle."""
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self.table("customer").repartition(partitions, "c_custkey")
+
     @cache
     def answers(self) -> DataFrame:
         """plan_id, name, type, q_id, q_num, entry: both record types of every plan."""
-        customers = self.table("customer").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        customers = self._by_plan().join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         number = F.explode(F.sequence(F.lit(FIRST_ANSWER), F.lit(N_QUESTIONS))).alias("q_num")
         stat = customers.select(
             "c_custkey", "c_name", "c_acctbal", "c_mktsegment", "n_name", number
@@ -162,6 +169,11 @@ class Testbed:
     def search(self) -> DataFrame:
         return union_search(*self.search_lists())
 
+    @cache
+    def heavy(self, key: str) -> list:
+        """Keys of the search list that hold very many of its rows."""
+        return heavy_keys(self.search(), key)
+
     @cache
     def plans(self) -> DataFrame:
         """Plan metadata: least name, country and year of the search rows of a plan."""
