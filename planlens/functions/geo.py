@@ -32,28 +32,38 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _lon_step(start: Column, end: Column) -> Column:
-    """Longitude difference in radians, the short way across the antimeridian."""
-    return F.radians(F.pmod(end["lon"] - start["lon"] + 180.0, F.lit(360.0)) - 180.0)
-
-
 def ring_area_m2(ring: Column) -> Column:
     """Area of a ring with great-circle edges on the sphere.
 
     Each edge contributes the signed excess of the figure between it and the
-    equator.  If the ring winds round a pole, the sum measures the complement
-    within the hemisphere.
+    equator, its longitude difference taken the short way across the
+    antimeridian.  If the ring winds round a pole, the sum measures the
+    complement within the hemisphere.
     """
 
-    def excess(start: Column, end: Column) -> Column:
-        t1 = F.tan(F.radians(start["lat"]) / 2)
-        t2 = F.tan(F.radians(end["lat"]) / 2)
-        return 2 * F.atan2(F.tan(_lon_step(start, end) / 2) * (t1 + t2), 1 + t1 * t2)
+    def half_tan(point: Column) -> Column:
+        return F.tan(F.radians(point["lat"]) / 2)
+
+    steps = _edges(
+        ring,
+        lambda a, b: F.struct(
+            F.radians(F.pmod(b["lon"] - a["lon"] + 180.0, F.lit(360.0)) - 180.0).alias("turn"),
+            (half_tan(a) + half_tan(b)).alias("sum"),
+            (half_tan(a) * half_tan(b)).alias("product"),
+        ),
+    )
+    start = F.struct(F.lit(0.0).alias("excess"), F.lit(0.0).alias("turn"))
+
+    def add(total: Column, edge: Column) -> Column:
+        excess = 2 * F.atan2(F.tan(edge["turn"] / 2) * edge["sum"], 1 + edge["product"])
+        return F.struct((total["excess"] + excess).alias("excess"), (total["turn"] + edge["turn"]).alias("turn"))
 
-    total = F.abs(_total(_edges(ring, excess)))
-    turn = F.abs(_total(_edges(ring, _lon_step)))
-    steradians = F.when(turn > math.pi, 2 * math.pi - total).otherwise(total)
-    return steradians * (EARTH_RADIUS_M * EARTH_RADIUS_M)
+    def finish(total: Column) -> Column:
+        area = F.abs(total["excess"])
+        steradians = F.when(F.abs(total["turn"]) > math.pi, 2 * math.pi - area).otherwise(area)
+        return steradians * (EARTH_RADIUS_M * EARTH_RADIUS_M)
+
+    return F.aggregate(steps, start, add, finish)
 
 
 def area_m2(geometry: Column) -> Column:
@@ -70,54 +80,62 @@ def m2_to_km2(value: Column) -> Column:
     return value / M2_PER_KM2
 
 
-def centroid(geometry: Column) -> Column:
-    """Planar centroid ``struct<X,Y>`` of longitude/latitude rings.
+def _moments(area: Column, mx: Column, my: Column) -> Column:
+    return F.struct(area.alias("a"), mx.alias("mx"), my.alias("my"))
+
 
-    Moments are taken about the first point of each ring, which keeps the
-    products small; NULL if the geometry has no planar area.
+def ring_moments(ring: Column, sign: Column) -> Column:
+    """Signed planar area and first moments of a ring.
+
+    They are taken about the first point of the ring, which keeps the products small.
     """
+    origin = F.element_at(ring, 1)
 
-    def ring_moments(ring: Column, sign: Column) -> Column:
-        origin = F.element_at(ring, 1)
+    def step(p: Column, q: Column) -> Column:
+        px, py = p["lon"] - origin["lon"], p["lat"] - origin["lat"]
+        qx, qy = q["lon"] - origin["lon"], q["lat"] - origin["lat"]
+        return F.struct((px * qy - qx * py).alias("cross"), (px + qx).alias("x"), (py + qy).alias("y"))
 
-        def cross(a: Column, b: Column) -> Column:
-            return (a["lon"] - origin["lon"]) * (b["lat"] - origin["lat"]) - (b["lon"] - origin["lon"]) * (
-                a["lat"] - origin["lat"]
-            )
+    edges = _edges(ring, step)
 
-        doubled = _total(_edges(ring, cross))
-        six_x = _total(
-            _edges(ring, lambda a, b: cross(a, b) * ((a["lon"] - origin["lon"]) + (b["lon"] - origin["lon"])))
-        )
-        six_y = _total(
-            _edges(ring, lambda a, b: cross(a, b) * ((a["lat"] - origin["lat"]) + (b["lat"] - origin["lat"])))
-        )
-        weight = sign * F.signum(doubled)
-        area = weight * doubled / 2
-        return F.struct(
-            area.alias("a"),
-            (weight * six_x / 6 + area * origin["lon"]).alias("mx"),
-            (weight * six_y / 6 + area * origin["lat"]).alias("my"),
+    def add(total: Column, edge: Column) -> Column:
+        return _moments(
+            total["a"] + edge["cross"],
+            total["mx"] + edge["cross"] * edge["x"],
+            total["my"] + edge["cross"] * edge["y"],
         )
 
-    moments = F.flatten(
-        F.transform(
-            geometry,
-            lambda rings: F.transform(rings, lambda ring, i: ring_moments(ring, F.when(i == 0, 1.0).otherwise(-1.0))),
+    def finish(total: Column) -> Column:
+        weight = sign * F.signum(total["a"])
+        area = weight * total["a"] / 2
+        return _moments(
+            area,
+            weight * total["mx"] / 6 + area * origin["lon"],
+            weight * total["my"] / 6 + area * origin["lat"],
         )
-    )
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
-    return F.aggregate(
-        moments,
-        zero,
-        lambda acc, m: F.struct(
-            (acc["a"] + m["a"]).alias("a"), (acc["mx"] + m["mx"]).alias("mx"), (acc["my"] + m["my"]).alias("my")
-        ),
-        lambda acc: F.struct(
-            F.try_divide(acc["mx"], acc["a"]).alias("X"), F.try_divide(acc["my"], acc["a"]).alias("Y")
+
+    return F.aggregate(edges, _moments(F.lit(0.0), F.lit(0.0), F.lit(0.0)), add, finish)
+
+
+def centroid(geometry: Column) -> Column:
+    """Planar centroid ``struct<X,Y>`` of longitude/latitude rings; NULL without planar area."""
+    rings = F.transform(
+        geometry,
+        lambda polygon: F.transform(
+            polygon, lambda ring, i: ring_moments(ring, F.when(i == 0, 1.0).otherwise(-1.0))
         ),
     )
 
+    def add(total: Column, ring: Column) -> Column:
+        return _moments(total["a"] + ring["a"], total["mx"] + ring["mx"], total["my"] + ring["my"])
+
+    def finish(total: Column) -> Column:
+        return F.struct(
+            F.try_divide(total["mx"], total["a"]).alias("X"), F.try_divide(total["my"], total["a"]).alias("Y")
+        )
+
+    return F.aggregate(F.flatten(rings), _moments(F.lit(0.0), F.lit(0.0), F.lit(0.0)), add, finish)
+
 
 def ring_problem(ring: Column) -> Column:
     """Why a ring cannot be measured; NULL for a usable ring."""

@@ -17,13 +17,13 @@ HOT_SHARE = 0.001
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = 100_000) -> list:
-    """Keys other than NULL that hold more than ``share`` of the rows, and at least ``least`` rows.
+    """Keys other than NULL that hold more than ``share`` of the keyed rows, and at least ``least`` rows.
 
     One counting pass over the key column.  The answer has at most 1 / share
     keys whatever the size of ``df``, so it may travel to the driver.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("_rows")).scalar()
     hot = counts.where((F.col("_rows") > total * F.lit(share)) & (F.col("_rows") >= least))
     return [row[0] for row in hot.select(key).limit(int(1 / share)).collect()]
 

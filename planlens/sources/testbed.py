@@ -16,6 +16,7 @@ from planlens.operators.joins import heavy_keys
 from planlens.operators.reshape import cell_max
 from planlens.operators.review import review_long
 from planlens.questions import FIRST_ANSWER, N_QUESTIONS, question_key
+from planlens.session import materialise
 
 PLANS_PER_SHEET = 20
 AREAS_PER_PLAN = 8
@@ -68,16 +69,18 @@ class Testbed:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @cache
-    def _by_plan(self) -> DataFrame:
-        """Customers partitioned by the later plan id, so that answers of a plan need no second shuffle."""
+    def _partitioned(self, name: str, key: str) -> DataFrame:
+        """A table partitioned by its later id while its rows are still narrow.
+
+        The rows grow manyfold afterwards, and answers of a plan then need no second shuffle.
+        """
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return self.table("customer").repartition(partitions, "c_custkey")
+        return self.table(name).repartition(partitions, key)
 
     @cache
     def answers(self) -> DataFrame:
         """plan_id, name, type, q_id, q_num, entry: both record types of every plan."""
-        customers = self._by_plan().join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        customers = self._partitioned("customer", "c_custkey").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         number = F.explode(F.sequence(F.lit(FIRST_ANSWER), F.lit(N_QUESTIONS))).alias("q_num")
         stat = customers.select(
             "c_custkey", "c_name", "c_acctbal", "c_mktsegment", "n_name", number
@@ -167,7 +170,8 @@ class Testbed:
 
     @cache
     def search(self) -> DataFrame:
-        return union_search(*self.search_lists())
+        """The whole search list, stored: every later step reads it several times."""
+        return materialise(union_search(*self.search_lists()))
 
     @cache
     def heavy(self, key: str) -> list:
@@ -212,7 +216,7 @@ class Testbed:
         geometry = F.when(kind == 4, F.lit(None))
         for remainder, ring in bad.items():
             geometry = geometry.when(kind == remainder, F.array(F.array(ring)))
-        return self.table("part").select(key.alias("mpa_id"), geometry.otherwise(good).alias("geometry"))
+        return self._partitioned("part", "p_partkey").select(key.alias("mpa_id"), geometry.otherwise(good).alias("geometry"))
 
     @cache
     def names(self) -> DataFrame:
