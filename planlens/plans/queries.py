@@ -22,7 +22,7 @@ from planlens.rules import (
 )
 from planlens.session import materialise, new_shared_path
 from planlens.sources import tables
-from planlens.sources.testbed import Testbed
+from planlens.sources.derived import DerivedTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +32,8 @@ LEFT_PANEL = ("AFRICA", "AMERICA", "ASIA")
 _REGISTRY: dict[str, Query] = {}
 
 
-def _query(build: Callable[[Testbed], DataFrame]) -> Callable[[Testbed], DataFrame]:
-    _REGISTRY[build.__name__] = lambda spark, folder: build(Testbed(spark, folder))
+def _query(build: Callable[[DerivedTables], DataFrame]) -> Callable[[DerivedTables], DataFrame]:
+    _REGISTRY[build.__name__] = lambda spark, folder: build(DerivedTables(spark, folder))
     return build
 
 
@@ -46,32 +46,32 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
 
 
-def _numeric(bed: Testbed, *codes: str) -> DataFrame:
+def _numeric(bed: DerivedTables, *codes: str) -> DataFrame:
     return reshape.answers_wide(bed.review(), codes, numeric=True)
 
 
-def _heavy(bed: Testbed) -> tuple[list, list]:
+def _heavy(bed: DerivedTables) -> tuple[list, list]:
     """Hot areas and plans, counted on the narrow search list."""
     return bed.heavy("mpa_id"), bed.heavy("plan_id")
 
 
-def _area_metadata(bed: Testbed) -> DataFrame:
+def _area_metadata(bed: DerivedTables) -> DataFrame:
     return areas.area_metadata(
         bed.atlas(), bed.search(), bed.plans(), bed.all_plans(), review.plan_ids(bed.review()), *_heavy(bed)
     )
 
 
-def _found(bed: Testbed) -> DataFrame:
+def _found(bed: DerivedTables) -> DataFrame:
     return areas.found(_area_metadata(bed))
 
 
 
 
-def _sized(bed: Testbed) -> DataFrame:
+def _sized(bed: DerivedTables) -> DataFrame:
     return geometry.with_size(_found(bed), bed.geometry(), bed.heavy("mpa_id"))
 
 
-def _map_points(bed: Testbed) -> DataFrame:
+def _map_points(bed: DerivedTables) -> DataFrame:
     return geometry.map_points(bed.geometry(), _area_metadata(bed), bed.review(), *_heavy(bed))
 
 
@@ -79,34 +79,34 @@ def _map_points(bed: Testbed) -> DataFrame:
 
 
 @_query
-def typed_scan(bed: Testbed) -> DataFrame:
+def typed_scan(bed: DerivedTables) -> DataFrame:
     raw = bed.table("orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderpriority", "o_totalprice")
     return tables.with_column_types(raw, "ncnc-")
 
 
 @_query
-def text_scan(bed: Testbed) -> DataFrame:
+def text_scan(bed: DerivedTables) -> DataFrame:
     return tables.with_column_types(bed.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "c")
 
 
 @_query
-def column_range(bed: Testbed) -> DataFrame:
+def column_range(bed: DerivedTables) -> DataFrame:
     orders = bed.table("orders")
     return orders.select(*tables.column_range(orders, "o_custkey", "o_totalprice"))
 
 
 @_query
-def na_tokens(bed: Testbed) -> DataFrame:
+def na_tokens(bed: DerivedTables) -> DataFrame:
     return tables.with_clean_names(tables.clean_cells(bed.raw_cells()))
 
 
 @_query
-def clean_names(bed: Testbed) -> DataFrame:
+def clean_names(bed: DerivedTables) -> DataFrame:
     return tables.with_clean_names(bed.references())
 
 
 @_query
-def write_roundtrip(bed: Testbed) -> DataFrame:
+def write_roundtrip(bed: DerivedTables) -> DataFrame:
     """The review written as Parquet by record type, its stat rows as CSV, both read back and counted."""
     spark = bed.spark
     parquet, csv = new_shared_path(spark, "review"), new_shared_path(spark, "results")
@@ -122,32 +122,32 @@ def write_roundtrip(bed: Testbed) -> DataFrame:
 
 
 @_query
-def search_union(bed: Testbed) -> DataFrame:
+def search_union(bed: DerivedTables) -> DataFrame:
     return bed.search()
 
 
 @_query
-def missing_ids(bed: Testbed) -> DataFrame:
+def missing_ids(bed: DerivedTables) -> DataFrame:
     return areas.missing_plans(bed.search(), areas.qualify_areas(bed.atlas()), bed.all_plans(), bed.heavy("mpa_id"))
 
 
 @_query
-def semi_join_ids(bed: Testbed) -> DataFrame:
+def semi_join_ids(bed: DerivedTables) -> DataFrame:
     return joins.semi_join(bed.search(), areas.qualify_areas(bed.atlas()), "mpa_id", bed.heavy("mpa_id"))
 
 
 @_query
-def anti_join_ids(bed: Testbed) -> DataFrame:
+def anti_join_ids(bed: DerivedTables) -> DataFrame:
     return areas.areas_outside(bed.search(), areas.qualify_areas(bed.atlas()), bed.heavy("mpa_id"))
 
 
 @_query
-def exclude_ids(bed: Testbed) -> DataFrame:
+def exclude_ids(bed: DerivedTables) -> DataFrame:
     return review.exclude_plans(bed.search().select("mpa_id", "plan_id"), EXCLUDED_PLANS[:2])
 
 
 @_query
-def null_safe_left_join(bed: Testbed) -> DataFrame:
+def null_safe_left_join(bed: DerivedTables) -> DataFrame:
     search = bed.search().select("mpa_id", "plan_id", "search")
     per_plan = search.groupBy("plan_id").agg(F.count(F.lit(1)).alias("plan_rows"), F.max("search").alias("last_search"))
     return joins.left_join(search, per_plan, "plan_id", bed.heavy("plan_id"))
@@ -157,28 +157,28 @@ def null_safe_left_join(bed: Testbed) -> DataFrame:
 
 
 @_query
-def review_long(bed: Testbed) -> DataFrame:
+def review_long(bed: DerivedTables) -> DataFrame:
     return bed.review()
 
 
 @_query
-def review_wide(bed: Testbed) -> DataFrame:
+def review_wide(bed: DerivedTables) -> DataFrame:
     return reshape.answers_wide(bed.review(), ANSWER_CODES)
 
 
 @_query
-def coded_to_numeric(bed: Testbed) -> DataFrame:
+def coded_to_numeric(bed: DerivedTables) -> DataFrame:
     wide = reshape.answers_wide(bed.review(), ANSWER_CODES[ANSWER_CODES.index("climate_mention") :])
     return tables.numbers_in_range(wide, "climate_mention", "threat_habitat_cc")
 
 
 @_query
-def climate_subset(bed: Testbed) -> DataFrame:
+def climate_subset(bed: DerivedTables) -> DataFrame:
     return review.climate_subset(bed.review()).select("plan_id", "q_code", "entry")
 
 
 @_query
-def climate_wide(bed: Testbed) -> DataFrame:
+def climate_wide(bed: DerivedTables) -> DataFrame:
     chosen = review.climate_subset(bed.review())
     codes = [c for c in ANSWER_CODES if c.startswith("climate_")] + ["obj_cc_any", "design_cc_any", "monitor_exp_any"]
     numbers = tables.numbers_from_text(reshape.answers_wide(chosen, codes))
@@ -186,34 +186,34 @@ def climate_wide(bed: Testbed) -> DataFrame:
 
 
 @_query
-def sheet_unpivot(bed: Testbed) -> DataFrame:
+def sheet_unpivot(bed: DerivedTables) -> DataFrame:
     return reshape.sheet_long(bed.sheets(), "sheet_id")
 
 
 @_query
-def question_category(bed: Testbed) -> DataFrame:
+def question_category(bed: DerivedTables) -> DataFrame:
     return reshape.sheet_key(bed.sheets())
 
 
 @_query
-def category_order(bed: Testbed) -> DataFrame:
+def category_order(bed: DerivedTables) -> DataFrame:
     counts = review.count_by(bed.review(), "category")
     known = only_levels(F.col("category"), COMPONENTS)
     return counts.select(known.alias("category"), level_rank(known, COMPONENTS).alias("category_rank"), "n")
 
 
 @_query
-def count_by_group(bed: Testbed) -> DataFrame:
+def count_by_group(bed: DerivedTables) -> DataFrame:
     return review.count_by(bed.search(), "search", "plan_id")
 
 
 @_query
-def language_share(bed: Testbed) -> DataFrame:
+def language_share(bed: DerivedTables) -> DataFrame:
     return review.language_share(bed.review())
 
 
 @_query
-def strategy_table(bed: Testbed) -> DataFrame:
+def strategy_table(bed: DerivedTables) -> DataFrame:
     return review.strategy_table(bed.review())
 
 
@@ -221,7 +221,7 @@ def strategy_table(bed: Testbed) -> DataFrame:
 
 
 @_query
-def flag_three_valued(bed: Testbed) -> DataFrame:
+def flag_three_valued(bed: DerivedTables) -> DataFrame:
     wide = _numeric(bed, "monitor_any", "monitor_sci", "monitor_soc")
     one = lambda c: F.col(c) == 1
     return wide.select(
@@ -233,7 +233,7 @@ def flag_three_valued(bed: Testbed) -> DataFrame:
 
 
 @_query
-def null_in_set(bed: Testbed) -> DataFrame:
+def null_in_set(bed: DerivedTables) -> DataFrame:
     wide = _numeric(bed, "assess_any", "assess_climate")
     return wide.select(
         "plan_id",
@@ -245,7 +245,7 @@ def null_in_set(bed: Testbed) -> DataFrame:
 
 
 @_query
-def row_any(bed: Testbed) -> DataFrame:
+def row_any(bed: DerivedTables) -> DataFrame:
     codes = ["monitor_any", "monitor_imp_any", "assess_any", "threat_any"]
     wide = _numeric(bed, *codes)
     return wide.select(
@@ -256,7 +256,7 @@ def row_any(bed: Testbed) -> DataFrame:
 
 
 @_query
-def row_all(bed: Testbed) -> DataFrame:
+def row_all(bed: DerivedTables) -> DataFrame:
     codes = ["obj_sp", "obj_unit", "monitor_any"]
     wide = _numeric(bed, *codes)
     return wide.select(
@@ -267,13 +267,13 @@ def row_all(bed: Testbed) -> DataFrame:
 
 
 @_query
-def row_sum(bed: Testbed) -> DataFrame:
+def row_sum(bed: DerivedTables) -> DataFrame:
     codes = ["monitor_any", "monitor_sci", "monitor_soc", "design_type"]
     return _numeric(bed, *codes).select("plan_id", nulls.row_total(codes).alias("total"))
 
 
 @_query
-def column_sums(bed: Testbed) -> DataFrame:
+def column_sums(bed: DerivedTables) -> DataFrame:
     wide = _numeric(bed, "monitor_any", "obj_any")
     return wide.agg(
         nulls.strict_sum(F.col("monitor_any")).alias("strict_any"),
@@ -285,7 +285,7 @@ def column_sums(bed: Testbed) -> DataFrame:
 
 
 @_query
-def conditional_update(bed: Testbed) -> DataFrame:
+def conditional_update(bed: DerivedTables) -> DataFrame:
     answers = reshape.stat_rows(bed.review())
     missing = (F.col("q_code") == "assess_any") & F.col("entry").isNull()
     entry = nulls.replace_where(F.col("entry"), missing, "0")
@@ -293,17 +293,17 @@ def conditional_update(bed: Testbed) -> DataFrame:
 
 
 @_query
-def planned_to_binary(bed: Testbed) -> DataFrame:
+def planned_to_binary(bed: DerivedTables) -> DataFrame:
     return condensed.binary_answers(bed.review()).select("plan_id", "q_code", "entry")
 
 
 @_query
-def design_flags(bed: Testbed) -> DataFrame:
+def design_flags(bed: DerivedTables) -> DataFrame:
     return indicators.indicators(bed.review(), section_rules(DESIGN))
 
 
 @_query
-def fill_missing(bed: Testbed) -> DataFrame:
+def fill_missing(bed: DerivedTables) -> DataFrame:
     return tables.fill_nulls(_numeric(bed, "monitor_any", "assess_any", "assess_climate"))
 
 
@@ -311,7 +311,7 @@ def fill_missing(bed: Testbed) -> DataFrame:
 
 
 def _section(name: str, section: str) -> None:
-    _REGISTRY[name] = lambda spark, folder: indicators.section_summary(Testbed(spark, folder).review(), section)
+    _REGISTRY[name] = lambda spark, folder: indicators.section_summary(DerivedTables(spark, folder).review(), section)
 
 
 _section("stat_summary_climate", CLIMATE)
@@ -323,57 +323,57 @@ _section("stat_summary_mgmt", MANAGEMENT)
 
 
 @_query
-def all_stat(bed: Testbed) -> DataFrame:
+def all_stat(bed: DerivedTables) -> DataFrame:
     return indicators.all_stat(bed.review())
 
 
 @_query
-def figure_indicators(bed: Testbed) -> DataFrame:
+def figure_indicators(bed: DerivedTables) -> DataFrame:
     return indicators.figure_indicators(indicators.all_stat(bed.review()))
 
 
 @_query
-def split_stat_name(bed: Testbed) -> DataFrame:
+def split_stat_name(bed: DerivedTables) -> DataFrame:
     return indicators.split_stats(indicators.all_stat(bed.review()))
 
 
 @_query
-def label_recode(bed: Testbed) -> DataFrame:
+def label_recode(bed: DerivedTables) -> DataFrame:
     return indicators.labelled_threats(indicators.all_stat(bed.review()))
 
 
 @_query
-def assessment_total(bed: Testbed) -> DataFrame:
+def assessment_total(bed: DerivedTables) -> DataFrame:
     return review.assessment_total(bed.review())
 
 
 @_query
-def design_entry_counts(bed: Testbed) -> DataFrame:
+def design_entry_counts(bed: DerivedTables) -> DataFrame:
     return _rounded(review.design_entry_counts(bed.review()), 6, "pct_1")
 
 
 @_query
-def indicator_matrix(bed: Testbed) -> DataFrame:
+def indicator_matrix(bed: DerivedTables) -> DataFrame:
     return indicators.indicator_matrix(bed.review())
 
 
 @_query
-def indicator_full_join(bed: Testbed) -> DataFrame:
+def indicator_full_join(bed: DerivedTables) -> DataFrame:
     return indicators.indicator_full_join(bed.review())
 
 
 @_query
-def all_by_plan(bed: Testbed) -> DataFrame:
+def all_by_plan(bed: DerivedTables) -> DataFrame:
     return indicators.all_by_plan(bed.review())
 
 
 @_query
-def plan_results_long(bed: Testbed) -> DataFrame:
+def plan_results_long(bed: DerivedTables) -> DataFrame:
     return indicators.results_long(bed.review())
 
 
 @_query
-def threat_matrix(bed: Testbed) -> DataFrame:
+def threat_matrix(bed: DerivedTables) -> DataFrame:
     return indicators.threat_matrix(bed.review())
 
 
@@ -381,77 +381,77 @@ def threat_matrix(bed: Testbed) -> DataFrame:
 
 
 @_query
-def inclusion_levels(bed: Testbed) -> DataFrame:
+def inclusion_levels(bed: DerivedTables) -> DataFrame:
     return inclusion.inclusion_levels(bed.review())
 
 
 @_query
-def inclusion_levels_wide(bed: Testbed) -> DataFrame:
+def inclusion_levels_wide(bed: DerivedTables) -> DataFrame:
     return inclusion.inclusion_levels_wide(inclusion.inclusion_levels(bed.review()))
 
 
 @_query
-def plan_scores(bed: Testbed) -> DataFrame:
+def plan_scores(bed: DerivedTables) -> DataFrame:
     return inclusion.plan_scores(inclusion.inclusion_levels(bed.review()))
 
 
 @_query
-def level_counts(bed: Testbed) -> DataFrame:
+def level_counts(bed: DerivedTables) -> DataFrame:
     return inclusion.level_counts(inclusion.inclusion_levels(bed.review()))
 
 
-def _reviewed_regions(bed: Testbed) -> DataFrame:
+def _reviewed_regions(bed: DerivedTables) -> DataFrame:
     regions = areas.plan_region(_area_metadata(bed))
     return joins.semi_join(regions, review.plan_ids(bed.review()), "plan_id")
 
 
 @_query
-def plan_region(bed: Testbed) -> DataFrame:
+def plan_region(bed: DerivedTables) -> DataFrame:
     return _reviewed_regions(bed)
 
 
 @_query
-def region_count(bed: Testbed) -> DataFrame:
+def region_count(bed: DerivedTables) -> DataFrame:
     return inclusion.region_count(_reviewed_regions(bed))
 
 
 @_query
-def level_heatmap(bed: Testbed) -> DataFrame:
+def level_heatmap(bed: DerivedTables) -> DataFrame:
     return inclusion.level_heatmap(bed.review(), bed.names(), _reviewed_regions(bed), LEFT_PANEL)
 
 
 @_query
-def abbreviate_names(bed: Testbed) -> DataFrame:
+def abbreviate_names(bed: DerivedTables) -> DataFrame:
     return inclusion.abbreviate_names(bed.names())
 
 
 @_query
-def strip_parenthetical(bed: Testbed) -> DataFrame:
+def strip_parenthetical(bed: DerivedTables) -> DataFrame:
     return inclusion.short_names(review.plan_names(bed.review()))
 
 
 @_query
-def condensed_flags(bed: Testbed) -> DataFrame:
+def condensed_flags(bed: DerivedTables) -> DataFrame:
     return condensed.condensed_flags(bed.review())
 
 
 @_query
-def condensed_summary(bed: Testbed) -> DataFrame:
+def condensed_summary(bed: DerivedTables) -> DataFrame:
     return condensed.condensed_summary(bed.review(), areas.plan_region(_found(bed)))
 
 
 @_query
-def legacy_level_stats(bed: Testbed) -> DataFrame:
+def legacy_level_stats(bed: DerivedTables) -> DataFrame:
     return condensed.earlier_level_stats(bed.review())
 
 
 @_query
-def legacy_code_stats(bed: Testbed) -> DataFrame:
+def legacy_code_stats(bed: DerivedTables) -> DataFrame:
     return condensed.earlier_code_stats(bed.review())
 
 
 @_query
-def radar_score(bed: Testbed) -> DataFrame:
+def radar_score(bed: DerivedTables) -> DataFrame:
     return condensed.radar_score(bed.review())
 
 
@@ -459,67 +459,67 @@ def radar_score(bed: Testbed) -> DataFrame:
 
 
 @_query
-def qualify_areas(bed: Testbed) -> DataFrame:
+def qualify_areas(bed: DerivedTables) -> DataFrame:
     return areas.qualify_areas(bed.atlas())
 
 
 @_query
-def qualify_strict_lost_plans(bed: Testbed) -> DataFrame:
+def qualify_strict_lost_plans(bed: DerivedTables) -> DataFrame:
     return areas.lost_by_strict_rule(bed.atlas(), bed.search(), bed.all_plans(), *_heavy(bed))
 
 
 @_query
-def area_list(bed: Testbed) -> DataFrame:
+def area_list(bed: DerivedTables) -> DataFrame:
     return areas.area_list(bed.atlas(), bed.search(), bed.all_plans(), *_heavy(bed))
 
 
 @_query
-def area_metadata(bed: Testbed) -> DataFrame:
+def area_metadata(bed: DerivedTables) -> DataFrame:
     return _area_metadata(bed)
 
 
 @_query
-def search_status(bed: Testbed) -> DataFrame:
+def search_status(bed: DerivedTables) -> DataFrame:
     return areas.with_status(bed.search(), review.plan_ids(bed.review()), bed.heavy("plan_id"))
 
 
 @_query
-def area_found(bed: Testbed) -> DataFrame:
+def area_found(bed: DerivedTables) -> DataFrame:
     return _found(bed)
 
 
 @_query
-def overview_totals(bed: Testbed) -> DataFrame:
+def overview_totals(bed: DerivedTables) -> DataFrame:
     return areas.overview_totals(_area_metadata(bed))
 
 
 @_query
-def multi_area_plans(bed: Testbed) -> DataFrame:
+def multi_area_plans(bed: DerivedTables) -> DataFrame:
     return areas.multi_area_plans(_found(bed))
 
 
 @_query
-def geography_stats(bed: Testbed) -> DataFrame:
+def geography_stats(bed: DerivedTables) -> DataFrame:
     return _rounded(areas.geography_stats(_found(bed), RECENT_AFTER), 8, "average_year", "pct_last_decade")
 
 
 @_query
-def country_table(bed: Testbed) -> DataFrame:
+def country_table(bed: DerivedTables) -> DataFrame:
     return areas.areas_and_plans(_found(bed), "country")
 
 
 @_query
-def region_table(bed: Testbed) -> DataFrame:
+def region_table(bed: DerivedTables) -> DataFrame:
     return areas.areas_and_plans(_found(bed), "region", n_areas="n_zones")
 
 
 @_query
-def region_subregion_table(bed: Testbed) -> DataFrame:
+def region_subregion_table(bed: DerivedTables) -> DataFrame:
     return areas.areas_and_plans(_found(bed), "region", "subregion", n_areas="n_zones")
 
 
 @_query
-def plan_time_stats(bed: Testbed) -> DataFrame:
+def plan_time_stats(bed: DerivedTables) -> DataFrame:
     refs = tables.with_clean_names(bed.references())
     stats = areas.document_times(refs, review.plan_ids(bed.review()), heavy_plans=joins.heavy_keys(refs, "plan_id"))
     return _rounded(stats, 8, "avg_time", "sd_time", "pct_work_plan")
@@ -529,43 +529,43 @@ def plan_time_stats(bed: Testbed) -> DataFrame:
 
 
 @_query
-def ring_quality(bed: Testbed) -> DataFrame:
+def ring_quality(bed: DerivedTables) -> DataFrame:
     return geometry.ring_quality(bed.geometry()).select("mpa_id", "problem")
 
 
 @_query
-def polygon_area(bed: Testbed) -> DataFrame:
+def polygon_area(bed: DerivedTables) -> DataFrame:
     return _rounded(geometry.polygon_area(bed.geometry()), 3, "area_calc")
 
 
 @_query
-def polygon_centroid(bed: Testbed) -> DataFrame:
+def polygon_centroid(bed: DerivedTables) -> DataFrame:
     return _rounded(geometry.polygon_centroid(bed.geometry()), 6, "X", "Y")
 
 
 @_query
-def area_size_class(bed: Testbed) -> DataFrame:
+def area_size_class(bed: DerivedTables) -> DataFrame:
     sized = _sized(bed).select("mpa_id", "plan_id", "area_calc", "size_class", "size_rank")
     return _rounded(sized, 3, "area_calc")
 
 
 @_query
-def plan_size_class(bed: Testbed) -> DataFrame:
+def plan_size_class(bed: DerivedTables) -> DataFrame:
     return geometry.plan_size_class(_sized(bed))
 
 
 @_query
-def plan_area_total(bed: Testbed) -> DataFrame:
+def plan_area_total(bed: DerivedTables) -> DataFrame:
     return _rounded(geometry.plan_area_total(_sized(bed)), 2, "total_review_area")
 
 
 @_query
-def map_points(bed: Testbed) -> DataFrame:
+def map_points(bed: DerivedTables) -> DataFrame:
     return _rounded(_map_points(bed), 6, "X", "Y")
 
 
 @_query
-def latitude_density(bed: Testbed) -> DataFrame:
+def latitude_density(bed: DerivedTables) -> DataFrame:
     latitudes = materialise(_map_points(bed).select("climate_mention", "Y"))
     density = kernel_density(latitudes, "climate_mention", "Y", *geometry.LAT_LIMITS)
     return _rounded(density, 8, "y", "density")
@@ -574,16 +574,16 @@ def latitude_density(bed: Testbed) -> DataFrame:
 # Plan tables
 
 
-def _plan_inputs(bed: Testbed) -> tuple[DataFrame, DataFrame]:
+def _plan_inputs(bed: DerivedTables) -> tuple[DataFrame, DataFrame]:
     return materialise(_found(bed)), bed.geometry()
 
 
 @_query
-def plan_table(bed: Testbed) -> DataFrame:
+def plan_table(bed: DerivedTables) -> DataFrame:
     return _rounded(reports.plan_table(*_plan_inputs(bed), bed.heavy("mpa_id")), 3, "total_plan_area")
 
 
 @_query
-def plan_results_wide(bed: Testbed) -> DataFrame:
+def plan_results_wide(bed: DerivedTables) -> DataFrame:
     results = reports.plan_results_wide(*_plan_inputs(bed), bed.review(), bed.heavy("mpa_id"))
     return _rounded(results, 3, "total_plan_area")

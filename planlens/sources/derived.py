@@ -58,7 +58,7 @@ def _box(lon: Column, lat: Column, width: Column) -> Column:
     return F.array(*[F.struct(x.alias("lon"), y.alias("lat")).cast(POINT) for x, y in corners])
 
 
-class Testbed:
+class DerivedTables:
     """The tables below one folder of the test data; each is planned once."""
 
     def __init__(self, spark: SparkSession, folder: str):
