@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from planlens.functions.levels import level_rank
-from planlens.functions.nulls import first_match, in_set, lenient_sum
+from planlens.functions.nulls import in_set
 from planlens.functions.text import clean_name, drop_parenthetical, replace_first_chain
 from planlens.operators.indicators import indicators, stack
 from planlens.operators.joins import heavy_keys, left_join
 from planlens.operators.ranking import row_number_over
-from planlens.operators.reshape import cell_max
 from planlens.rules import CA, GA, RA, SECTIONS, TYPES, section_rules
 from planlens.session import materialise
 
@@ -49,62 +48,77 @@ def short_names(names: DataFrame) -> DataFrame:
     return names.withColumn("name_short", drop_parenthetical(F.col("name")))
 
 
+_TYPE_COLUMNS = [clean_name(t) for t in TYPES]
+_CELL = [*_TYPE_COLUMNS, "level"]
+
+# Count column of each level.
+_COUNTS = {CA: "climate_count", RA: "rec_count", GA: "aware_count", None: "not_included"}
+
+
 def _score(section: str, type_: str) -> str:
     """SQL for the number of indicators met; NULL where a section has none of the type."""
     stats = [r.stat for r in section_rules(section) if r.type == type_]
     return " + ".join(f"coalesce({s}, 0D)" for s in stats) if stats else "CAST(NULL AS DOUBLE)"
 
 
-def inclusion_levels(review: DataFrame) -> DataFrame:
-    """Score per inclusion type and the level they give, per plan and component.
+def _level(i: int) -> str:
+    tests = " ".join(f"WHEN {clean_name(t)}_{i} > 0 THEN '{t}'" for t in TYPES)
+    return f"CASE {tests} END AS level_{i}"
 
-    Scores are sums across the indicator columns of a plan, so the only shuffle
-    is the one that brings the answers of a plan together.
-    """
-    rows = [(f"'{s}'", *[_score(s, t) for t in TYPES]) for s in SECTIONS]
-    scores = indicators(review).select("plan_id", stack(rows, ["category", *map(clean_name, TYPES)]))
-    level = first_match([(F.col(clean_name(t)) > 0, t) for t in TYPES])
-    return scores.withColumn("level", level)
 
+def _total(type_: str) -> str:
+    return " + ".join(f"coalesce({clean_name(type_)}_{i}, 0D)" for i in range(len(SECTIONS)))
 
-def inclusion_levels_wide(levels: DataFrame) -> DataFrame:
-    """One row per plan, one level column per component."""
-    return levels.groupBy("plan_id").agg(
-        *[cell_max(F.col("level"), F.col("category") == s).alias(s) for s in SECTIONS]
-    )
 
+def _count(level: str | None) -> str:
+    wanted = f"'{level}'" if level else "CAST(NULL AS STRING)"
+    return " + ".join(f"CAST(level_{i} <=> {wanted} AS BIGINT)" for i in range(len(SECTIONS)))
 
-def plan_scores(levels: DataFrame) -> DataFrame:
-    """Total score per plan and inclusion type."""
-    return levels.groupBy("plan_id").agg(
-        lenient_sum(F.col(clean_name(CA))).alias("total_climate"),
-        lenient_sum(F.col(clean_name(RA))).alias("total_rec"),
-        lenient_sum(F.col(clean_name(GA))).alias("total_aware"),
+
+def plan_levels(review: DataFrame) -> DataFrame:
+    """One row per plan with scores and level of every component, total scores and level counts.
+
+    All of them are expressions over the indicators of a plan: the only shuffle
+    is the one that brings its answers together.
+    """
+    numbered = list(enumerate(SECTIONS))
+    scores = [f"{_score(s, t)} AS {clean_name(t)}_{i}" for i, s in numbered for t in TYPES]
+    levels = indicators(review).selectExpr("plan_id", *scores).selectExpr("*", *[_level(i) for i, _ in numbered])
+    return levels.selectExpr(
+        "*",
+        f"{_total(CA)} AS total_climate",
+        f"{_total(RA)} AS total_rec",
+        f"{_total(GA)} AS total_aware",
+        *[f"{_count(level)} AS {name}" for level, name in _COUNTS.items()],
     )
 
 
-_COUNT_NAMES = [(CA, "climate_count"), (RA, "rec_count"), (GA, "aware_count")]
+def _cells() -> Column:
+    """Spread the components of a plan into rows."""
+    rows = [(f"'{s}'", *[f"{c}_{i}" for c in _CELL]) for i, s in enumerate(SECTIONS)]
+    return stack(rows, ["category", *_CELL])
 
 
-def level_counts(levels: DataFrame) -> DataFrame:
-    """Components per plan and level; 0 where a level does not occur."""
-    return levels.groupBy("plan_id").agg(
-        *[F.count_if(F.col("level") == level).alias(name) for level, name in _COUNT_NAMES],
-        F.count_if(F.col("level").isNull()).alias("not_included"),
-    )
+def inclusion_levels(review: DataFrame) -> DataFrame:
+    """Score per inclusion type and the level they give, per plan and component."""
+    return plan_levels(review).select("plan_id", _cells())
+
+
+def inclusion_levels_wide(review: DataFrame) -> DataFrame:
+    """One row per plan, one level column per component."""
+    return plan_levels(review).select("plan_id", *[F.col(f"level_{i}").alias(s) for i, s in enumerate(SECTIONS)])
 
 
-def _score_columns() -> list[Column]:
-    return [
-        lenient_sum(F.col(clean_name(CA))).alias("total_climate"),
-        lenient_sum(F.col(clean_name(RA))).alias("total_rec"),
-        lenient_sum(F.col(clean_name(GA))).alias("total_aware"),
-        *[F.count_if(F.col("level") == level).alias(name) for level, name in _COUNT_NAMES],
-        F.count_if(F.col("level").isNull()).alias("not_included"),
-    ]
+def plan_scores(review: DataFrame) -> DataFrame:
+    """Total score per plan and inclusion type."""
+    return plan_levels(review).select("plan_id", "total_climate", "total_rec", "total_aware")
+
+
+def level_counts(review: DataFrame) -> DataFrame:
+    """Components per plan and level; 0 where a level does not occur."""
+    return plan_levels(review).select("plan_id", *_COUNTS.values())
 
 
-_CELL = ["category", *[clean_name(t) for t in TYPES], "level"]
 _ORDER = ["climate_count", "rec_count", "aware_count", "total_climate", "total_rec"]
 
 
@@ -113,47 +127,32 @@ def level_heatmap(
 ) -> DataFrame:
     """Levels with names, regions, scores and the order of the names.
 
-    Scores, counts and the (at most six) component cells of a plan come from
-    one aggregate per plan, so the small tables join on plan rows before these
-    are spread.  A plan in two regions has two rows per component.  A name is
-    placed where its lowest plan stands; ``left_panel`` splits the regions.
+    Names and regions join on plan rows, which are spread into components last.
+    A plan in two regions has two rows per component.  A name is placed where
+    its lowest plan stands; ``left_panel`` splits the regions.
     """
-    cells = inclusion_levels(review)
-    plans = cells.groupBy("plan_id").agg(
-        *_score_columns(), F.collect_list(F.struct(*[F.col(c) for c in _CELL])).alias("_cells")
-    )
-    short = abbreviate_names(names)
-    named = materialise(left_join(plans, short, "plan_id"))
+    named = materialise(left_join(plan_levels(review), abbreviate_names(names), "plan_id"))
     position = F.min(F.struct(*_ORDER, "plan_id")).alias("_first")
     firsts = named.where(F.col("name_abbrev").isNotNull()).groupBy("name_abbrev").agg(position)
-    firsts = firsts.select(
-        "name_abbrev", *[F.col(f"_first.{k}").alias(k) for k in _ORDER], F.col("_first.plan_id").alias("plan_id")
-    )
+    firsts = firsts.select("name_abbrev", "_first.*")
     ranks = row_number_over(firsts, _ORDER, "plan_id", ["name_abbrev"], "name_rank").select("name_abbrev", "name_rank")
     ranked = left_join(named, ranks, "name_abbrev", heavy_keys(named, "name_abbrev"))
     placed = left_join(ranked, regions, "plan_id")
-    spread = placed.select("*", F.inline("_cells")).drop("_cells")
     panel = F.lit(None).cast("string")
     if left_panel is not None:
         panel = F.when(in_set(F.col("region"), list(left_panel)), "left").otherwise("right")
-    return spread.withColumn("level", F.coalesce("level", F.lit(NOT_INCLUDED))).select(
+    attributes = ["name_english", "name_abbrev", "region", "total_climate", "total_rec", "total_aware"]
+    attributes += [*_COUNTS.values(), "name_rank"]
+    spread = placed.select("plan_id", *attributes, panel.alias("panel"), _cells())
+    level = F.coalesce("level", F.lit(NOT_INCLUDED))
+    return spread.select(
         "plan_id",
         "category",
-        *[clean_name(t) for t in TYPES],
-        "level",
-        level_rank(F.col("level"), LEVELS).alias("level_rank"),
-        "name_english",
-        "name_abbrev",
-        "region",
-        "total_climate",
-        "total_rec",
-        "total_aware",
-        "climate_count",
-        "rec_count",
-        "aware_count",
-        "not_included",
-        "name_rank",
-        panel.alias("panel"),
+        *_TYPE_COLUMNS,
+        level.alias("level"),
+        level_rank(level, LEVELS).alias("level_rank"),
+        *attributes,
+        "panel",
     )
 
 

@@ -387,17 +387,17 @@ def inclusion_levels(bed: DerivedTables) -> DataFrame:
 
 @_query
 def inclusion_levels_wide(bed: DerivedTables) -> DataFrame:
-    return inclusion.inclusion_levels_wide(inclusion.inclusion_levels(bed.review()))
+    return inclusion.inclusion_levels_wide(bed.review())
 
 
 @_query
 def plan_scores(bed: DerivedTables) -> DataFrame:
-    return inclusion.plan_scores(inclusion.inclusion_levels(bed.review()))
+    return inclusion.plan_scores(bed.review())
 
 
 @_query
 def level_counts(bed: DerivedTables) -> DataFrame:
-    return inclusion.level_counts(inclusion.inclusion_levels(bed.review()))
+    return inclusion.level_counts(bed.review())
 
 
 def _reviewed_regions(bed: DerivedTables) -> DataFrame:

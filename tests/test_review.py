@@ -82,7 +82,7 @@ def test_full_join_chain_equals_the_matrix(bed):
 
 
 def test_level_counts_cover_all_components(bed):
-    counts = inclusion.level_counts(inclusion.inclusion_levels(bed.review()))
+    counts = inclusion.level_counts(bed.review())
     total = F.col("climate_count") + F.col("rec_count") + F.col("aware_count") + F.col("not_included")
     assert {r[0] for r in counts.select(total).distinct().collect()} == {len(SECTIONS)}
 
