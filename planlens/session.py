@@ -52,10 +52,12 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder and cut its lineage there.
+    """Write ``df`` once to a table in the shared folder and continue from there.
 
-    For frames read by several branches of one query whose recomputation
-    would repeat joins; the files survive the loss of an executor.
+    For frames read by several branches of one query whose recomputation would
+    repeat joins.  The table survives the loss of an executor, later steps read
+    only the columns they need, and joins know its size.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = new_shared_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -82,21 +82,18 @@ class DerivedTables:
         """plan_id, name, type, q_id, q_num, entry: both record types of every plan."""
         customers = self._partitioned("customer", "c_custkey").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         number = F.explode(F.sequence(F.lit(FIRST_ANSWER), F.lit(N_QUESTIONS))).alias("q_num")
-        stat = customers.select(
-            "c_custkey", "c_name", "c_acctbal", "c_mktsegment", "n_name", number
-        ).withColumn("_stat", _stat_entry(F.col("q_num")))
+        kind = F.explode(F.array(F.lit("stat"), F.lit("detail"))).alias("type")
+        rows = customers.select("*", number).select("*", kind)
+        # Entries are computed after the record types are spread, so that a filter on the type comes first.
+        stat = _stat_entry(F.col("q_num"))
         text = F.concat(F.lit(" - "), F.lower("c_mktsegment"), F.lit(" measure "), F.col("q_num"))
-        detail = F.when(F.col("_stat").isin("1", "0.5", "Planned"), text)
-        records = F.array(
-            F.struct(F.lit("stat").alias("type"), F.col("_stat").alias("entry")),
-            F.struct(F.lit("detail").alias("type"), detail.alias("entry")),
-        )
-        return stat.select(
+        return rows.select(
             F.col("c_custkey").alias("plan_id"),
             F.concat("c_name", F.lit(" (segment "), "c_mktsegment", F.lit(")")).alias("name"),
+            "type",
             F.concat(F.lit("Q_"), F.col("q_num")).alias("q_id"),
             "q_num",
-            F.inline(records),
+            F.when(F.col("type") == "stat", stat).when(stat.isin("1", "0.5", "Planned"), text).alias("entry"),
         )
 
     @cache
