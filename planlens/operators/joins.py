@@ -17,15 +17,22 @@ HOT_SHARE = 0.001
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = 100_000) -> list:
-    """Keys other than NULL that hold more than ``share`` of the keyed rows, and at least ``least`` rows.
+    """Keys, NULL included, that hold more than ``share`` of all rows and at least ``least`` rows.
 
-    One counting pass over the key column.  The answer has at most 1 / share
-    keys whatever the size of ``df``, so it may travel to the driver.
+    One counting pass over the key column.  Fewer than 1 / share keys can hold
+    that much, whatever the size of ``df``, so the list may travel to the driver.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.sum("_rows")).scalar()
     hot = counts.where((F.col("_rows") > total * F.lit(share)) & (F.col("_rows") >= least))
-    return [row[0] for row in hot.select(key).limit(int(1 / share)).collect()]
+    return [row[0] for row in hot.select(key).collect()]
+
+
+def _is_heavy(key: str, heavy: Sequence) -> Column:
+    """True or false: is the key in the list, which may hold NULL?"""
+    known = [k for k in heavy if k is not None]
+    hit = F.coalesce(F.col(key).isin(*known), F.lit(False)) if known else F.lit(False)
+    return hit | F.col(key).isNull() if len(known) < len(heavy) else hit
 
 
 def _spread(df: DataFrame) -> int:
@@ -53,8 +60,7 @@ def _salted_join(left: DataFrame, right: DataFrame, on: str, how: str, heavy: Se
     """
 
     def hot(key: str) -> Column:
-        unknown = F.col(key).isNull()
-        return unknown | F.col(key).isin(*heavy) if heavy else unknown
+        return _is_heavy(key, [None, *(k for k in heavy if k is not None)])
 
     spread = _spread(left)
     salted = left.withColumn("_salt", _own_salt(left, hot(on), spread))
@@ -81,21 +87,18 @@ def anti_join(left: DataFrame, ids: DataFrame, on: str, heavy: Sequence = ()) ->
 def lookup_join(left: DataFrame, right: DataFrame, on: str, heavy: Sequence = ()) -> DataFrame:
     """All rows of a unique ``left`` with their many, possibly hot, ``right`` matches.
 
-    ``heavy`` lists hot keys of the right side.  Left rows of these keys are
-    repeated; they surely have a match, so the copies that meet none are
-    dropped.  NULL is no such key: right rows without a key can only meet left
-    rows without a key, and are left out if there are none.
+    ``heavy`` lists hot keys of the right side, NULL among them if it is hot.
+    Left rows of these keys are repeated; they surely have a match, so the
+    copies that meet none are dropped.
     """
-    spread = _spread(left)
+    others = _keyed(right, on)
     if not heavy:
-        others = _keyed(right, on)
         return left.join(others, left[on].eqNullSafe(others["_r_key"]), "left").drop("_r_key")
-    repeated = left.withColumn("_hot", F.coalesce(F.col(on).isin(*heavy), F.lit(False)))
+    spread = _spread(left)
+    repeated = left.withColumn("_hot", _is_heavy(on, heavy))
     repeated = repeated.withColumn("_salt", _all_salts(F.col("_hot"), spread))
-    others = _keyed(right, on)
-    salted = others.withColumns(
-        {"_r_salt": _own_salt(others, F.col("_r_key").isin(*heavy), spread), "_met": F.lit(True)}
-    )
+    salt = _own_salt(others, _is_heavy("_r_key", heavy), spread)
+    salted = others.withColumns({"_r_salt": salt, "_met": F.lit(True)})
     condition = repeated[on].eqNullSafe(salted["_r_key"]) & (repeated["_salt"] == salted["_r_salt"])
     joined = repeated.join(salted, condition, "left").where(~F.col("_hot") | F.col("_met").isNotNull())
     return joined.drop("_hot", "_salt", "_r_salt", "_r_key", "_met")

@@ -20,12 +20,12 @@ def answers_wide(review: DataFrame, codes: Sequence[str], numeric: bool = False)
 
     One conditional aggregate per code instead of ``pivot``: the answers of a
     plan lie together, so the partial aggregate shrinks them to one row before
-    the only shuffle, whereas ``pivot`` first groups by plan and code.
+    the only shuffle, whereas ``pivot`` first groups by plan and code.  Rows of
+    other codes stay in, so that a plan without any of the codes has a row of NULLs.
     A numeric result also keeps the aggregate hash-based.
     """
-    stat = stat_rows(review).where(F.col("q_code").isin(*codes))
     value = to_number(F.col("entry")) if numeric else F.col("entry")
-    cells = stat.select("plan_id", "q_code", value.alias("cell"))
+    cells = stat_rows(review).select("plan_id", "q_code", value.alias("cell"))
     return cells.groupBy("plan_id").agg(*[F.expr(f"max(CASE WHEN q_code = '{c}' THEN cell END) AS {c}") for c in codes])
 
 

@@ -24,7 +24,7 @@ def sides(spark):
     return left, right, table(spark, left, "k int, a int"), table(spark, right, "k int, b string")
 
 
-@pytest.mark.parametrize("heavy", [[], [1], [1, 2]])
+@pytest.mark.parametrize("heavy", [[], [1], [1, 2], [None, 1], [None]])
 def test_left_join(sides, heavy):
     left, right, left_df, right_df = sides
     match = dict(right)
@@ -55,9 +55,12 @@ def test_missing_keys_without_missing_ids(sides):
     assert counted(joins.semi_join(left_df, known, "k")) == Counter(r for r in left if r[0] in (1, 2))
 
 
-@pytest.mark.parametrize("heavy", [[], [1], [1, 3]])
-def test_lookup_join(sides, heavy):
+@pytest.mark.parametrize("heavy", [[], [1], [1, 3], [1, None], [None]])
+@pytest.mark.parametrize("with_null", [True, False])
+def test_lookup_join(sides, heavy, with_null):
     left, right, many, unique = sides
+    if not with_null:
+        right, unique = [r for r in right if r[0] is not None], unique.where("k IS NOT NULL")
     found = joins.lookup_join(unique, many, "k", heavy).select("k", "b", "a")
     want = Counter((k, b, a) for k, b in right for key, a in left if key == k)
     want.update((k, b, None) for k, b in right if not any(key == k for key, _ in left))
@@ -80,5 +83,5 @@ def test_full_join(spark):
 
 def test_heavy_keys(spark):
     frame = spark.range(3000).selectExpr("CASE WHEN id < 1000 THEN 7 WHEN id < 1500 THEN NULL ELSE id END AS k")
-    assert joins.heavy_keys(frame, "k", share=0.1, least=10) == [7]
+    assert set(joins.heavy_keys(frame, "k", share=0.1, least=10)) == {7, None}
     assert joins.heavy_keys(frame, "k") == []

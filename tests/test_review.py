@@ -70,6 +70,12 @@ def test_summaries(spark):
     assert {r["stat"]: r["pct"] for r in halves}["monitor_any"] == 50.0
 
 
+def test_a_plan_without_the_codes_keeps_its_row(spark):
+    review_df = small_review(spark, {1: {"monitor_any": "1"}, 2: {}}).where("plan_id = 1 OR category <> 'monitoring'")
+    stats = {r["stat"]: r for r in indicators.section_summary(review_df, "Monitoring").collect()}
+    assert (stats["monitor_any"]["n_plans"], stats["monitor_any"]["pct"]) == (1, 50.0)
+
+
 def test_excluded_plans(spark):
     rows = spark.createDataFrame([(173,), (1,), (None,), (103,)], "plan_id long")
     assert {r[0] for r in review.exclude_plans(rows).collect()} == {1, None}
