@@ -94,10 +94,6 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.bround(ratio(part, whole) * 100, digits)
 
 
-def fill_null(value: Column, fill) -> Column:
-    return F.coalesce(value, F.lit(fill))
-
-
 def replace_where(value: Column, condition: Column, new) -> Column:
     """Conditional update; rows with an unknown condition stay as they are."""
     return F.when(condition, F.lit(new)).otherwise(value)
