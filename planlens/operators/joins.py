@@ -88,14 +88,18 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str, heavy: Sequence = ()
     """All rows of a unique ``left`` with their many, possibly hot, ``right`` matches.
 
     ``heavy`` lists hot keys of the right side, NULL among them if it is hot.
-    Left rows of these keys are repeated; they surely have a match, so the
-    copies that meet none are dropped.
+    Those that do occur there (no more than the list has) are broadcast; left
+    rows of these keys are repeated, and as they surely have a match, the copies
+    that meet none are dropped.
     """
     others = _keyed(right, on)
     if not heavy:
         return left.join(others, left[on].eqNullSafe(others["_r_key"]), "left").drop("_r_key")
     spread = _spread(left)
-    repeated = left.withColumn("_hot", _is_heavy(on, heavy))
+    present = others.where(_is_heavy("_r_key", heavy)).select(F.col("_r_key").alias("_h_key")).distinct()
+    present = present.withColumn("_hot", F.lit(True))
+    repeated = left.join(F.broadcast(present), left[on].eqNullSafe(present["_h_key"]), "left").drop("_h_key")
+    repeated = repeated.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     repeated = repeated.withColumn("_salt", _all_salts(F.col("_hot"), spread))
     salt = _own_salt(others, _is_heavy("_r_key", heavy), spread)
     salted = others.withColumns({"_r_salt": salt, "_met": F.lit(True)})

@@ -55,7 +55,7 @@ def test_missing_keys_without_missing_ids(sides):
     assert counted(joins.semi_join(left_df, known, "k")) == Counter(r for r in left if r[0] in (1, 2))
 
 
-@pytest.mark.parametrize("heavy", [[], [1], [1, 3], [1, None], [None]])
+@pytest.mark.parametrize("heavy", [[], [1], [1, 3, 4], [1, None, 4], [None]])
 @pytest.mark.parametrize("with_null", [True, False])
 def test_lookup_join(sides, heavy, with_null):
     left, right, many, unique = sides
@@ -67,6 +67,14 @@ def test_lookup_join(sides, heavy, with_null):
     assert counted(found) == want
 
 
+def test_lookup_join_without_the_missing_key(sides):
+    left, right, many, unique = sides
+    found = joins.lookup_join(unique, many.where("k IS NOT NULL"), "k", [1, None]).select("k", "b", "a")
+    want = Counter((k, b, a) for k, b in right for key, a in left if key == k and k is not None)
+    want.update([(None, "rNone", None), (4, "r4", None)])
+    assert counted(found) == want
+
+
 def test_mark_member(sides):
     left, right, left_df, right_df = sides
     ids = {k for k, _ in right}
