@@ -81,3 +81,5 @@ QUERIES = {
     "op9_record_files": op9_record_files,
     "op10_source_mix": op10_source_mix,
 }
+
+ORACLE_SQL: dict[str, str] = {}
