@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planlens.llm import chat_format, record_files, robust_outliers, rule_ensemble, simhash, source_mix, word_bpe
+from planlens.llm import chat_format, paragraph_sketch, record_files, robust_outliers, rule_ensemble, simhash, source_mix, word_bpe
 from planlens.llm.common import store_path, table
 
 #: id that ends each document in record files; fixed value.
@@ -61,6 +61,19 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_paragraph_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = paragraph_sketch.edited_pairs(table(spark, folder, "documents"))
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 def op9_record_files(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     files = store_path(spark, "records")
@@ -78,6 +91,7 @@ QUERIES = {
     "op4_word_bpe": op4_word_bpe,
     "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
+    "op8_paragraph_sketch": op8_paragraph_sketch,
     "op9_record_files": op9_record_files,
     "op10_source_mix": op10_source_mix,
 }
