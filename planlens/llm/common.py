@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planlens.session import new_shared_path
@@ -64,3 +65,8 @@ def text_steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa
         held += size
     if start < len(sizes):
         yield batch.slice(start), [x or b"" for x in texts.slice(start).to_pylist()]
+
+
+def shared_files(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a folder that all machines share, and the folder's path in it."""
+    return pa.fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")

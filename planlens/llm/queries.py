@@ -5,8 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planlens.llm import chat_format, paragraph_sketch, record_files, robust_outliers, rule_ensemble, simhash, source_mix, word_bpe
-from planlens.llm.common import store_path, table
+from planlens.llm import (
+    chat_format,
+    context_tree,
+    paragraph_sketch,
+    record_files,
+    robust_outliers,
+    rule_ensemble,
+    simhash,
+    source_mix,
+    word_bpe,
+)
+from planlens.llm.common import WORD, store, store_path, table, whole_text
+from planlens.llm.token_rollup import TokenRollup
 
 #: id that ends each document in record files; fixed value.
 END_ID = 2
@@ -14,6 +25,14 @@ END_ID = 2
 MARKS = "<|im_end|><|im_start|>assistant ok"
 
 
+#: What the second tokenizer version counts: runs of letters, runs of digits, and every other character that is no white space.
+FINER = r"[\p{L}\p{M}]+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{M}\p{N}]"
+
+
+def op1_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return context_tree.score(table(spark, folder, "documents"))
+
+
 def op2_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return robust_outliers.verdicts(table(spark, folder, "documents"))
 
@@ -33,6 +52,35 @@ def op4_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Three batches: all documents; exact copies of a smaller doc_id go; other languages than English are counted anew.
+
+    The first two are delivered twice, which changes nothing.
+    """
+    text = whole_text(F.col("text"))
+    docs = store(
+        table(spark, folder, "documents").select(
+            "doc_id",
+            "source",
+            "lang",
+            F.md5(text).alias("digest"),
+            F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"),
+            F.regexp_count(text, F.lit(FINER)).cast("long").alias("finer"),
+        ),
+        "counted",
+    )
+    kept = docs.groupBy("digest").agg(F.min("doc_id").alias("kept"))
+    copies = docs.join(kept, "digest").where("doc_id > kept")
+    load = docs.withColumns({"op": F.lit("insert"), "version": F.lit("words"), "n_tokens": F.col("words")})
+    drop = copies.select(F.lit("delete").alias("op"), "doc_id", "source", "lang", F.lit("words").alias("version"), F.col("words").alias("n_tokens"))
+    anew = docs.join(copies.select("doc_id").distinct(), "doc_id", "left_anti").where("lang <> 'en'")
+    anew = anew.withColumns({"op": F.lit("revise"), "version": F.lit("finer"), "n_tokens": F.col("finer")})
+    rollup = TokenRollup(spark, store_path(spark, "rollup"))
+    for batch, changes in (("load", load), ("drop", drop), ("load", load), ("recount", anew), ("drop", drop)):
+        rollup.apply(batch, changes)
+    return rollup.totals()
+
+
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     marked = spark.createDataFrame([(-1, 0, "user", MARKS), (-1, 1, "assistant", MARKS)], turns.schema)
@@ -86,9 +134,11 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_context_tree": op1_context_tree,
     "op2_robust_outliers": op2_robust_outliers,
     "op3_rule_ensemble": op3_rule_ensemble,
     "op4_word_bpe": op4_word_bpe,
+    "op5_token_rollup": op5_token_rollup,
     "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
     "op8_paragraph_sketch": op8_paragraph_sketch,
@@ -96,4 +146,36 @@ QUERIES = {
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_token_rollup": rf"""
+        WITH counted AS (
+            SELECT doc_id, source, lang, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+                   len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS words,
+                   len(regexp_extract_all(coalesce(text, ''), '{FINER}')) AS finer
+            FROM documents)
+        SELECT source, lang, CASE WHEN lang <> 'en' THEN 'finer' ELSE 'words' END AS version,
+               count(*) AS n_docs, CAST(sum(CASE WHEN lang <> 'en' THEN finer ELSE words END) AS BIGINT) AS n_tokens
+        FROM counted WHERE doc_id = kept GROUP BY ALL""",
+    "op10_source_mix": rf"""
+        WITH sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+                   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+        sources AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS n,
+                   row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM sized GROUP BY source),
+        weighed AS (
+            SELECT *, CASE idx % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM sources),
+        ordered AS (
+            SELECT *, (CAST(sum(n) OVER () AS DOUBLE) * 1.5
+                       - coalesce(sum(2.0::DOUBLE * n) OVER (ORDER BY 2 * n / w, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                      / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY 2 * n / w, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS reached
+            FROM weighed),
+        targets AS (SELECT *, least(2.0::DOUBLE * n, max(reached) OVER () * w) AS target FROM ordered),
+        placed AS (
+            SELECT s.doc_id, s.size, t.n, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS take,
+                   CAST(sum(s.size) OVER (PARTITION BY t.idx ORDER BY s.k, s.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - s.size AS at
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target,
+               CAST(greatest(0, least(take, at + size) - at) + greatest(0, least(take, n + at + size) - n - at) AS BIGINT) AS taken
+        FROM placed""",
+}

@@ -25,12 +25,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from planlens.llm.common import text_steps, whole_text
+from planlens.llm.common import shared_files, text_steps, whole_text
 
 HEAD = struct.Struct("<QI")
 PAYLOAD = struct.Struct("<qBB")
@@ -154,10 +153,6 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _store(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
-
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
     """Write all of ``docs`` in ascending doc_id (missing first; ties by text) and return the index.
 
@@ -174,7 +169,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = load(tokenizer), np.array([end_id], dtype="<u4")
         shard = TaskContext.get().partitionId()
-        store, base = _store(folder)
+        store, base = shared_files(folder)
         store.create_dir(base, recursive=True)
         file = f"part-{shard:06d}-{uuid.uuid4().hex}.records"
         offset = before = 0
@@ -219,7 +214,7 @@ def _read_files(index: DataFrame, folder: str, sums: bool) -> DataFrame:
     spread = files.repartitionByRange(tasks, "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _store(folder)
+        store, base = shared_files(folder)
         for row in (r for batch in batches for r in batch.to_pylist()):
             position = 0
             with store.open_input_stream(f"{base}/{row['file']}", buffer_size=BUFFER) as source:
@@ -255,7 +250,7 @@ def read_shuffled(index: DataFrame, folder: str, seed: int, tasks: int) -> DataF
     order = index.withColumn("_draw", draw).repartitionByRange(tasks, "_draw").sortWithinPartitions("_draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _store(folder)
+        store, base = shared_files(folder)
         for batch in batches:
             part, held = [], 0
             for row in batch.to_pylist():
