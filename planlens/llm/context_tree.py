@@ -44,16 +44,37 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     A key has the latest byte of context first and the next byte last; before a
     text come line ends.
     """
-    rows = [END * DEPTH + t + END for t in texts]
-    data = np.frombuffer(b"".join(rows), dtype=np.uint8)
+    data = np.frombuffer(b"".join([END * DEPTH + t + END for t in texts]), dtype=np.uint8)
     size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    stop = np.cumsum(size)
-    starts = stop - size
-    at = np.arange(stop[-1] if len(stop) else 0) + np.repeat((np.arange(len(texts)) + 1) * DEPTH, size)
-    key = data[at].astype(np.int64)
+    starts = np.cumsum(size) - size
+    if not len(texts):
+        return np.zeros(0, np.int64), starts
+    n = len(data) - DEPTH
+    key = data[DEPTH:].astype(np.int64)
     for back in range(1, DEPTH + 1):
-        key |= data[at - back].astype(np.int64) << (8 * (DEPTH + 1 - back))
-    return key, starts
+        key |= data[DEPTH - back : DEPTH - back + n].astype(np.int64) << (8 * (DEPTH + 1 - back))
+    inside = np.ones(n, dtype=bool)
+    for k in range(DEPTH):  # the line ends before a text are context only
+        inside[starts[1:] + DEPTH * np.arange(len(texts) - 1) + k] = False
+    return key[inside], starts
+
+
+class Places:
+    """Where each of some sorted keys lies: one look into a table by digest, a binary search where two share a slot."""
+
+    def __init__(self, key: np.ndarray):
+        self.key, self.bits = key, max(10, int(8 * len(key)).bit_length())
+        self.slots = np.zeros(1 << self.bits, dtype=np.int32)
+        self.slots[self._slot(key)] = np.arange(len(key), dtype=np.int32)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        place = self.slots[self._slot(key)]
+        other = np.flatnonzero(self.key[place] != key)
+        place[other] = np.searchsorted(self.key, key[other])
+        return place
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +277,7 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     ).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, cost, words = None, None, None, {}
+        held, places, cost, words = None, None, None, {}
         for batch in batches:
             for step, texts in text_steps(batch):
                 parts = step.column("part").to_numpy()
@@ -268,12 +289,12 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
                         table = _read_part(cost_path, held, ["key", "cost"])
                         key, cost = table.column("key").to_numpy(), table.column("cost").to_numpy()
                         order = np.argsort(key, kind="stable")
-                        key, cost = key[order], cost[order]
+                        places, cost = Places(key[order]), cost[order]
                         table = _read_part(word_path, held, ["word", "c"])
                         words = dict(zip(table.column("word").to_pylist(), table.column("c").to_pylist(), strict=True))
                     split = [tokens(t) for t in texts[a:b]]
                     codes, starts = sequences([b" ".join(w) for w in split])
-                    scores = np.add.reduceat(cost[np.searchsorted(key, codes)], starts)
+                    scores = np.add.reduceat(cost[places.of(codes)], starts)
                     for w, s in zip(split, scores.tolist(), strict=True):
                         c = np.fromiter(map(words.__getitem__, [*w, END]), dtype=np.int64, count=len(w) + 1)
                         base = float(np.log10((c + 1) / (n + v + 1)).sum())

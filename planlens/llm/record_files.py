@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -136,10 +137,11 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self._pieces(t) for t in texts]
-        new = set().union(*(p for p in split if p)) - self.known.keys()
+        whole = [p for p in split if p]
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(whole)))
         if len(self.known) + len(new) > REMEMBERED:
             self.older, self.known = self.known, {}
-            new = set().union(*(p for p in split if p))
+            new = set().union(*whole)
         back = new & self.older.keys()
         self.known.update((p, self.older[p]) for p in back)
         self._learn(list(new - back))
