@@ -23,11 +23,11 @@ from planlens.llm.common import store, whole_text
 
 FEATURES = ("x0", "x1", "x2", "x3")
 #: Scale that a transformed statistic has at least: mean word length (log), symbols, repeated lines, repeated words (roots of shares).
-FLOORS = (0.05, 0.05, 0.1, 0.1)
+FLOORS = (0.05, 0.02, 0.15, 0.15)
 SHARE = 0.75
 STEPS = 4
 #: Squared distance beyond which a row is rejected.
-CUT = 60.0
+CUT = 80.0
 #: Rows that a group needs for an estimate of its own; smaller ones use that of all rows.
 LEAST = 60
 MIN_WORDS = 50
