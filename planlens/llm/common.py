@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from planlens.session import new_shared_path
 
@@ -45,6 +45,40 @@ def store(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rows_where(rows: DataFrame, condition: Column, columns: list[str]) -> DataFrame:
+    """The columns of ``_row`` where ``condition`` holds.
+
+    Not a filter: the optimizer would push it below the projections and compute
+    a statistic again for every place in the condition that uses it.
+    """
+    kept = rows.select(F.explode(F.when(condition, F.array("_row"))).alias("_row"))
+    return kept.select(*[F.col("_row")[c].alias(c) for c in columns])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Each row as ``_row`` beside ``_h1`` and ``_h2``, 128 bits of digest over all its columns and over which are missing."""
+    missing = [F.col(f"`{c}`").isNull() for c in docs.columns]
+    values = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(
+        F.struct("*").alias("_row"),
+        F.xxhash64(*values, *missing).alias("_h1"),
+        F.xxhash64(F.lit(1), *missing, *values[::-1]).alias("_h2"),
+    )
+
+
+def repeated(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Distinct rows of ``docs``, all columns, each as often as ``counts`` (_h1, _h2, _n) says; the others go.
+
+    Counts are made from narrow columns, so whole rows move once, to their
+    count, and are stored nowhere.
+    """
+    found = keyed(docs).join(counts, ["_h1", "_h2"])
+    first = Window.partitionBy("_h1", "_h2").orderBy("_h1")
+    out = found.withColumn("_k", F.row_number().over(first)).where("_k = 1 and _n > 0")
+    out = out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
 def store_path(spark: SparkSession, name: str) -> str:
     return new_shared_path(spark, f"llm-{name}")
 

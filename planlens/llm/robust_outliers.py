@@ -19,7 +19,7 @@ from math import exp
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from planlens.llm import text_stats as stats
-from planlens.llm.common import store, whole_text
+from planlens.llm.common import rows_where, store, whole_text
 
 FEATURES = ("x0", "x1", "x2", "x3")
 #: Scale that a transformed statistic has at least: mean word length (log), symbols, repeated lines, repeated words (roots of shares).
@@ -197,9 +197,13 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are kept."""
+    """The rows of ``docs``, all columns, that are kept.
+
+    The statistics are computed twice, for the estimates and for the rows, so
+    that no text is stored or moved.
+    """
     names = docs.columns
     packed = docs.select(F.struct("*").alias("_row"), "lang", "source", "text")
-    rows = store(base_statistics(packed, "_row"), "statistics")
-    out = judged(rows, estimates(rows)).where("kept")
-    return out.select(*[F.col("_row")[n].alias(n) for n in names])
+    narrow = ("lang", "source", "base_failed", *FEATURES)
+    params = estimates(store(base_statistics(docs.select("lang", "source", "text")).select(*narrow), "statistics"))
+    return rows_where(judged(base_statistics(packed, "_row"), params), F.col("kept"), names)

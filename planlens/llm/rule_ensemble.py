@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from planlens.llm import text_stats as stats
-from planlens.llm.common import remainder, store, whole_text
+from planlens.llm.common import remainder, rows_where, whole_text
 
 #: Labelled rows that the fit uses at most.
 SAMPLE = 20_000
@@ -174,20 +174,24 @@ def _lasso(a: np.ndarray, y: np.ndarray, bias: float, lasso: float) -> tuple[np.
     return w[:-1], float(w[-1])
 
 
-def fit_labelled(rows: DataFrame, labels: DataFrame, names: list[str], sample: int = SAMPLE) -> Ensemble:
-    """Fit on rows (doc_id, statistics) with a label (doc_id, quality); missing ids and labels teach nothing.
+def fit_labelled(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int, sample: int = SAMPLE) -> Ensemble:
+    """Fit on ``docs`` with a label (doc_id, quality) whose crc32(doc_id) modulo ``modulus`` is not ``held_out``.
 
-    A digest of the id draws about a tenth more than ``sample`` rows where they
-    are read, so that no task sends on more than its share; of these the
-    smallest digests are taken.
+    Of the labels, those with the smallest digests of the id are drawn, at most
+    ``sample``, and only these documents' statistics are computed.  Missing
+    labels and ids teach nothing; of several labels for an id the largest counts.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_y is not null")
-    known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
-    taught = rows.join(known, rows.doc_id == known._id).select(*names, "_y", "doc_id")
-    share = min(1.0, 1.1 * sample / max(1, taught.count()))
-    drawn = taught.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = drawn.orderBy(order, "doc_id", *names).limit(sample).select(*names, "_y").toPandas()
+    digest = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where(
+        "_id is not null and _y is not null"
+    )
+    known = known.where(remainder(F.col("_id"), modulus) != held_out).groupBy("_id").agg(F.max("_y").alias("_y"))
+    share = min(1.0, 1.1 * sample / max(1, known.count()))
+    drawn = known.where(digest < int(share * (1 << 30))).orderBy(digest, "_id").limit(sample)
+    taught = docs.join(F.broadcast(drawn), docs.doc_id == drawn._id)  # ``sample`` rows at most
+    rows, names = statistics(taught.select("_id", "_y", "text"), "_id", "_y")
+    order = ["_id", *names]
+    chosen = rows.orderBy(*order).limit(2 * sample).toPandas()  # more only where ids repeat
     return fit(chosen[names].to_numpy(dtype=float), chosen["_y"].to_numpy(dtype=float), names)
 
 
@@ -199,18 +203,16 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int) ->
     repeated rows are scored alike; an empty table gives an empty one; without
     usable labels all scores are the same.
     """
-    rows, names = statistics(docs, "doc_id")
-    rows = store(rows.withColumn("held_out", remainder(F.col("doc_id"), modulus) == held_out), "statistics")
-    model = fit_labelled(rows.where("not held_out"), labels, names)
-    scored = rows.select("doc_id", "held_out", model.score().alias("score"))
+    model = fit_labelled(docs.select("doc_id", "text"), labels, modulus, held_out)
+    rows, _ = statistics(docs, "doc_id")
+    scored = rows.select(
+        "doc_id", (remainder(F.col("doc_id"), modulus) == held_out).alias("held_out"), model.score().alias("score")
+    )
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int) -> DataFrame:
     """The rows of ``docs``, all columns, with a score of at least one half."""
-    names = docs.columns
-    packed = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    rows, columns = statistics(packed, "_row", "doc_id")
-    rows = store(rows, "statistics")
-    model = fit_labelled(rows.where(remainder(F.col("doc_id"), modulus) != held_out), labels, columns)
-    return rows.where(model.score() >= 0.5).select(*[F.col("_row")[n].alias(n) for n in names])
+    model = fit_labelled(docs.select("doc_id", "text"), labels, modulus, held_out)
+    rows, _ = statistics(docs.select(F.struct("*").alias("_row"), "text"), "_row")
+    return rows_where(rows, model.score() >= 0.5, docs.columns)

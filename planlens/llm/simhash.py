@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from planlens.llm.common import store, text_steps, whole_text
+from planlens.llm.common import keyed, repeated, store, text_steps, whole_text
 
 WORDS_PER_SHINGLE = 4
 SEED = 42
@@ -212,15 +212,9 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS)
     Of rows that repeat that id one stays, and of a group with missing ids only
     likewise one.
     """
-    names = docs.columns
-    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.col("text"))
-    rows = store(fingerprints(packed, "_row", "doc_id"), "prints")
-    groups = with_components(rows.select("doc_id", "fp"), distance, blocks)
-    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("k"))
-    keys = kept.select(F.col("k.fp").alias("fp"), F.col("k.doc_id").alias("_id"))
-    chosen = rows.join(keys, (rows.fp == keys.fp) & rows.doc_id.eqNullSafe(keys._id)).select("_row", keys.fp, "_id")
-    from pyspark.sql import Window
-
-    first = Window.partitionBy("fp", "_id").orderBy(F.xxhash64("_row"))
-    only = chosen.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return only.select(*[F.col("_row")[n].alias(n) for n in names])
+    rows = keyed(docs).select("_h1", "_h2", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"))
+    prints = store(fingerprints(rows, "_h1", "_h2", "doc_id"), "prints")
+    groups = with_components(prints, distance, blocks)
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h1", "_h2")).alias("k")
+    kept = groups.groupBy("root").agg(least).select("k._h1", "k._h2", F.lit(1).alias("_n"))
+    return repeated(docs, kept)

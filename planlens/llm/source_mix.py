@@ -18,7 +18,7 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from planlens.llm.common import n_words, store, whole_text
+from planlens.llm.common import keyed, n_words, repeated, store, whole_text
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -177,13 +177,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document that the end of its source's share cuts counts if at least half
     of it is inside.
     """
-    names = docs.columns
-    rows = docs.select(
-        F.struct("*").alias("_row"), "doc_id", "source", n_words(whole_text(F.col("text"))).alias("size")
-    )
-    copies = sum(
-        ((2 * F.col(f"taken{e}") >= F.col("size")).cast("int") for e in range(MOST)), F.lit(0)
-    )
-    out = _mixed(rows).withColumn("_copies", F.when(F.col("size") > 0, copies).otherwise(0)).where("_copies > 0")
-    repeated = out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*[F.col("_row")[n].alias(n) for n in names])
+    row = F.col("_row")
+    size = n_words(whole_text(row["text"])).alias("size")
+    rows = keyed(docs).select("_h1", "_h2", row["doc_id"].alias("doc_id"), row["source"].alias("source"), size)
+    copies = sum(((2 * F.col(f"taken{e}") >= F.col("size")).cast("int") for e in range(MOST)), F.lit(0))
+    taken = _mixed(rows).where("size > 0").groupBy("_h1", "_h2").agg(F.sum(copies).alias("_n"))
+    return repeated(docs, taken)
