@@ -31,23 +31,23 @@ def qualify_areas(atlas: DataFrame, no_take: Sequence[str] = ("Part", "All")) ->
 
 
 def missing_plans(
-    search: DataFrame, areas: DataFrame, all_plans: DataFrame, heavy_areas: Sequence = ()
+    search: DataFrame, areas: DataFrame, all_plans: DataFrame
 ) -> DataFrame:
     """Plans that no qualifying area leads to."""
-    reached = semi_join(search, areas, AREA, heavy_areas).select("plan_id")
+    reached = semi_join(search, areas, AREA).select("plan_id")
     return anti_join(all_plans.select("plan_id"), reached, PLAN)
 
 
-def areas_outside(search: DataFrame, areas: DataFrame, heavy_areas: Sequence = ()) -> DataFrame:
+def areas_outside(search: DataFrame, areas: DataFrame) -> DataFrame:
     """Search rows whose area does not qualify."""
-    return anti_join(search, areas, AREA, heavy_areas)
+    return anti_join(search, areas, AREA)
 
 
 def areas_of_plans(
-    atlas: DataFrame, search: DataFrame, plans: DataFrame, heavy_plans: Sequence = ()
+    atlas: DataFrame, search: DataFrame, plans: DataFrame
 ) -> DataFrame:
     """Areas that the search links to the given plans."""
-    rows = semi_join(search.select("mpa_id", "plan_id"), plans, PLAN, heavy_plans)
+    rows = semi_join(search.select("mpa_id", "plan_id"), plans, PLAN)
     return semi_join(atlas, rows, AREA)
 
 
@@ -55,42 +55,38 @@ def area_list(
     atlas: DataFrame,
     search: DataFrame,
     all_plans: DataFrame,
-    heavy_areas: Sequence = (),
-    heavy_plans: Sequence = (),
 ) -> DataFrame:
     """Qualifying areas plus the areas of plans that would otherwise be lost."""
     qualified = qualify_areas(atlas)
-    lost = missing_plans(search, qualified, all_plans, heavy_areas)
-    return qualified.unionByName(areas_of_plans(atlas, search, lost, heavy_plans))
+    lost = missing_plans(search, qualified, all_plans)
+    return qualified.unionByName(areas_of_plans(atlas, search, lost))
 
 
 def lost_by_strict_rule(
     atlas: DataFrame,
     search: DataFrame,
     all_plans: DataFrame,
-    heavy_areas: Sequence = (),
-    heavy_plans: Sequence = (),
 ) -> DataFrame:
     """Areas of the plans that only fully no-take areas would lose."""
-    lost = missing_plans(search, qualify_areas(atlas, ("All",)), all_plans, heavy_areas)
-    return areas_of_plans(atlas, search, lost, heavy_plans)
+    lost = missing_plans(search, qualify_areas(atlas, ("All",)), all_plans)
+    return areas_of_plans(atlas, search, lost)
 
 
-def with_search(areas: DataFrame, search: DataFrame, heavy_areas: Sequence = ()) -> DataFrame:
+def with_search(areas: DataFrame, search: DataFrame) -> DataFrame:
     """Areas with their search rows; an area may have many."""
     renamed = search.withColumnsRenamed({"name": "name_search", "network": "network_from_mp"})
-    return lookup_join(areas, renamed, AREA, heavy_areas)
+    return lookup_join(areas, renamed, AREA)
 
 
-def with_plan(rows: DataFrame, plans: DataFrame, heavy_plans: Sequence = ()) -> DataFrame:
+def with_plan(rows: DataFrame, plans: DataFrame) -> DataFrame:
     """Rows with the metadata of their plan."""
     renamed = plans.withColumnsRenamed({"name": "name_plan", "country": "country_plan"})
-    return left_join(rows, renamed, PLAN, heavy_plans)
+    return left_join(rows, renamed, PLAN)
 
 
-def with_status(rows: DataFrame, review_plans: DataFrame, heavy_plans: Sequence = ()) -> DataFrame:
+def with_status(rows: DataFrame, review_plans: DataFrame) -> DataFrame:
     """Final search status: shared finds count as found, plans outside the review as not included."""
-    marked = mark_member(rows, review_plans, PLAN, "_reviewed", heavy_plans)
+    marked = mark_member(rows, review_plans, PLAN, "_reviewed")
     shared = replace_where(F.col("search"), F.col("search") == FOUND_SHARED, FOUND)
     outside = ~F.col("_reviewed") & F.col("plan_id").isNotNull()
     return marked.withColumn("search", replace_where(shared, outside, NOT_INCLUDED)).drop("_reviewed")
@@ -102,17 +98,15 @@ def area_metadata(
     plans: DataFrame,
     all_plans: DataFrame,
     review_plans: DataFrame,
-    heavy_areas: Sequence = (),
-    heavy_plans: Sequence = (),
 ) -> DataFrame:
     """Area list with search outcome, plan metadata and final status.
 
     The areas and plans with very many rows are counted by the caller, once, on
     the narrow search list.
     """
-    listed = area_list(atlas, search, all_plans, heavy_areas, heavy_plans)
-    rows = with_search(listed, search, heavy_areas)
-    return with_status(with_plan(rows, plans, heavy_plans), review_plans, heavy_plans)
+    listed = area_list(atlas, search, all_plans)
+    rows = with_search(listed, search)
+    return with_status(with_plan(rows, plans), review_plans)
 
 
 def found(areas: DataFrame) -> DataFrame:
@@ -175,10 +169,10 @@ def plan_region(rows: DataFrame) -> DataFrame:
     return rows.select("plan_id", "region").distinct()
 
 
-def document_times(refs: DataFrame, review_plans: DataFrame, n_plans=None, heavy_plans: Sequence = ()) -> DataFrame:
+def document_times(refs: DataFrame, review_plans: DataFrame, n_plans=None) -> DataFrame:
     """Durations stated in plan documents, and how many have a work plan."""
     documents = refs.where(F.col("document_type") == "plan")
-    chosen = semi_join(documents, review_plans, PLAN, heavy_plans)
+    chosen = semi_join(documents, review_plans, PLAN)
     whole = F.lit(n_plans) if n_plans is not None else review_plans.agg(F.count_distinct("plan_id")).scalar()
     times = chosen.agg(
         F.min("time_listed").alias("min_time"),

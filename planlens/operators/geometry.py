@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from planlens.functions.geo import area_m2, centroid, geometry_problem, m2_to_km2
 from planlens.functions.levels import level_rank
-from planlens.functions.nulls import first_match
-from planlens.operators.joins import left_join, lookup_join
+from planlens.functions.nulls import first_match, strict_sum
+from planlens.operators.joins import left_join, lookup_join, semi_join
 from planlens.operators.reshape import stat_rows
 
 # Size classes from small to large, in square kilometres.
@@ -34,6 +32,11 @@ def quarantined(geometry: DataFrame) -> DataFrame:
     return ring_quality(geometry).where(F.col("problem").isNotNull())
 
 
+def area_geometry(geometry: DataFrame, areas: DataFrame) -> DataFrame:
+    """The usable geometries of listed areas."""
+    return semi_join(usable(geometry), areas, "mpa_id")
+
+
 def polygon_area(geometry: DataFrame) -> DataFrame:
     """Square kilometres of the usable geometries."""
     return usable(geometry).select("mpa_id", m2_to_km2(area_m2(F.col("geometry"))).alias("area_calc"))
@@ -53,12 +56,12 @@ def size_class(area: Column) -> Column:
     return first_match([(area > 100000, names[3]), (large, names[2]), (small, names[1]), (area < 10, names[0])])
 
 
-def with_size(rows: DataFrame, geometry: DataFrame, heavy_areas: Sequence = ()) -> DataFrame:
+def with_size(rows: DataFrame, geometry: DataFrame) -> DataFrame:
     """Area rows with size and size class, matched by area id.
 
     Polygons are measured where they are read: only ids and sizes are shuffled.
     """
-    return with_size_class(left_join(rows, polygon_area(geometry), "mpa_id", heavy_areas))
+    return with_size_class(left_join(rows, polygon_area(geometry), "mpa_id"))
 
 
 def with_size_class(df: DataFrame, area: str = "area_calc") -> DataFrame:
@@ -67,8 +70,8 @@ def with_size_class(df: DataFrame, area: str = "area_calc") -> DataFrame:
 
 
 def plan_area(sized: DataFrame, name: str = "total_plan_area") -> DataFrame:
-    """Managed area per plan."""
-    return sized.groupBy("plan_id").agg(F.sum("area_calc").alias(name))
+    """Managed area per plan; NULL if an area of the plan could not be measured."""
+    return sized.groupBy("plan_id").agg(strict_sum(F.col("area_calc")).alias(name))
 
 
 def plan_size_class(sized: DataFrame) -> DataFrame:
@@ -78,8 +81,11 @@ def plan_size_class(sized: DataFrame) -> DataFrame:
 
 
 def plan_area_total(sized: DataFrame) -> DataFrame:
-    """Area covered by all plans."""
-    return plan_area(sized).agg(F.sum("total_plan_area").alias("total_review_area"))
+    """Area covered by all plans, NULL if it is not known of one, and the number of plans without a known area."""
+    total = F.col("total_plan_area")
+    return plan_area(sized).agg(
+        strict_sum(total).alias("total_review_area"), F.count_if(total.isNull()).alias("n_unmeasured")
+    )
 
 
 def climate_mention(review: DataFrame) -> DataFrame:
@@ -94,16 +100,14 @@ def map_points(
     geometry: DataFrame,
     areas: DataFrame,
     review: DataFrame,
-    heavy_areas: Sequence = (),
-    heavy_plans: Sequence = (),
 ) -> DataFrame:
     """Centroid and class of every area and plan, inside the limits of the map.
 
-    ``heavy_areas`` and ``heavy_plans`` list the areas and plans with very many rows.
+    Only listed areas are drawn: polygons of others are left out before they are measured.
     """
     links = areas.select("mpa_id", "plan_id")
-    points = lookup_join(polygon_centroid(geometry), links, "mpa_id", heavy_areas)
-    classed = left_join(points, climate_mention(review), "plan_id", heavy_plans)
+    points = lookup_join(polygon_centroid(area_geometry(geometry, areas)), links, "mpa_id")
+    classed = left_join(points, climate_mention(review), "plan_id")
     label = F.coalesce(F.col("climate_mention"), F.lit(MENTION_CLASSES[2]))
     return classed.where(F.col("X").between(*LON_LIMITS) & F.col("Y").between(*LAT_LIMITS)).select(
         "mpa_id", "plan_id", "X", "Y", label.alias("climate_mention"), level_rank(label, MENTION_CLASSES).alias("class_rank")

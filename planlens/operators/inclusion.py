@@ -10,7 +10,7 @@ from planlens.functions.levels import level_rank
 from planlens.functions.nulls import in_set
 from planlens.functions.text import clean_name, drop_parenthetical, replace_first_chain
 from planlens.operators.indicators import indicators, stack
-from planlens.operators.joins import heavy_keys, left_join
+from planlens.operators.joins import left_join
 from planlens.operators.ranking import row_number_over
 from planlens.rules import CA, GA, RA, SECTIONS, TYPES, section_rules
 from planlens.session import materialise
@@ -136,7 +136,7 @@ def level_heatmap(
     firsts = named.where(F.col("name_abbrev").isNotNull()).groupBy("name_abbrev").agg(position)
     firsts = firsts.select("name_abbrev", "_first.*")
     ranks = row_number_over(firsts, _ORDER, "plan_id", ["name_abbrev"], "name_rank").select("name_abbrev", "name_rank")
-    ranked = left_join(named, ranks, "name_abbrev", heavy_keys(named, "name_abbrev"))
+    ranked = left_join(named, ranks, "name_abbrev")
     placed = left_join(ranked, regions, "plan_id")
     panel = F.lit(None).cast("string")
     if left_panel is not None:

@@ -1,116 +1,53 @@
-"""Equi-joins on one key in which NULL matches NULL and hot keys are spread out.
+"""Equi-joins on one key in which NULL matches NULL.
 
-A key that holds a large share of the rows, NULL included, would send them all
-to one task.  Rows of such keys get a salt from their own content, and the rows
-of the other side are repeated once per salt, so results stay exact.  All other
-keys travel once.  Which side is broadcast is left to the optimizer and to
-adaptive execution, which know the sizes.
+There is one path for every key and size.  The side that may hold many rows of
+one key is always one that adaptive execution can split: the left one of left,
+semi and anti joins, either one of an inner join.  Which side is broadcast is
+left to the optimizer, which knows the sizes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-HOT_SHARE = 0.001
-
-
-def heavy_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = 100_000) -> list:
-    """Keys, NULL included, that hold more than ``share`` of all rows and at least ``least`` rows.
-
-    One counting pass over the key column.  Fewer than 1 / share keys can hold
-    that much, whatever the size of ``df``, so the list may travel to the driver.
-    """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    hot = counts.where((F.col("_rows") > total * F.lit(share)) & (F.col("_rows") >= least))
-    return [row[0] for row in hot.select(key).collect()]
-
-
-def _is_heavy(key: str, heavy: Sequence) -> Column:
-    """True or false: is the key in the list, which may hold NULL?"""
-    known = [k for k in heavy if k is not None]
-    hit = F.coalesce(F.col(key).isin(*known), F.lit(False)) if known else F.lit(False)
-    return hit | F.col(key).isNull() if len(known) < len(heavy) else hit
-
-
-def _spread(df: DataFrame) -> int:
-    """Salts per hot key: enough to occupy every shuffle partition."""
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _own_salt(df: DataFrame, hot: Column, spread: int) -> Column:
-    content = F.xxhash64(*[F.col(c) for c in df.columns])
-    return F.when(hot, F.pmod(content, F.lit(spread)).cast("int")).otherwise(0)
-
-
-def _all_salts(hot: Column, spread: int) -> Column:
-    return F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0))))
+from pyspark.sql import DataFrame, functions as F
 
 
 def _keyed(df: DataFrame, on: str) -> DataFrame:
     return df.withColumnRenamed(on, "_r_key")
 
 
-def _salted_join(left: DataFrame, right: DataFrame, on: str, how: str, heavy: Sequence) -> DataFrame:
-    """Join whose left side may be hot: its hot rows are salted, the right ones repeated.
-
-    A NULL key is taken to be hot, since it stands for everything unknown.
-    """
-
-    def hot(key: str) -> Column:
-        return _is_heavy(key, [None, *(k for k in heavy if k is not None)])
-
-    spread = _spread(left)
-    salted = left.withColumn("_salt", _own_salt(left, hot(on), spread))
-    repeated = _keyed(right, on).withColumn("_r_salt", _all_salts(hot("_r_key"), spread))
-    condition = salted[on].eqNullSafe(repeated["_r_key"]) & (salted["_salt"] == repeated["_r_salt"])
-    return salted.join(repeated, condition, how).drop("_salt", "_r_salt", "_r_key")
+def _joined(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
+    renamed = _keyed(right, on)
+    return left.join(renamed, left[on].eqNullSafe(renamed["_r_key"]), how).drop("_r_key")
 
 
-def left_join(left: DataFrame, right: DataFrame, on: str, heavy: Sequence = ()) -> DataFrame:
-    """All left rows with their matches; ``heavy`` lists hot keys of the left side."""
-    return _salted_join(left, right, on, "left", heavy)
+def left_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """All left rows, of which a key may have many, with their matches."""
+    return _joined(left, right, on, "left")
 
 
-def semi_join(left: DataFrame, ids: DataFrame, on: str, heavy: Sequence = ()) -> DataFrame:
+def semi_join(left: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Left rows whose key occurs in ``ids``; a NULL key matches a NULL id."""
-    return _salted_join(left, ids.select(on).distinct(), on, "left_semi", heavy)
+    return _joined(left, ids.select(on).distinct(), on, "left_semi")
 
 
-def anti_join(left: DataFrame, ids: DataFrame, on: str, heavy: Sequence = ()) -> DataFrame:
+def anti_join(left: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Left rows whose key does not occur in ``ids``; NULL keys stay unless NULL is an id."""
-    return _salted_join(left, ids.select(on).distinct(), on, "left_anti", heavy)
+    return _joined(left, ids.select(on).distinct(), on, "left_anti")
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: str, heavy: Sequence = ()) -> DataFrame:
-    """All rows of a unique ``left`` with their many, possibly hot, ``right`` matches.
+def lookup_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """All rows of a unique ``left`` with their many, possibly very many, ``right`` matches.
 
-    ``heavy`` lists hot keys of the right side, NULL among them if it is hot.
-    Those that do occur there (no more than the list has) are broadcast; left
-    rows of these keys are repeated, and as they surely have a match, the copies
-    that meet none are dropped.
+    A left join cannot split its right side, so the matches come from an inner
+    join, and the left rows without any from an anti join.
     """
-    others = _keyed(right, on)
-    if not heavy:
-        return left.join(others, left[on].eqNullSafe(others["_r_key"]), "left").drop("_r_key")
-    spread = _spread(left)
-    present = others.where(_is_heavy("_r_key", heavy)).select(F.col("_r_key").alias("_h_key")).distinct()
-    present = present.withColumn("_hot", F.lit(True))
-    repeated = left.join(F.broadcast(present), left[on].eqNullSafe(present["_h_key"]), "left").drop("_h_key")
-    repeated = repeated.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    repeated = repeated.withColumn("_salt", _all_salts(F.col("_hot"), spread))
-    salt = _own_salt(others, _is_heavy("_r_key", heavy), spread)
-    salted = others.withColumns({"_r_salt": salt, "_met": F.lit(True)})
-    condition = repeated[on].eqNullSafe(salted["_r_key"]) & (repeated["_salt"] == salted["_r_salt"])
-    joined = repeated.join(salted, condition, "left").where(~F.col("_hot") | F.col("_met").isNotNull())
-    return joined.drop("_hot", "_salt", "_r_salt", "_r_key", "_met")
-
-
-def mark_member(left: DataFrame, ids: DataFrame, on: str, name: str, heavy: Sequence = ()) -> DataFrame:
+    matched = _joined(left, right, on, "inner")
+    return matched.unionByName(anti_join(left, right, on), allowMissingColumns=True)
+
+
+def mark_member(left: DataFrame, ids: DataFrame, on: str, name: str) -> DataFrame:
     """Left rows with a true/false column: does the key occur in ``ids``?"""
-    marked = left_join(left, ids.select(on).distinct().withColumn(name, F.lit(True)), on, heavy)
+    marked = left_join(left, ids.select(on).distinct().withColumn(name, F.lit(True)), on)
     return marked.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 

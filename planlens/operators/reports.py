@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, functions as F
 
-from planlens.functions.nulls import n_distinct
+from planlens.functions.nulls import n_distinct, strict_sum
 from planlens.operators.areas import plan_region
 from planlens.operators.geometry import with_size
 from planlens.operators.indicators import indicators
@@ -14,28 +12,26 @@ from planlens.operators.joins import full_join
 from planlens.sources.tables import fill_nulls
 
 
-def plan_facts(rows: DataFrame, geometry: DataFrame, heavy_areas: Sequence = ()) -> DataFrame:
+def plan_facts(rows: DataFrame, geometry: DataFrame) -> DataFrame:
     """Metadata, regions, number of areas and managed area of each plan.
 
     ``rows`` is read by three aggregates, so it should be a stored table.
     """
     described = rows.select("plan_id", "name_plan", "country_plan", "mp_year").distinct()
-    sized = with_size(rows.select("plan_id", "mpa_id"), geometry, heavy_areas)
+    sized = with_size(rows.select("plan_id", "mpa_id"), geometry)
     sizes = sized.groupBy("plan_id").agg(
-        n_distinct(F.col("mpa_id")).alias("n_areas"), F.sum("area_calc").alias("total_plan_area")
+        n_distinct(F.col("mpa_id")).alias("n_areas"), strict_sum(F.col("area_calc")).alias("total_plan_area")
     )
     return full_join(full_join(described, plan_region(rows), "plan_id"), sizes, "plan_id")
 
 
-def plan_table(rows: DataFrame, geometry: DataFrame, heavy_areas: Sequence = ()) -> DataFrame:
+def plan_table(rows: DataFrame, geometry: DataFrame) -> DataFrame:
     """The plan facts in the order of the plan ids."""
-    return plan_facts(rows, geometry, heavy_areas).orderBy(F.asc_nulls_last("plan_id"))
+    return plan_facts(rows, geometry).orderBy(F.asc_nulls_last("plan_id"))
 
 
-def plan_results_wide(
-    rows: DataFrame, geometry: DataFrame, review: DataFrame, heavy_areas: Sequence = ()
-) -> DataFrame:
+def plan_results_wide(rows: DataFrame, geometry: DataFrame, review: DataFrame) -> DataFrame:
     """The plan facts with all indicators; missing indicator values of a reviewed plan are 0."""
-    facts = plan_facts(rows, geometry, heavy_areas)
+    facts = plan_facts(rows, geometry)
     matrix = fill_nulls(indicators(review))
     return full_join(facts, matrix, "plan_id").orderBy(F.asc_nulls_last("plan_id"))

@@ -263,18 +263,18 @@ _SIZE_RANK = "CASE WHEN {0} > 100000 THEN 4 WHEN {0} >= 100 THEN 3 WHEN {0} >= 1
 _SIZED = f""",
 sized AS (SELECT f.*, area_calc, {_SIZE.format("area_calc")} AS size_class, {_SIZE_RANK.format("area_calc")} AS size_rank
   FROM found f LEFT JOIN sizes USING (mpa_id)),
-plan_sizes AS (SELECT plan_id, sum(area_calc) AS total FROM sized GROUP BY plan_id)"""
+plan_sizes AS (SELECT plan_id, CASE WHEN count(*) = count(area_calc) THEN sum(area_calc) END AS total FROM sized GROUP BY plan_id)"""
 
 _POINTS = """,
 mention AS (SELECT plan_id, CASE entry WHEN '1' THEN 'Yes' WHEN '0' THEN 'No' END AS mentioned FROM stat WHERE q_code = 'climate_mention'),
 points AS (SELECT c.mpa_id, m.plan_id, X, Y, coalesce(mentioned, 'No plan located') AS climate_mention
-  FROM centres c LEFT JOIN meta m USING (mpa_id) LEFT JOIN mention t ON m.plan_id IS NOT DISTINCT FROM t.plan_id
+  FROM centres c JOIN meta m USING (mpa_id) LEFT JOIN mention t ON m.plan_id IS NOT DISTINCT FROM t.plan_id
   WHERE X BETWEEN -185 AND 185 AND Y BETWEEN -89 AND 89)"""
 
 _FACTS = """,
 described AS (SELECT DISTINCT plan_id, name_plan, country_plan, mp_year FROM found),
 regions AS (SELECT DISTINCT plan_id, region FROM found),
-n_mpas AS (SELECT plan_id, count(DISTINCT mpa_id) AS n_areas, sum(area_calc) AS total_plan_area FROM sized GROUP BY plan_id),
+n_mpas AS (SELECT plan_id, count(DISTINCT mpa_id) AS n_areas, CASE WHEN count(*) = count(area_calc) THEN sum(area_calc) END AS total_plan_area FROM sized GROUP BY plan_id),
 facts AS (SELECT plan_id, name_plan, country_plan, mp_year, region, n_areas, round(total_plan_area, 3) AS total_plan_area
   FROM described FULL JOIN regions USING (plan_id) FULL JOIN n_mpas USING (plan_id))"""
 
@@ -433,7 +433,7 @@ def oracle_sql() -> dict[str, str]:
         "semi_join_ids": _with(_AREAS, "SELECT * FROM search WHERE mpa_id IN (SELECT mpa_id FROM qualified)"),
         "anti_join_ids": _with(_AREAS, "SELECT * FROM search WHERE mpa_id NOT IN (SELECT mpa_id FROM qualified)"),
         "exclude_ids": _with(
-            _AREAS, "SELECT mpa_id, plan_id FROM search WHERE plan_id IS NULL OR plan_id NOT IN (173, 174)"
+            _AREAS, "SELECT mpa_id, plan_id FROM search WHERE plan_id IS NULL OR plan_id NOT IN (173, 174, 128, 103)"
         ),
         "null_safe_left_join": _with(
             _AREAS,
@@ -670,7 +670,10 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT {_SIZE.format("total")} AS size_class, {_SIZE_RANK.format("total")} AS size_rank, count(*) AS n
             FROM plan_sizes GROUP BY ALL"""
         ),
-        "plan_area_total": _sized("SELECT round(sum(total), 2) AS total_review_area FROM plan_sizes"),
+        "plan_area_total": _sized("""
+            SELECT CASE WHEN count(*) = count(total) THEN round(sum(total), 2) END AS total_review_area,
+                   count(*) - count(total) AS n_unmeasured
+            FROM plan_sizes"""),
         "map_points": _with(
             _REVIEW,
             _AREAS,

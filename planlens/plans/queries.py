@@ -50,14 +50,9 @@ def _numeric(bed: DerivedTables, *codes: str) -> DataFrame:
     return reshape.answers_wide(bed.review(), codes, numeric=True)
 
 
-def _heavy(bed: DerivedTables) -> tuple[list, list]:
-    """Hot areas and plans, counted on the narrow search list."""
-    return bed.heavy("mpa_id"), bed.heavy("plan_id")
-
-
 def _area_metadata(bed: DerivedTables) -> DataFrame:
     return areas.area_metadata(
-        bed.atlas(), bed.search(), bed.plans(), bed.all_plans(), review.plan_ids(bed.review()), *_heavy(bed)
+        bed.atlas(), bed.search(), bed.plans(), bed.all_plans(), review.plan_ids(bed.review())
     )
 
 
@@ -68,11 +63,11 @@ def _found(bed: DerivedTables) -> DataFrame:
 
 
 def _sized(bed: DerivedTables) -> DataFrame:
-    return geometry.with_size(_found(bed), bed.geometry(), bed.heavy("mpa_id"))
+    return geometry.with_size(_found(bed), bed.geometry())
 
 
 def _map_points(bed: DerivedTables) -> DataFrame:
-    return geometry.map_points(bed.geometry(), _area_metadata(bed), bed.review(), *_heavy(bed))
+    return geometry.map_points(bed.geometry(), _area_metadata(bed), bed.review())
 
 
 # Scans, cells, names, sinks
@@ -128,29 +123,29 @@ def search_union(bed: DerivedTables) -> DataFrame:
 
 @_query
 def missing_ids(bed: DerivedTables) -> DataFrame:
-    return areas.missing_plans(bed.search(), areas.qualify_areas(bed.atlas()), bed.all_plans(), bed.heavy("mpa_id"))
+    return areas.missing_plans(bed.search(), areas.qualify_areas(bed.atlas()), bed.all_plans())
 
 
 @_query
 def semi_join_ids(bed: DerivedTables) -> DataFrame:
-    return joins.semi_join(bed.search(), areas.qualify_areas(bed.atlas()), "mpa_id", bed.heavy("mpa_id"))
+    return joins.semi_join(bed.search(), areas.qualify_areas(bed.atlas()), "mpa_id")
 
 
 @_query
 def anti_join_ids(bed: DerivedTables) -> DataFrame:
-    return areas.areas_outside(bed.search(), areas.qualify_areas(bed.atlas()), bed.heavy("mpa_id"))
+    return areas.areas_outside(bed.search(), areas.qualify_areas(bed.atlas()))
 
 
 @_query
 def exclude_ids(bed: DerivedTables) -> DataFrame:
-    return review.exclude_plans(bed.search().select("mpa_id", "plan_id"), EXCLUDED_PLANS[:2])
+    return review.exclude_plans(bed.search().select("mpa_id", "plan_id"), EXCLUDED_PLANS)
 
 
 @_query
 def null_safe_left_join(bed: DerivedTables) -> DataFrame:
     search = bed.search().select("mpa_id", "plan_id", "search")
     per_plan = search.groupBy("plan_id").agg(F.count(F.lit(1)).alias("plan_rows"), F.max("search").alias("last_search"))
-    return joins.left_join(search, per_plan, "plan_id", bed.heavy("plan_id"))
+    return joins.left_join(search, per_plan, "plan_id")
 
 
 # Review
@@ -465,12 +460,12 @@ def qualify_areas(bed: DerivedTables) -> DataFrame:
 
 @_query
 def qualify_strict_lost_plans(bed: DerivedTables) -> DataFrame:
-    return areas.lost_by_strict_rule(bed.atlas(), bed.search(), bed.all_plans(), *_heavy(bed))
+    return areas.lost_by_strict_rule(bed.atlas(), bed.search(), bed.all_plans())
 
 
 @_query
 def area_list(bed: DerivedTables) -> DataFrame:
-    return areas.area_list(bed.atlas(), bed.search(), bed.all_plans(), *_heavy(bed))
+    return areas.area_list(bed.atlas(), bed.search(), bed.all_plans())
 
 
 @_query
@@ -480,7 +475,7 @@ def area_metadata(bed: DerivedTables) -> DataFrame:
 
 @_query
 def search_status(bed: DerivedTables) -> DataFrame:
-    return areas.with_status(bed.search(), review.plan_ids(bed.review()), bed.heavy("plan_id"))
+    return areas.with_status(bed.search(), review.plan_ids(bed.review()))
 
 
 @_query
@@ -521,7 +516,7 @@ def region_subregion_table(bed: DerivedTables) -> DataFrame:
 @_query
 def plan_time_stats(bed: DerivedTables) -> DataFrame:
     refs = tables.with_clean_names(bed.references())
-    stats = areas.document_times(refs, review.plan_ids(bed.review()), heavy_plans=joins.heavy_keys(refs, "plan_id"))
+    stats = areas.document_times(refs, review.plan_ids(bed.review()))
     return _rounded(stats, 8, "avg_time", "sd_time", "pct_work_plan")
 
 
@@ -580,10 +575,10 @@ def _plan_inputs(bed: DerivedTables) -> tuple[DataFrame, DataFrame]:
 
 @_query
 def plan_table(bed: DerivedTables) -> DataFrame:
-    return _rounded(reports.plan_table(*_plan_inputs(bed), bed.heavy("mpa_id")), 3, "total_plan_area")
+    return _rounded(reports.plan_table(*_plan_inputs(bed)), 3, "total_plan_area")
 
 
 @_query
 def plan_results_wide(bed: DerivedTables) -> DataFrame:
-    results = reports.plan_results_wide(*_plan_inputs(bed), bed.review(), bed.heavy("mpa_id"))
+    results = reports.plan_results_wide(*_plan_inputs(bed), bed.review())
     return _rounded(results, 3, "total_plan_area")

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planlens.functions.geo import POINT
 from planlens.operators.areas import union_search
-from planlens.operators.joins import heavy_keys
 from planlens.operators.reshape import cell_max
 from planlens.operators.review import review_long
 from planlens.questions import FIRST_ANSWER, N_QUESTIONS, question_key
@@ -170,11 +169,6 @@ class DerivedTables:
         """The whole search list, stored: every later step reads it several times."""
         return materialise(union_search(*self.search_lists()))
 
-    @cache
-    def heavy(self, key: str) -> list:
-        """Keys of the search list that hold very many of its rows."""
-        return heavy_keys(self.search(), key)
-
     @cache
     def plans(self) -> DataFrame:
         """Plan metadata: least name, country and year of the search rows of a plan."""

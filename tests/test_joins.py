@@ -24,28 +24,26 @@ def sides(spark):
     return left, right, table(spark, left, "k int, a int"), table(spark, right, "k int, b string")
 
 
-@pytest.mark.parametrize("heavy", [[], [1], [1, 2], [None, 1], [None]])
-def test_left_join(sides, heavy):
+def test_left_join(sides):
     left, right, left_df, right_df = sides
     match = dict(right)
     want = Counter((k, a, match.get(k)) for k, a in left)
-    assert counted(joins.left_join(left_df, right_df, "k", heavy).select("k", "a", "b")) == want
+    assert counted(joins.left_join(left_df, right_df, "k").select("k", "a", "b")) == want
 
 
 def test_left_join_with_several_matches(sides):
     left, right, left_df, right_df = sides
     doubled = right_df.unionByName(right_df)
-    got = counted(joins.left_join(left_df, doubled, "k", [1]).select("k", "a", "b"))
+    got = counted(joins.left_join(left_df, doubled, "k").select("k", "a", "b"))
     match = dict(right)
     assert got == Counter({(k, a, match.get(k)): 2 if k in match else 1 for k, a in left})
 
 
-@pytest.mark.parametrize("heavy", [[], [1]])
-def test_semi_and_anti_join(sides, heavy):
+def test_semi_and_anti_join(sides):
     left, right, left_df, right_df = sides
     ids = {k for k, _ in right}
-    assert counted(joins.semi_join(left_df, right_df, "k", heavy)) == Counter(r for r in left if r[0] in ids)
-    assert counted(joins.anti_join(left_df, right_df, "k", heavy)) == Counter(r for r in left if r[0] not in ids)
+    assert counted(joins.semi_join(left_df, right_df, "k")) == Counter(r for r in left if r[0] in ids)
+    assert counted(joins.anti_join(left_df, right_df, "k")) == Counter(r for r in left if r[0] not in ids)
 
 
 def test_missing_keys_without_missing_ids(sides):
@@ -55,13 +53,12 @@ def test_missing_keys_without_missing_ids(sides):
     assert counted(joins.semi_join(left_df, known, "k")) == Counter(r for r in left if r[0] in (1, 2))
 
 
-@pytest.mark.parametrize("heavy", [[], [1], [1, 3, 4], [1, None, 4], [None]])
 @pytest.mark.parametrize("with_null", [True, False])
-def test_lookup_join(sides, heavy, with_null):
+def test_lookup_join(sides, with_null):
     left, right, many, unique = sides
     if not with_null:
         right, unique = [r for r in right if r[0] is not None], unique.where("k IS NOT NULL")
-    found = joins.lookup_join(unique, many, "k", heavy).select("k", "b", "a")
+    found = joins.lookup_join(unique, many, "k").select("k", "b", "a")
     want = Counter((k, b, a) for k, b in right for key, a in left if key == k)
     want.update((k, b, None) for k, b in right if not any(key == k for key, _ in left))
     assert counted(found) == want
@@ -69,7 +66,7 @@ def test_lookup_join(sides, heavy, with_null):
 
 def test_lookup_join_without_the_missing_key(sides):
     left, right, many, unique = sides
-    found = joins.lookup_join(unique, many.where("k IS NOT NULL"), "k", [1, None]).select("k", "b", "a")
+    found = joins.lookup_join(unique, many.where("k IS NOT NULL"), "k").select("k", "b", "a")
     want = Counter((k, b, a) for k, b in right for key, a in left if key == k and k is not None)
     want.update([(None, "rNone", None), (4, "r4", None)])
     assert counted(found) == want
@@ -78,7 +75,7 @@ def test_lookup_join_without_the_missing_key(sides):
 def test_mark_member(sides):
     left, right, left_df, right_df = sides
     ids = {k for k, _ in right}
-    marked = joins.mark_member(left_df, right_df, "k", "known", [1]).select("k", "a", "known")
+    marked = joins.mark_member(left_df, right_df, "k", "known").select("k", "a", "known")
     assert counted(marked) == Counter((k, a, k in ids) for k, a in left)
 
 
@@ -89,7 +86,34 @@ def test_full_join(spark):
     assert got == Counter([(1, "a", "A"), (None, "n", "N"), (2, "b", None), (3, None, "C")])
 
 
-def test_heavy_keys(spark):
-    frame = spark.range(3000).selectExpr("CASE WHEN id < 1000 THEN 7 WHEN id < 1500 THEN NULL ELSE id END AS k")
-    assert set(joins.heavy_keys(frame, "k", share=0.1, least=10)) == {7, None}
-    assert joins.heavy_keys(frame, "k") == []
+def test_hot_side_is_split(spark):
+    """Half of the rows on one key, a quarter without: the final plans of all joins split it, the results are whole."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    many = spark.range(400_000).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN 7 WHEN id % 4 = 1 THEN NULL ELSE id % 1000 END AS k", "id AS a"
+    )
+    few = spark.range(2000).selectExpr("nullif(id, 3) AS k", "id AS b")
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        results = {
+            "left": (joins.left_join(many, few, "k"), 400_000),
+            "semi": (joins.semi_join(many, few, "k"), 400_000 - many.where("k = 3").count()),
+            "lookup": (joins.lookup_join(few, many, "k"), None),
+        }
+        for name, (frame, rows) in results.items():
+            n = len(frame.collect())
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "skew=true" in plan, name
+            keys = many.select("k").distinct()
+            assert n == (rows or 400_000 - many.where("k = 3").count() + joins.anti_join(few, keys, "k").count())
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

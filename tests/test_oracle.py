@@ -10,10 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from compare import connect, differences  # noqa: E402
 
 import __spark_entry__ as entry_points  # noqa: E402
-from planlens.operators import joins  # noqa: E402
 from planlens.plans.oracle_sql import oracle_sql  # noqa: E402
 from planlens.plans.queries import registered  # noqa: E402
-from planlens.sources.derived import DerivedTables  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 ORACLE = oracle_sql()
@@ -32,22 +30,6 @@ def test_query(spark, duck, name):
     assert differences(result, duck.sql(ORACLE[name]).to_arrow_table()) == []
 
 
-@pytest.mark.parametrize("name", ["missing_ids", "area_metadata", "map_points", "null_safe_left_join"])
-def test_query_with_many_hot_keys(spark, duck, monkeypatch, name):
-    """Low limits make many keys, and NULL, count as hot; no side is broadcast."""
-
-    def heavy(self, key):
-        return joins.heavy_keys(self.search(), key, share=0.005, least=1)
-
-    monkeypatch.setattr(DerivedTables, "heavy", heavy)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        result = entry_points.queries()[name](spark, FOLDER).toArrow()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert differences(result, duck.sql(ORACLE[name]).to_arrow_table()) == []
-
-
 def test_every_query_has_a_counterpart():
     assert sorted(ORACLE) == sorted(registered())
     assert entry_points.queries().keys() >= registered().keys()

@@ -172,10 +172,9 @@ def test_area_flow(spark):
     assert {r[0] for r in areas.missing_plans(search, areas.qualify_areas(atlas), numbers).collect()} == {11, 13}
     assert sorted(r["mpa_id"] for r in areas.area_list(atlas, search, numbers).collect()) == [1, 2, 3, 5]
     assert {r["mpa_id"] for r in areas.lost_by_strict_rule(atlas, search, numbers).collect()} == {2, 3}
-    for heavy in ([], [3]):
-        rows = areas.area_metadata(atlas, search, plans, numbers, reviewed, heavy, [11]).collect()
-        got = sorted((r["mpa_id"], r["search"] or "", r["plan_id"] or 0, r["name_plan"] or "") for r in rows)
-        assert got == [(1, "F", 10, "P"), (2, "F", 11, "Q"), (3, "NI", 0, ""), (3, "NI", 12, ""), (5, "", 0, "")]
+    rows = areas.area_metadata(atlas, search, plans, numbers, reviewed).collect()
+    got = sorted((r["mpa_id"], r["search"] or "", r["plan_id"] or 0, r["name_plan"] or "") for r in rows)
+    assert got == [(1, "F", 10, "P"), (2, "F", 11, "Q"), (3, "NI", 0, ""), (3, "NI", 12, ""), (5, "", 0, "")]
     found = areas.found(areas.area_metadata(atlas, search, plans, numbers, reviewed))
     assert tuple(areas.plan_areas(found).agg(F.sum("n_areas"), F.count("*")).first()) == (2, 2)
 
