@@ -173,9 +173,9 @@ ORACLE_SQL = {
         targets AS (SELECT *, least(2.0::DOUBLE * n, max(reached) OVER () * w) AS target FROM ordered),
         placed AS (
             SELECT s.doc_id, s.size, t.n, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS take,
-                   CAST(sum(s.size) OVER (PARTITION BY t.idx ORDER BY s.k, s.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - s.size AS at
+                   CAST(sum(s.size) OVER (PARTITION BY t.idx ORDER BY s.k, s.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - s.size AS pos
             FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target,
-               CAST(greatest(0, least(take, at + size) - at) + greatest(0, least(take, n + at + size) - n - at) AS BIGINT) AS taken
+               CAST(greatest(0, least(take, pos + size) - pos) + greatest(0, least(take, n + pos + size) - n - pos) AS BIGINT) AS taken
         FROM placed""",
 }
