@@ -21,7 +21,7 @@ from planlens.functions.nulls import (
 from planlens.functions.text import sentence_case
 from planlens.operators.inclusion import short_names
 from planlens.operators.joins import full_join, left_join
-from planlens.operators.ranking import shared_rank
+from planlens.operators.ranking import position
 from planlens.operators.reshape import stat_rows, to_long
 from planlens.operators.review import plan_names
 from planlens.questions import ANSWER_CODES, THREATS
@@ -156,7 +156,7 @@ def condensed_flags(review: DataFrame) -> DataFrame:
 def condensed_summary(review: DataFrame, plan_region: DataFrame) -> DataFrame:
     """Capped component totals per plan with name, region and the rank of the name.
 
-    Names are ranked by their mean total; names with the same mean share a rank.
+    Names are placed by their mean total, those with the same mean in the order of the names.
     """
     flags = condensed_flags(review)
     totals = flags.groupBy("plan_id").agg(
@@ -165,7 +165,7 @@ def condensed_summary(review: DataFrame, plan_region: DataFrame) -> DataFrame:
     names = full_join(short_names(plan_names(review)), plan_region, "plan_id")
     named = materialise(full_join(totals, names, "plan_id").withColumn("total", row_total(COMPONENTS)))
     means = named.where(F.col("name_short").isNotNull()).groupBy(F.col("name_short").alias("_short"))
-    ranks = shared_rank(means.agg(F.avg("total").alias("_mean")), "_mean", "name_rank").drop("_mean")
+    ranks = position(means.agg(F.avg("total").alias("_mean")), "_mean", "_short", "name_rank").drop("_mean")
     ranked = left_join(named, ranks.withColumnRenamed("_short", "name_short"), "name_short")
     long = to_long(ranked, ["name_short", "region", "total", "name_rank"], COMPONENTS, "indicator", "entry")
     return long.where(~(F.col("entry") == 0)).select(

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from planlens.functions.levels import level_rank, recode, recode_rank
 from planlens.functions.nulls import lenient_sum, not_in_set, percent, strict_sum
 from planlens.functions.text import split_parts
-from planlens.operators.joins import full_join
 from planlens.operators.reshape import answers_wide, to_long
 from planlens.rules import (
     ASSESSMENTS,
@@ -43,9 +42,14 @@ def indicator_matrix(review: DataFrame) -> DataFrame:
 
 
 def indicator_full_join(review: DataFrame) -> DataFrame:
-    """The matrix put together from six section tables by full joins."""
+    """The matrix put together from six section tables.
+
+    Each has one row a plan, so that one aggregate over all of them is their
+    full join, NULL plans included, without a join after another.
+    """
     parts = [indicators(review, section_rules(s)) for s in SECTIONS]
-    return reduce(lambda left, right: full_join(left, right, "plan_id"), parts)
+    rows = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)
+    return rows.groupBy("plan_id").agg(*[F.max(c).alias(c) for c in rows.columns if c != "plan_id"])
 
 
 def _rule_sum(rule: Rule) -> Column:

@@ -74,3 +74,19 @@ def shared_rank(df: DataFrame, value: str, name: str, width: float = 0.01) -> Da
         (F.col("_bucket_start") + _before(Window.partitionBy("_bucket").orderBy("_value")) + 1).alias(name),
     )
     return df.join(ranks, df[value] == ranks["_value"], "left").drop("_value")
+
+
+def position(df: DataFrame, value: str, label: str, name: str, lead: int = 14) -> DataFrame:
+    """1-based position in the order of ``value``, then of ``label``; NULL where the value is NULL.
+
+    ``label`` is unique.  Labels of one value, which may be nearly all, are
+    counted per leading characters and numbered only within those.
+    """
+    low = shared_rank(df, value, "_low")
+    counts = low.groupBy("_low", F.substring(label, 1, lead).alias("_lead")).agg(F.count(F.lit(1)).alias("_rows"))
+    starts = counts.select("_low", "_lead", _before(Window.partitionBy("_low").orderBy("_lead")).alias("_start"))
+    lead_rows = low.withColumn("_lead", F.substring(label, 1, lead))
+    within = Window.partitionBy("_low", "_lead").orderBy(label)
+    numbered = lead_rows.withColumn("_pos", F.row_number().over(within) - 1)
+    placed = numbered.join(starts, ["_low", "_lead"], "left")
+    return placed.select(*df.columns, (F.col("_low") + F.col("_start") + F.col("_pos")).alias(name))

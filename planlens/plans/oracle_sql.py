@@ -214,13 +214,12 @@ atlas AS (SELECT c_custkey AS mpa_id, CAST(c_custkey % 10 <> 0 AS INTEGER) AS im
     CAST(c_custkey % 7 <> 0 AS INTEGER) AS is_mpa, n_name AS country, r_name AS region,
     r_name || '-' || (n_nationkey % 2) AS subregion
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-searched AS (SELECT *, o_custkey // 8 + 1 AS cluster FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
-  WHERE rn = 1 AND o_orderpriority <> '4-NOT SPECIFIED'),
-search AS (SELECT o_custkey AS mpa_id, CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'P' THEN 'F-AI' ELSE 'NI' END AS search,
-    CASE WHEN o_orderstatus <> 'O' THEN cluster END AS plan_id, o_orderpriority AS notes,
+searched AS (SELECT *, o_custkey // 8 + 1 AS cluster, o_orderpriority <> '4-NOT SPECIFIED' AS done FROM orders),
+search AS (SELECT o_custkey AS mpa_id, CASE WHEN NOT done THEN 'NS' WHEN o_orderstatus = 'F' THEN 'F' WHEN o_orderstatus = 'P' THEN 'F-AI'
+      ELSE 'NI' END AS search, CASE WHEN done AND o_orderstatus <> 'O' THEN cluster END AS plan_id, o_orderpriority AS notes,
     CASE WHEN o_orderstatus = 'P' THEN 'shared' END AS network, 'Area ' || o_custkey AS name FROM searched),
 plans AS (SELECT cluster AS plan_id, 'Plan ' || cluster AS name, min(country) AS country, CAST(min(year(o_orderdate)) AS INTEGER) AS mp_year
-  FROM searched JOIN atlas ON o_custkey = mpa_id WHERE o_orderstatus <> 'O' GROUP BY cluster),
+  FROM searched JOIN atlas ON o_custkey = mpa_id WHERE done AND o_orderstatus <> 'O' GROUP BY cluster),
 all_plans AS (SELECT DISTINCT c_custkey // 8 + 1 AS plan_id FROM customer),
 qualified AS (SELECT * FROM atlas WHERE implemente = 1 AND no_take IN ('Part', 'All') AND is_mpa = 1),
 lost AS (SELECT plan_id FROM all_plans WHERE plan_id NOT IN
@@ -591,7 +590,7 @@ def oracle_sql() -> dict[str, str]:
             named AS (SELECT *, {" + ".join(_COMPONENTS)} AS total FROM totals FULL JOIN (SELECT DISTINCT plan_id,
                 regexp_replace(name, '\\s*\\([^)]+\\)', '', 'g') AS name_short FROM review) USING (plan_id)
               FULL JOIN (SELECT DISTINCT plan_id, region FROM found) USING (plan_id)),
-            ranks AS (SELECT name_short, rank() OVER (ORDER BY mean) AS name_rank FROM
+            ranks AS (SELECT name_short, row_number() OVER (ORDER BY mean, name_short) AS name_rank FROM
               (SELECT name_short, avg(total) AS mean FROM named WHERE name_short IS NOT NULL GROUP BY name_short) WHERE mean IS NOT NULL)""",
             f"""SELECT name_short, region, total, name_rank, indicator, CAST(list_position([{", ".join(f"'{c}'" for c in _COMPONENTS)}], indicator) AS INTEGER)
               AS indicator_rank, CAST(CAST(CASE WHEN entry > 3 THEN 3 ELSE entry END AS INTEGER) AS VARCHAR) AS entry

@@ -15,7 +15,6 @@ from planlens.operators.areas import union_search
 from planlens.operators.reshape import cell_max
 from planlens.operators.review import review_long
 from planlens.questions import FIRST_ANSWER, N_QUESTIONS, question_key
-from planlens.session import materialise
 
 PLANS_PER_SHEET = 20
 AREAS_PER_PLAN = 8
@@ -141,16 +140,14 @@ class DerivedTables:
 
     @cache
     def _searched(self) -> DataFrame:
-        """The first order of each customer; an unspecified priority means never searched."""
-        fields = ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
-        first = self.table("orders").groupBy("o_custkey").agg(F.min(F.struct(*fields)).alias("_o"))
-        rows = first.select("o_custkey", "_o.*").where(F.col("o_orderpriority") != "4-NOT SPECIFIED")
-        status = F.col("o_orderstatus")
-        plan = F.floor(F.col("o_custkey") / AREAS_PER_PLAN) + 1
-        return rows.select(
+        """One search row per order, so an area has many; an unspecified priority means not searched yet."""
+        status, plan = F.col("o_orderstatus"), F.floor(F.col("o_custkey") / AREAS_PER_PLAN) + 1
+        unsearched = F.col("o_orderpriority") == "4-NOT SPECIFIED"
+        outcome = F.when(unsearched, "NS").when(status == "F", "F").when(status == "P", "F-AI").otherwise("NI")
+        return self.table("orders").select(
             F.col("o_custkey").alias("mpa_id"),
-            F.when(status == "F", "F").when(status == "P", "F-AI").otherwise("NI").alias("search"),
-            F.when(status != "O", plan).alias("plan_id"),
+            outcome.alias("search"),
+            F.when((status != "O") & ~unsearched, plan).alias("plan_id"),
             F.col("o_orderpriority").alias("notes"),
             F.when(status == "P", "shared").alias("network"),
             F.concat(F.lit("Area "), F.col("o_custkey")).alias("name"),
@@ -166,8 +163,8 @@ class DerivedTables:
 
     @cache
     def search(self) -> DataFrame:
-        """The whole search list, stored: every later step reads it several times."""
-        return materialise(union_search(*self.search_lists()))
+        """The whole search list: a projection of a scan, so that each step reads only the columns it needs."""
+        return union_search(*self.search_lists())
 
     @cache
     def plans(self) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from planlens.operators.density import bandwidths, kernel_density, quantiles
-from planlens.operators.ranking import row_number_over, shared_rank
+from planlens.operators.ranking import position, row_number_over, shared_rank
 
 
 def test_row_number_over_many_buckets(spark):
@@ -27,6 +27,15 @@ def test_shared_rank(spark):
     assert got == {i: None if v is None else 1 + sum(w < v for w in known) for i, v in enumerate(data)}
 
 
+def test_position_has_no_gaps(spark):
+    draw = random.Random(4)
+    rows = [(f"Plan {i:04d}", draw.choice([None, 1.0, 1.0, 1.0, 2.5, 2.504])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "name string, v double")
+    got = {r["name"]: r["p"] for r in position(frame, "v", "name", "p", lead=8).collect()}
+    ordered = sorted((v, n) for n, v in rows if v is not None)
+    assert got == {n: None for n, v in rows if v is None} | {n: i for i, (_, n) in enumerate(ordered, 1)}
+
+
 @pytest.fixture(scope="module")
 def latitudes(spark):
     draw = np.random.default_rng(5)

@@ -51,3 +51,11 @@ def test_sinks(spark):
 
 def test_materialise_keeps_rows(spark):
     assert materialise(spark.range(5)).count() == 5
+
+
+def test_every_order_is_a_search_row(spark):
+    bed = DerivedTables(spark, "/root/testdata/sf0.001")
+    search, orders = bed.search(), bed.table("orders")
+    assert search.count() == orders.count()
+    assert search.select("mpa_id").distinct().count() < search.count()
+    assert {r["search"] for r in search.select("search").distinct().collect()} == {"F", "F-AI", "NI", "NS"}
