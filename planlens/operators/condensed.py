@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from planlens.functions.levels import level_rank
 from planlens.functions.nulls import (
@@ -20,15 +20,18 @@ from planlens.functions.nulls import (
 )
 from planlens.functions.text import sentence_case
 from planlens.operators.inclusion import short_names
+from planlens.operators.indicators import stack
 from planlens.operators.joins import full_join, left_join
 from planlens.operators.ranking import position
 from planlens.operators.reshape import stat_rows, to_long
 from planlens.operators.review import plan_names
-from planlens.questions import ANSWER_CODES, THREATS
+from planlens.questions import ANSWER_CODES, QUESTION_CODES, THREATS, component_of
 from planlens.session import materialise
 
 CA, RA = "Climate Action", "Recommended Action"
 
+_COMPONENT_OF = {code: component_of(n) for n, code in QUESTION_CODES.items() if code in ANSWER_CODES}
+
 # Components in report order.
 COMPONENTS = ["climate", "objectives", "assessment", "design", "monitoring", "management"]
 
@@ -112,30 +115,25 @@ def _combined(earlier: bool) -> list[tuple[str, str, list[str], Column]]:
 
 
 def all_entries(review: DataFrame, codes: Sequence[str], earlier: bool = False) -> DataFrame:
-    """Binary answers of the listed codes plus the combined flags.
+    """Binary answers of the listed codes plus the combined flags, from one pass over the answers.
 
-    Only the inputs of the combined flags are widened; the other answers go
-    straight through.
+    A plan's answers become one row, whose cells are spread again: a listed
+    code has a row where the plan has an answer row, a combined flag always.
     """
-    binary = binary_answers(review)
+    components = dict(_COMPONENT_OF)
     if earlier:
-        moved = replace_where(F.col("category"), F.col("q_code") == "climate_mitigation", "management")
-        binary = binary.withColumn("category", moved)
-    base = binary.where((F.col("category") != "metadata") & F.col("q_code").isin(*codes)).select(
-        "plan_id", "category", "q_code", "entry"
-    )
+        components["climate_mitigation"] = "management"
     combined = [c for c in _combined(earlier) if c[1] in codes]
-    inputs = list(dict.fromkeys(code for _, _, codes_, _ in combined for code in codes_))
-    wide = binary.groupBy("plan_id").agg(
+    base = [c for c in dict.fromkeys(codes) if c in ANSWER_CODES and components[c] != "metadata"]
+    inputs = list(dict.fromkeys([*base, *[code for _, _, codes_, _ in combined for code in codes_]]))
+    wide = binary_answers(review).groupBy("plan_id").agg(
         *[F.expr(f"max(CASE WHEN q_code = '{code}' THEN entry END) AS {code}") for code in inputs]
     )
-    rows = F.array(
-        *[
-            F.struct(F.lit(component).alias("category"), F.lit(code).alias("q_code"), value.cast("double").alias("entry"))
-            for component, code, _, value in combined
-        ]
-    )
-    return base.unionByName(wide.select("plan_id", F.inline(rows)))
+    flags = [code for _, code, _, _ in combined]
+    cells = [(f"'{components[c]}'", f"'{c}'", c) for c in base] + [(f"'{c}'", f"'{code}'", code) for c, code, _, _ in combined]
+    rows = wide.select("plan_id", *base, *[value.cast("double").alias(code) for _, code, _, value in combined])
+    spread = rows.select("plan_id", stack(cells, ["category", "q_code", "entry"]))
+    return spread.where(F.col("entry").isNotNull() | F.col("q_code").isin(*flags))
 
 
 def condensed_flags(review: DataFrame) -> DataFrame:
@@ -184,8 +182,19 @@ def strict_sum_where(value: Column, here: Column) -> Column:
     return F.when(F.count_if(here & value.isNull()) == 0, F.sum(F.when(here, value)))
 
 
+def _with_percent(counts: DataFrame, n_plans) -> DataFrame:
+    """The counts with their percentage of the plans.
+
+    Every plan has the flag ``obj_mgmt_any``, so its count is theirs.  The
+    window holds one row per code and answer, whatever the number of plans.
+    """
+    every = F.max(F.when(F.col("q_code") == "obj_mgmt_any", F.col("_known"))).over(Window.partitionBy())
+    whole = F.lit(n_plans) if n_plans is not None else every
+    return counts.withColumn("pct", percent(F.col("n"), whole)).drop("_known")
+
+
 def earlier_level_stats(review: DataFrame, n_plans=None) -> DataFrame:
-    """Plans per component, level, code and answer, with their percentage."""
+    """Plans per component, level, code and answer, with their percentage of the plans with coded answers."""
     levels = {
         CA: CLIMATE_CODES + EARLIER_EXTRA[CA],
         RA: ACTION_CODES + EARLIER_EXTRA[RA],
@@ -195,17 +204,15 @@ def earlier_level_stats(review: DataFrame, n_plans=None) -> DataFrame:
     level = first_match([(F.col("q_code").isin(*codes), name) for name, codes in levels.items()])
     counts = entries.groupBy(
         sentence_case(F.col("category")).alias("category"), level.alias("level"), "q_code", "entry"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    whole = F.lit(n_plans) if n_plans is not None else review.agg(F.count_distinct("plan_id")).scalar()
-    return counts.withColumn("pct", percent(F.col("n"), whole))
+    ).agg(F.count(F.lit(1)).alias("n"), F.count("plan_id").alias("_known"))
+    return _with_percent(counts, n_plans)
 
 
 def earlier_code_stats(review: DataFrame, n_plans=None) -> DataFrame:
-    """Plans that meet each code, whatever its level, with their percentage."""
+    """Plans that meet each code, whatever its level, with their percentage of the plans with coded answers."""
     entries = all_entries(review, [*ANSWER_CODES, *[code for _, code, _, _ in _combined(True)]], earlier=True)
-    met = entries.where(F.col("entry") == 1).groupBy("category", "q_code", "entry").agg(F.count(F.lit(1)).alias("n"))
-    whole = F.lit(n_plans) if n_plans is not None else review.agg(F.count_distinct("plan_id")).scalar()
-    return met.withColumn("pct", percent(F.col("n"), whole))
+    met = entries.where(F.col("entry") == 1).groupBy("category", "q_code", "entry")
+    return _with_percent(met.agg(F.count(F.lit(1)).alias("n"), F.count("plan_id").alias("_known")), n_plans)
 
 
 def radar_score(review: DataFrame) -> DataFrame:

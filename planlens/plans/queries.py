@@ -60,8 +60,6 @@ def _found(bed: DerivedTables) -> DataFrame:
     return areas.found(_area_metadata(bed))
 
 
-
-
 def _sized(bed: DerivedTables) -> DataFrame:
     return geometry.with_size(_found(bed), bed.geometry())
 
@@ -75,8 +73,10 @@ def _map_points(bed: DerivedTables) -> DataFrame:
 
 @_query
 def typed_scan(bed: DerivedTables) -> DataFrame:
-    raw = bed.table("orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderpriority", "o_totalprice")
-    return tables.with_column_types(raw, "ncnc-")
+    """The orders as a CSV file, read by its declared types."""
+    names, path = ["o_orderkey", "o_orderstatus", "o_custkey", "o_orderpriority", "o_totalprice"], new_shared_path(bed.spark, "orders")
+    tables.write_csv(bed.table("orders").select(*names), path)
+    return tables.read_sheet_csv(bed.spark, path, names, "ncnc-")
 
 
 @_query
@@ -176,8 +176,7 @@ def climate_subset(bed: DerivedTables) -> DataFrame:
 def climate_wide(bed: DerivedTables) -> DataFrame:
     chosen = review.climate_subset(bed.review())
     codes = [c for c in ANSWER_CODES if c.startswith("climate_")] + ["obj_cc_any", "design_cc_any", "monitor_exp_any"]
-    numbers = tables.numbers_from_text(reshape.answers_wide(chosen, codes))
-    return numbers.withColumn("total_climate", nulls.row_total(codes))
+    return reshape.answers_wide(chosen, codes, numeric=True).withColumn("total_climate", nulls.row_total(codes))
 
 
 @_query

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +26,11 @@ def build_session(app: str = "planlens", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-@cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="planlens-")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder: there
-    the one machine is the whole cluster.
+    Only a local session may leave that out: it stores beside its warehouse
+    tables, on the one machine that is the whole cluster.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -45,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_dir()
+    return spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/planlens-stored"
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:

@@ -6,12 +6,14 @@ one polygon and one plan name per part, one document per order.
 
 from __future__ import annotations
 
-from functools import cache
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planlens.functions.geo import POINT
 from planlens.operators.areas import union_search
+from planlens.operators.inclusion import NAME_RULES
 from planlens.operators.reshape import cell_max
 from planlens.operators.review import review_long
 from planlens.questions import FIRST_ANSWER, N_QUESTIONS, question_key
@@ -19,20 +21,8 @@ from planlens.questions import FIRST_ANSWER, N_QUESTIONS, question_key
 PLANS_PER_SHEET = 20
 AREAS_PER_PLAN = 8
 
-# Name endings that the name shortening knows.
-NAME_TERMS = [
-    "Marine Protected Area",
-    "Marine Reserve",
-    "National Park",
-    "Marine Park",
-    "Biosphere Reserve",
-    "National Marine Sanctuary",
-    "Marine National Monument",
-    "Conservation Area",
-    "Ecological Station",
-    "National Wildlife Refuge",
-    "Parks and ",
-]
+# Name endings that the name shortening knows.
+NAME_TERMS = [term for term, _ in NAME_RULES]
 
 LANGUAGES = ["english", "spanish", "french", "portuguese", "english"]
 
@@ -56,14 +46,28 @@ def _box(lon: Column, lat: Column, width: Column) -> Column:
     return F.array(*[F.struct(x.alias("lon"), y.alias("lat")).cast(POINT) for x, y in corners])
 
 
+def _once(build: Callable) -> Callable:
+    """Keep what a method returns for as long as its object lives."""
+
+    @wraps(build)
+    def kept(self, *args):
+        key = (build.__name__, *args)
+        if key not in self._planned:
+            self._planned[key] = build(self, *args)
+        return self._planned[key]
+
+    return kept
+
+
 class DerivedTables:
     """The tables below one folder of the test data; each is planned once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._planned: dict[tuple, object] = {}
 
-    @cache
+    @_once
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -75,7 +79,7 @@ class DerivedTables:
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return self.table(name).repartition(partitions, key)
 
-    @cache
+    @_once
     def answers(self) -> DataFrame:
         """plan_id, name, type, q_id, q_num, entry: both record types of every plan."""
         customers = self._partitioned("customer", "c_custkey").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -94,11 +98,11 @@ class DerivedTables:
             F.when(F.col("type") == "stat", stat).when(stat.isin("1", "0.5", "Planned"), text).alias("entry"),
         )
 
-    @cache
+    @_once
     def review(self) -> DataFrame:
         return review_long(self.answers(), question_key(self.spark))
 
-    @cache
+    @_once
     def sheets(self) -> DataFrame:
         """Questionnaire sheets: 83 rows and two columns per plan, 20 plans to a sheet."""
         answers = self.answers().select("plan_id", "name", "type", "q_num", "entry")
@@ -123,7 +127,7 @@ class DerivedTables:
         wide = located.groupBy("sheet_id", "q_num").agg(*columns)
         return wide.join(F.broadcast(key), "q_num").select("sheet_id", "q_num", "code", "plan-id", *wide.columns[2:])
 
-    @cache
+    @_once
     def atlas(self) -> DataFrame:
         places = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         customers = self.table("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -138,7 +142,7 @@ class DerivedTables:
             F.concat("r_name", F.lit("-"), F.col("n_nationkey") % 2).alias("subregion"),
         )
 
-    @cache
+    @_once
     def _searched(self) -> DataFrame:
         """One search row per order, so an area has many; an unspecified priority means not searched yet."""
         status, plan = F.col("o_orderstatus"), F.floor(F.col("o_custkey") / AREAS_PER_PLAN) + 1
@@ -154,19 +158,19 @@ class DerivedTables:
             F.year("o_orderdate").alias("_year"),
         )
 
-    @cache
+    @_once
     def search_lists(self) -> tuple[DataFrame, DataFrame]:
         """The first list and the later additions."""
         rows = self._searched().drop("_year")
         later = F.col("notes") == "5-LOW"
         return rows.where(~later), rows.where(later).select("name", "network", "notes", "plan_id", "search", "mpa_id")
 
-    @cache
+    @_once
     def search(self) -> DataFrame:
         """The whole search list: a projection of a scan, so that each step reads only the columns it needs."""
         return union_search(*self.search_lists())
 
-    @cache
+    @_once
     def plans(self) -> DataFrame:
         """Plan metadata: least name, country and year of the search rows of a plan."""
         rows = self._searched().where(F.col("plan_id").isNotNull())
@@ -177,13 +181,13 @@ class DerivedTables:
             F.min("_year").alias("mp_year"),
         )
 
-    @cache
+    @_once
     def all_plans(self) -> DataFrame:
         """Every plan number, searched or not."""
         plan = F.floor(F.col("c_custkey") / AREAS_PER_PLAN) + 1
         return self.table("customer").select(plan.alias("plan_id")).distinct()
 
-    @cache
+    @_once
     def geometry(self) -> DataFrame:
         """Boxes, some with a hole or a second polygon, and five kinds of bad rings."""
         key, width = F.col("p_partkey"), F.col("p_size") * F.col("p_size") / 500.0
@@ -206,14 +210,14 @@ class DerivedTables:
             geometry = geometry.when(kind == remainder, F.array(F.array(ring)))
         return self._partitioned("part", "p_partkey").select(key.alias("mpa_id"), geometry.otherwise(good).alias("geometry"))
 
-    @cache
+    @_once
     def names(self) -> DataFrame:
         """English plan names; the repeated term shows that only the first one is shortened."""
         term = F.element_at(F.array(*[F.lit(t) for t in NAME_TERMS]), (F.col("p_partkey") % 11 + 1).cast("int"))
         name = F.concat("p_name", F.lit(" "), term, F.lit(" and "), term, F.lit(" ("), "p_brand", F.lit(")"))
         return self.table("part").select(F.col("p_partkey").alias("plan_id"), name.alias("name_english"))
 
-    @cache
+    @_once
     def references(self) -> DataFrame:
         """Document list with the headings of the sheet it comes from."""
         key = F.col("o_orderkey")
@@ -224,7 +228,7 @@ class DerivedTables:
             F.when(key % 4 != 0, F.col("o_orderpriority")).alias("Work-Plan"),
         )
 
-    @cache
+    @_once
     def raw_cells(self) -> DataFrame:
         """Order rows as untrimmed text cells with several spellings of "no answer"."""
         kind, status = F.col("o_orderkey") % 5, F.col("o_orderstatus")

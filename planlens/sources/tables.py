@@ -65,11 +65,21 @@ def with_column_types(df: DataFrame, spec: str) -> DataFrame:
 
 
 def read_sheet_csv(
-    spark: SparkSession, path: str, names: Sequence[str], spec: str = "c", tokens: Sequence[str] = NA_TOKENS
+    spark: SparkSession,
+    path: str,
+    names: Sequence[str],
+    spec: str = "c",
+    tokens: Sequence[str] = NA_TOKENS,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Read an exported sheet: declared columns, cleaned cells, declared types; no inference."""
+    """Read an exported sheet: declared columns, cleaned cells, declared types; no inference.
+
+    A file whose header has other names is an error.  Files are split among
+    tasks unless ``multi_line`` says that cells hold line breaks.
+    """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    options = {"header": True, "enforceSchema": False, "multiLine": multi_line, "escape": '"'}
+    raw = spark.read.schema(schema).options(**options).csv(path)
     return with_column_types(clean_cells(raw, tokens), spec)
 
 

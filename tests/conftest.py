@@ -9,13 +9,14 @@ from planlens.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "planlens-tests",
         "local[8]",
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.driver.memory": "8g",
             "spark.python.sql.dataFrameDebugging.enabled": "false",
         },

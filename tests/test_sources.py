@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from planlens.session import materialise, new_shared_path
 from planlens.sources import tables
+from planlens.sources.derived import DerivedTables
 
 
 def test_cells_and_types_of_a_csv_sheet(spark, tmp_path):
@@ -15,6 +16,15 @@ def test_cells_and_types_of_a_csv_sheet(spark, tmp_path):
     assert [tuple(r) for r in frame.collect()] == [(1.0, None, 'a, "b"'), (2.0, None, None), (None, "yes", "c")]
 
 
+def test_sheet_headers_and_line_breaks(spark, tmp_path):
+    sheet = tmp_path / "sheet.csv"
+    sheet.write_text('id,answer\n1,"a\nb"\n')
+    frame = tables.read_sheet_csv(spark, str(sheet), ["id", "answer"], "nc", multi_line=True)
+    assert [tuple(r) for r in frame.collect()] == [(1.0, "a\nb")]
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_sheet_csv(spark, str(sheet), ["answer", "id"], "cn", multi_line=True).collect()
+
+
 def test_column_types(spark):
     frame = spark.createDataFrame([("1", "x", "true", "2020-01-02")], "a string, b string, c string, d string")
     typed = tables.with_column_types(frame, "i-lD")
