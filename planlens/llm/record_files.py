@@ -280,9 +280,11 @@ def read_with_starts(index: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every record, from the files; start counts the ids of all records before.
 
     The order within a shard is the order of its file, so only counts per shard
-    are added up across shards.
+    are added up across shards.  The records meet them in the shuffle that the
+    window needs: the optimizer takes the records for as few as the files they
+    are read from, and would broadcast them.
     """
-    records = record_sums(index, folder).join(starts(index), "shard")
+    records = record_sums(index, folder).hint("merge").join(starts(index), "shard")
     within = Window.partitionBy("shard").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("start") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
     return records.select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
