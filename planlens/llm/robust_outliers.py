@@ -23,11 +23,12 @@ from planlens.llm.common import rows_where, store, whole_text
 
 FEATURES = ("x0", "x1", "x2", "x3")
 #: Scale that a transformed statistic has at least: mean word length (log), symbols, repeated lines, repeated words (roots of shares).
-FLOORS = (0.05, 0.02, 0.15, 0.15)
+#: The root of a share counted over n items varies by 1 / (2 sqrt(n)) at most: 0.02 over 625 characters, 0.1 over 25 lines or 25 windows of three words.
+FLOORS = (0.05, 0.02, 0.1, 0.1)
 SHARE = 0.75
 STEPS = 4
-#: Squared distance beyond which a row is rejected.
-CUT = 80.0
+#: Share of normal rows that lie within the distance at which rows are rejected.
+WITHIN = 0.9999
 #: Rows that a group needs for an estimate of its own; smaller ones use that of all rows.
 LEAST = 60
 MIN_WORDS = 50
@@ -35,15 +36,25 @@ MIN_WORDS = 50
 BINS, GRID = 32, 200
 
 
-def consistency(share: float = SHARE) -> float:
-    """Factor that makes the scatter of the inner ``share`` of four normal statistics unbiased."""
+def chi_square(share: float) -> float:
+    """The squared distance within which ``share`` of the rows of four normal statistics lie."""
     low, high = 0.0, 100.0
     for _ in range(80):
         q = (low + high) / 2
         low, high = (q, high) if 1 - exp(-q / 2) * (1 + q / 2) < share else (low, q)
+    return q
+
+
+def consistency(share: float = SHARE) -> float:
+    """Factor that makes the scatter of the inner ``share`` of four normal statistics unbiased."""
+    q = chi_square(share)
     return share / (1 - exp(-q / 2) * (1 + q / 2 + q * q / 8))
 
 
+#: Squared distance beyond which a row is rejected: 23.5.
+CUT = chi_square(WITHIN)
+
+
 def base_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """Columns ``keep``, lang, source, the counts of words, their characters, symbols, repeated lines and words, base_failed and x0 to x3.
 
