@@ -2,14 +2,14 @@
 
 Four statistics of each text are transformed to roughly symmetric scales.  For
 every language and source a minimum-covariance-determinant estimate of centre
-and scatter is found by concentration steps: from medians and quartile ranges,
-take the three quarters of the rows with the smallest Mahalanobis distances,
-estimate again, and so on.  Rows far from the centre in the last estimate are
-rejected.
+and scatter is found by concentration steps: from medians and median deviations,
+take the half of the rows with the smallest Mahalanobis distances, estimate
+again, and so on.  Rows far from the centre in the last estimate are rejected.
+Neither the start nor a step is moved far by less than half of the rows.
 
 Only sums per group and distance bin are aggregated: one pass gives the counts,
-sums and products per bin, and the bins up to the wanted share make the next
-estimate.  A group is never gathered, however many rows it has.
+sums and products per bin, and the bins up to the wanted number, the last one in
+part, make the next estimate.  A group is never gathered, however many rows it has.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ FEATURES = ("x0", "x1", "x2", "x3")
 #: Scale that a transformed statistic has at least: mean word length (log), symbols, repeated lines, repeated words (roots of shares).
 #: The root of a share counted over n items varies by 1 / (2 sqrt(n)) at most: 0.02 over 625 characters, 0.1 over 25 lines or 25 windows of three words.
 FLOORS = (0.05, 0.02, 0.1, 0.1)
-SHARE = 0.75
 STEPS = 4
+#: Rows of a group up to which the factor of its scatter is that of its number; above it is that of one half.
+EXACT = 400
 #: Share of normal rows that lie within the distance at which rows are rejected.
 WITHIN = 0.9999
 #: Rows that a group needs for an estimate of its own; smaller ones use that of all rows.
@@ -45,12 +46,21 @@ def chi_square(share: float) -> float:
     return q
 
 
-def consistency(share: float = SHARE) -> float:
+def consistency(share: float) -> float:
     """Factor that makes the scatter of the inner ``share`` of four normal statistics unbiased."""
+    if share >= 1:
+        return 1.0
     q = chi_square(share)
     return share / (1 - exp(-q / 2) * (1 + q / 2 + q * q / 8))
 
 
+def core(n: int | Column) -> int | Column:
+    """Of ``n`` rows those that make an estimate: the fewest that two estimates without a common row can't have, four statistics given."""
+    if isinstance(n, int):
+        return min(n, (n + len(FEATURES) + 1) // 2)
+    return F.least(n, F.floor((n + len(FEATURES) + 1) / 2))
+
+
 #: Squared distance beyond which a row is rejected: 23.5.
 CUT = chi_square(WITHIN)
 
@@ -96,15 +106,18 @@ def _group(df: DataFrame) -> DataFrame:
 
 
 def _starting(grouped: DataFrame) -> DataFrame:
-    """Medians and quartile ranges per group, from counts per bin of each statistic."""
+    """Medians and median deviations per group, from counts per bin of each statistic."""
     long = grouped.select("_g", F.posexplode(F.array(*FEATURES)).alias("f", "x"))
     bins = long.groupBy("_g", "f", F.floor(F.col("x") * GRID).alias("b")).agg(F.count("*").alias("n"))
-    rising = Window.partitionBy("_g", "f").orderBy("b")
     whole = Window.partitionBy("_g", "f")
-    cum = bins.withColumns({"c": F.sum("n").over(rising), "all": F.sum("n").over(whole)})
-    quantile = lambda p: F.min(F.when(F.col("c") >= p * F.col("all"), (F.col("b") + 0.5) / GRID))
-    each = cum.groupBy("_g", "f").agg(
-        quantile(0.5).alias("m"), ((quantile(0.75) - quantile(0.25)) / 1.349).alias("s"), F.max("all").alias("n")
+    upto = lambda c: F.sum("n").over(whole.orderBy(c))
+    bins = bins.withColumns({"x": (F.col("b") + 0.5) / GRID, "c": upto("b"), "all": F.sum("n").over(whole)})
+    bins = bins.withColumn("m", F.min(F.when(2 * F.col("c") >= F.col("all"), F.col("x"))).over(whole))
+    off = bins.withColumn("away", F.abs(F.col("x") - F.col("m"))).withColumn("c", upto("away"))
+    each = off.groupBy("_g", "f").agg(
+        F.max("m").alias("m"),
+        (1.4826 * F.min(F.when(2 * F.col("c") >= F.col("all"), F.col("away")))).alias("s"),
+        F.max("all").alias("n"),
     )
     pick = lambda c, f: F.max(F.when(F.col("f") == f, F.col(c)))
     p = range(len(FEATURES))
@@ -135,8 +148,11 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, len(FEATURES))), F.col("y0") * F.col("y0")))
 
 
-def _concentrate(grouped: DataFrame, params: DataFrame, share: float) -> DataFrame:
-    """The estimate from the ``share`` of each group's rows that lie nearest under ``params``."""
+def _concentrate(grouped: DataFrame, params: DataFrame) -> DataFrame:
+    """The estimate from the half of each group's rows that lie nearest under ``params``.
+
+    Of the bin that crosses the half all rows count, with the weight that makes up the number.
+    """
     p = range(len(FEATURES))
     far = _distance(grouped.join(params.drop("n"), "_g"))
     sums = {f"t{i}": F.sum(FEATURES[i]) for i in p}
@@ -147,9 +163,12 @@ def _concentrate(grouped: DataFrame, params: DataFrame, share: float) -> DataFra
     below = Window.partitionBy("_g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     inner = bins.withColumns(
         {"c": F.coalesce(F.sum("k").over(below), F.lit(0)), "n": F.sum("k").over(Window.partitionBy("_g"))}
-    ).where(F.col("c") < share * F.col("n"))
-    total = inner.groupBy("_g").agg(F.max("n").alias("n"), F.sum("k").alias("k"), *[F.sum(c).alias(c) for c in sums])
-    factor = consistency(share)
+    ).withColumn("w", F.least(F.lit(1.0), (core(F.col("n")) - F.col("c")) / F.col("k"))).where("w > 0")
+    total = inner.groupBy("_g").agg(
+        F.max("n").alias("n"), *[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("k", *sums)]
+    )
+    exact = F.array(*[F.lit(consistency(core(n) / n)) for n in range(1, EXACT + 1)])
+    factor = F.coalesce(F.get(exact, F.least(F.col("n"), F.lit(EXACT + 1)).cast("int") - 1), F.lit(consistency(0.5)))
     return total.select(
         "_g",
         "n",
@@ -162,7 +181,7 @@ def _concentrate(grouped: DataFrame, params: DataFrame, share: float) -> DataFra
     )
 
 
-def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """One row a group (_g: pooled, lang, source) with n, centre and factor, from rows that passed the base rules.
 
     A few hundred numbers a group; stored after each step, which keeps the plan
@@ -171,7 +190,7 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
     grouped = _group(rows.where("not base_failed").select("lang", "source", *FEATURES))
     params = store(_factored(_starting(grouped)), "centre")
     for _ in range(steps):
-        params = store(_factored(_concentrate(grouped, params, share)), "scatter")
+        params = store(_factored(_concentrate(grouped, params)), "scatter")
     return params
 
 

@@ -30,3 +30,23 @@ def test_each_statistic_alone_rejects(spark):
     assert not any(r.base_failed for r in found.values())
     assert {x: found[150 + i].kept for i, x in enumerate(far)} == dict.fromkeys(far, False)
     assert sum(found[i].kept for i in range(150)) >= 149
+
+
+NAMES = "doc_id long, lang string, source string, base_failed boolean, x0 double, x1 double, x2 double, x3 double"
+
+
+def frame_of(spark, *parts):
+    """Rows of statistics; each part is (values, source), numbered on."""
+    rows = [(source, x) for values, source in parts for x in values]
+    return spark.createDataFrame([(i, "en", s, False, *map(float, x)) for i, (s, x) in enumerate(rows)], NAMES)
+
+
+def test_a_third_of_copies_is_rejected(spark):
+    """A third of a group is one text, far out: in all statistics, or in one with the others as usual."""
+    rng = np.random.default_rng(8)
+    clean = np.abs(rng.normal([1.6, 0.05, 0.05, 0.1], [0.05, 0.03, 0.03, 0.05], (1200, 4)))
+    for place in ([4.0, 0.9, 0.9, 0.7], [1.6, 0.6, 0.05, 0.1], [1.6, 0.05, 0.95, 0.1]):
+        frame = frame_of(spark, (clean, "s"), ([place] * 600, "s"))
+        kept = {r.doc_id: r.kept for r in robust_outliers.judged(frame, robust_outliers.estimates(frame)).collect()}
+        assert not any(kept[i] for i in range(1200, 1800))
+        assert sum(kept[i] for i in range(1200)) >= 1190
