@@ -22,7 +22,7 @@ from planlens.functions.text import sentence_case
 from planlens.operators.inclusion import short_names
 from planlens.operators.indicators import stack
 from planlens.operators.joins import full_join, left_join
-from planlens.operators.ranking import position
+from planlens.operators.ranking import numbered
 from planlens.operators.reshape import stat_rows, to_long
 from planlens.operators.review import plan_names
 from planlens.questions import ANSWER_CODES, QUESTION_CODES, THREATS, component_of
@@ -163,7 +163,8 @@ def condensed_summary(review: DataFrame, plan_region: DataFrame) -> DataFrame:
     names = full_join(short_names(plan_names(review)), plan_region, "plan_id")
     named = materialise(full_join(totals, names, "plan_id").withColumn("total", row_total(COMPONENTS)))
     means = named.where(F.col("name_short").isNotNull()).groupBy(F.col("name_short").alias("_short"))
-    ranks = position(means.agg(F.avg("total").alias("_mean")), "_mean", "_short", "name_rank").drop("_mean")
+    known = means.agg(F.avg("total").alias("_mean")).where(F.col("_mean").isNotNull())
+    ranks = numbered(known, ["_mean", "_short"], "name_rank").drop("_mean")
     ranked = left_join(named, ranks.withColumnRenamed("_short", "name_short"), "name_short")
     long = to_long(ranked, ["name_short", "region", "total", "name_rank"], COMPONENTS, "indicator", "entry")
     return long.where(~(F.col("entry") == 0)).select(

@@ -11,7 +11,7 @@ from planlens.functions.nulls import in_set
 from planlens.functions.text import clean_name, drop_parenthetical, replace_first_chain
 from planlens.operators.indicators import indicators, stack
 from planlens.operators.joins import left_join
-from planlens.operators.ranking import row_number_over
+from planlens.operators.ranking import numbered
 from planlens.rules import CA, GA, RA, SECTIONS, TYPES, section_rules
 from planlens.session import materialise
 
@@ -81,9 +81,9 @@ def plan_levels(review: DataFrame) -> DataFrame:
     All of them are expressions over the indicators of a plan: the only shuffle
     is the one that brings its answers together.
     """
-    numbered = list(enumerate(SECTIONS))
-    scores = [f"{_score(s, t)} AS {clean_name(t)}_{i}" for i, s in numbered for t in TYPES]
-    levels = indicators(review).selectExpr("plan_id", *scores).selectExpr("*", *[_level(i) for i, _ in numbered])
+    sections = list(enumerate(SECTIONS))
+    scores = [f"{_score(s, t)} AS {clean_name(t)}_{i}" for i, s in sections for t in TYPES]
+    levels = indicators(review).selectExpr("plan_id", *scores).selectExpr("*", *[_level(i) for i, _ in sections])
     return levels.selectExpr(
         "*",
         f"{_total(CA)} AS total_climate",
@@ -135,7 +135,7 @@ def level_heatmap(
     position = F.min(F.struct(*_ORDER, "plan_id")).alias("_first")
     firsts = named.where(F.col("name_abbrev").isNotNull()).groupBy("name_abbrev").agg(position)
     firsts = firsts.select("name_abbrev", "_first.*")
-    ranks = row_number_over(firsts, _ORDER, "plan_id", ["name_abbrev"], "name_rank").select("name_abbrev", "name_rank")
+    ranks = numbered(firsts, [*_ORDER, "plan_id", "name_abbrev"], "name_rank").select("name_abbrev", "name_rank")
     ranked = left_join(named, ranks, "name_abbrev")
     placed = left_join(ranked, regions, "plan_id")
     panel = F.lit(None).cast("string")

@@ -1,92 +1,53 @@
-"""Exact global ranks without sorting all rows in one task.
+"""Positions in a global order without sorting all rows in one task.
 
-A window without partitions would pull every row into one task.  Here counts
-per bucket are accumulated instead; the tables that pass through a window hold
-one row per bucket, and the rows themselves are only ordered within buckets.
+A window without partitions would pull every row into one task.  Here rows are
+dealt out by ranges of the whole order, sorted within their range and stored;
+a row's position is its place in its range plus the number of rows in the
+ranges before.  Only one row per range passes through a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET_BITS = 20
+from planlens.session import materialise
 
+#: ``monotonically_increasing_id`` keeps the row number of a task in so many bits, and the task above them.
+ROW_BITS = 33
 
-def _before(window) -> object:
-    """Sum of ``_rows`` over all earlier rows of a window."""
-    return F.coalesce(F.sum("_rows").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
+def in_ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """The rows, sorted and stored by ranges of ``order``, with ``_range`` and their place ``_at`` in it (from 0).
 
-def row_number_over(
-    df: DataFrame, keys: Sequence[str], tie: str, then: Sequence[str], name: str, bits: int = BUCKET_BITS
-) -> DataFrame:
-    """1-based position in the order of ``keys``, then of the id ``tie``, then of ``then``.
-
-    ``keys`` are counts with few combinations (the window over them holds one
-    row per combination); within a combination, buckets of 2**bits
-    consecutive ids are numbered, and only rows of one bucket are sorted together.
-    NULL keys sort last.
+    Rows that tie in ``order`` are told apart by a digest of all their columns,
+    so that a value which many rows share is still cut into ranges; only rows
+    equal in every column stay together.  Ranges follow a sample of the whole
+    key, whatever its first characters.  No column may be a map.
     """
-    bucket = F.shiftright(F.col(tie), bits)
-    buckets = df.groupBy(*keys, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
-    combos = buckets.groupBy(*keys).agg(F.sum("_rows").alias("_rows"))
-    order = [F.asc_nulls_last(k) for k in keys]
-    combo_start = combos.select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys], _before(Window.orderBy(*order)).alias("_combo_start")
-    )
-    same_combo = reduce(and_, (buckets[k].eqNullSafe(combo_start[f"_c_{k}"]) for k in keys))
-    starts = (
-        buckets.join(combo_start, same_combo)
-        .withColumn("_start", F.col("_combo_start") + _before(Window.partitionBy(*keys).orderBy("_bucket")))
-        .select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_bucket").alias("_s_bucket"), "_start")
-    )
-    within = Window.partitionBy(*keys, "_bucket").orderBy(tie, *then)
-    numbered = df.withColumn("_bucket", bucket).withColumn("_pos", F.row_number().over(within))
-    same = reduce(
-        and_,
-        (numbered[k].eqNullSafe(starts[f"_s_{k}"]) for k in keys),
-        numbered["_bucket"] == starts["_s_bucket"],
-    )
-    ranked = numbered.join(starts, same).withColumn(name, F.col("_start") + F.col("_pos"))
-    return ranked.select(*df.columns, name)
-
-
-def shared_rank(df: DataFrame, value: str, name: str, width: float = 0.01) -> DataFrame:
-    """1 + number of rows with a smaller value; equal values share a rank, NULL has none.
-
-    Distinct values are counted first.  They are accumulated within buckets of
-    the given width, and the bucket totals across buckets.
-    """
-    known = df.where(F.col(value).isNotNull())
-    counts = (
-        known.groupBy(F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_bucket", F.floor(F.col("_value") / width))
-    )
-    totals = counts.groupBy(F.col("_bucket").alias("_b")).agg(F.sum("_rows").alias("_rows"))
-    totals = totals.select("_b", _before(Window.orderBy("_b")).alias("_bucket_start"))
-    ranks = counts.join(totals, F.col("_bucket") == F.col("_b")).select(
-        "_value",
-        (F.col("_bucket_start") + _before(Window.partitionBy("_bucket").orderBy("_value")) + 1).alias(name),
+    order = [F.col(k).asc_nulls_last() if isinstance(k, str) else k for k in order]
+    keys = [*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The ranges come from a sample, so they are fixed by storing them: both readers below see the same ones.
+    stored = materialise(dealt.withColumn("_id", F.monotonically_increasing_id()))
+    return stored.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.shiftright("_id", ROW_BITS).alias("_range"),
+        F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("_at"),
     )
-    return df.join(ranks, df[value] == ranks["_value"], "left").drop("_value")
 
 
-def position(df: DataFrame, value: str, label: str, name: str, lead: int = 14) -> DataFrame:
-    """1-based position in the order of ``value``, then of ``label``; NULL where the value is NULL.
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """The rows with their 1-based position in ``order``, without gaps or shared places.
 
-    ``label`` is unique.  Labels of one value, which may be nearly all, are
-    counted per leading characters and numbered only within those.
+    A column name sorts ascending with NULL last; an expression sorts as it says.
+    Writes one table while it is built.
     """
-    low = shared_rank(df, value, "_low")
-    counts = low.groupBy("_low", F.substring(label, 1, lead).alias("_lead")).agg(F.count(F.lit(1)).alias("_rows"))
-    starts = counts.select("_low", "_lead", _before(Window.partitionBy("_low").orderBy("_lead")).alias("_start"))
-    lead_rows = low.withColumn("_lead", F.substring(label, 1, lead))
-    within = Window.partitionBy("_low", "_lead").orderBy(label)
-    numbered = lead_rows.withColumn("_pos", F.row_number().over(within) - 1)
-    placed = numbered.join(starts, ["_low", "_lead"], "left")
-    return placed.select(*df.columns, (F.col("_low") + F.col("_start") + F.col("_pos")).alias(name))
+    rows = in_ranges(df, order)
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    placed = rows.join(F.broadcast(starts), F.col("_range") == F.col("_r"))  # one row per shuffle partition
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return placed.select(*columns, (F.col("_start") + F.col("_at") + 1).alias(name))

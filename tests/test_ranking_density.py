@@ -2,38 +2,49 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from planlens.operators.density import bandwidths, kernel_density, quantiles
-from planlens.operators.ranking import position, row_number_over, shared_rank
+from planlens.operators.ranking import in_ranges, numbered
 
 
-def test_row_number_over_many_buckets(spark):
+def test_numbered(spark):
+    """Missing keys, ties, repeated rows and descending keys: every position once, in the right order."""
     draw = random.Random(3)
-    rows = [(draw.choice([None, 0, 0, 1]), draw.randint(0, 2), i // 2, f"n{draw.random():.6f}") for i in range(600)]
+    rows = [(draw.choice([None, 0, 0, 1]), draw.randint(0, 2), i // 2, f"n{draw.random():.2f}") for i in range(600)]
     frame = spark.createDataFrame(rows, "a int, b int, id long, name string")
-    got = {r["name"]: r["pos"] for r in row_number_over(frame, ["a", "b"], "id", ["name"], "pos", bits=4).collect()}
-    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[3]))
-    assert got == {r[3]: i for i, r in enumerate(ordered, 1)}
-
-
-def test_shared_rank(spark):
-    data = [0.5, 0.5, 0.504, 2.0, None, 1.0, 1.0, 1.0, -3.0]
-    frame = spark.createDataFrame(list(enumerate(data)), "i int, v double")
-    got = {r["i"]: r["r"] for r in shared_rank(frame, "v", "r").collect()}
-    known = [v for v in data if v is not None]
-    assert got == {i: None if v is None else 1 + sum(w < v for w in known) for i, v in enumerate(data)}
-
-
-def test_position_has_no_gaps(spark):
-    draw = random.Random(4)
-    rows = [(f"Plan {i:04d}", draw.choice([None, 1.0, 1.0, 1.0, 2.5, 2.504])) for i in range(400)]
-    frame = spark.createDataFrame(rows, "name string, v double")
-    got = {r["name"]: r["p"] for r in position(frame, "v", "name", "p", lead=8).collect()}
-    ordered = sorted((v, n) for n, v in rows if v is not None)
-    assert got == {n: None for n, v in rows if v is None} | {n: i for i, (_, n) in enumerate(ordered, 1)}
+    got = sorted(numbered(frame, ["a", F.col("b").desc(), "id"], "pos").collect(), key=lambda r: r["pos"])
+    assert [r["pos"] for r in got] == list(range(1, 601))
+    assert Counter(tuple(r)[:4] for r in got) == Counter(rows)
+    keys = [(r["a"] is None, r["a"] or 0, -r["b"], r["id"]) for r in got]
+    assert keys == sorted(keys)
+
+
+def test_numbered_without_rows(spark):
+    assert numbered(spark.createDataFrame([], "a int, `b.c` string"), ["a"], "pos").collect() == []
+
+
+def test_numbered_deals_out_labels_that_begin_alike(spark):
+    """A million labels with 30 equal first characters, a third of the rows with one value: no range is twice the median."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(1_000_000).selectExpr(
+            "CASE WHEN id % 3 = 0 THEN 1.0D ELSE pmod(xxhash64(id), 1000) / 7D END AS mean",
+            "concat(repeat('a', 30), lpad(id, 7, '0')) AS label",
+        )
+        for order in (["label"], ["mean", "label"], ["mean"]):
+            sizes = sorted(r["n"] for r in in_ranges(rows, order).groupBy("_range").agg(F.count("*").alias("n")).collect())
+            assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+        top = numbered(rows, ["mean", "label"], "pos").where("pos % 100000 = 0").orderBy("pos").collect()
+        want = rows.toPandas().sort_values(["mean", "label"]).iloc[99_999::100_000]
+        assert [(r["mean"], r["label"]) for r in top] == list(want.itertuples(index=False, name=None))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
 
 @pytest.fixture(scope="module")
