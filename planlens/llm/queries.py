@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from planlens.llm import (
     chat_format,
     context_tree,
+    hyperplane_tree,
+    importance_resampling,
+    mil_toxicity,
     paragraph_sketch,
     record_files,
     robust_outliers,
@@ -133,6 +136,34 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.mix(table(spark, folder, "documents"))
 
 
+def op11_mil_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """With the number of sentences, how many offend, and where the worst one lies."""
+    found = mil_toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), 4, 2)
+    worst = F.get(F.array_sort(F.transform("offending", lambda x: F.struct((-x["score"]).alias("s"), x["start"], x["end"]))), F.lit(0))
+    return found.select(
+        "doc_id",
+        "held_out",
+        "score",
+        "predicted",
+        "n_sentences",
+        F.size("offending").cast("long").alias("n_offending"),
+        worst["start"].alias("worst_start"),
+        worst["end"].alias("worst_end"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_hyperplane_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of ids that 7 divides are moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hyperplane_tree.vectors(table(spark, folder, "embeddings").withColumn("label", moved))
+    return hyperplane_tree.hard_negatives(rows)
+
+
 QUERIES = {
     "op1_context_tree": op1_context_tree,
     "op2_robust_outliers": op2_robust_outliers,
@@ -144,6 +175,9 @@ QUERIES = {
     "op8_paragraph_sketch": op8_paragraph_sketch,
     "op9_record_files": op9_record_files,
     "op10_source_mix": op10_source_mix,
+    "op11_mil_toxicity": op11_mil_toxicity,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_hyperplane_tree": op13_hyperplane_tree,
 }
 
 ORACLE_SQL = {
@@ -178,4 +212,53 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target,
                CAST(greatest(0, least(take, pos + size) - pos) + greatest(0, least(take, n + pos + size) - n - pos) AS BIGINT) AS taken
         FROM placed""",
+    # crc32 goes bit by bit over each distinct word: the remainder is shifted, and 3988292384 is the polynomial.
+    "op12_importance_resampling": rf"""
+        WITH split AS (
+            SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{importance_resampling.WORD}') AS w FROM documents),
+        aims AS (
+            SELECT unnest(regexp_extract_all(translate(coalesce(text, ''),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{importance_resampling.WORD}')) AS w FROM benchmark),
+        places AS (SELECT n, unnest(w) AS w FROM split),
+        known AS (SELECT DISTINCT w FROM (SELECT w FROM places UNION ALL SELECT w FROM aims)),
+        hashed AS (
+            SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(
+                [[(('0x' || b)::BIGINT >> k) & 1 for k in range(8)] for b in regexp_extract_all(hex(encode(w)), '..')])),
+                lambda c, bit: xor(c >> 1, 3988292384 * (xor(c, bit) & 1))), 4294967295) % 10000 AS b FROM known),
+        source AS (SELECT b, count(*) AS s FROM places JOIN hashed USING (w) GROUP BY b),
+        target AS (SELECT b, count(*) AS t FROM aims JOIN hashed USING (w) GROUP BY b),
+        gains AS (
+            SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM source) + 10000)::DOUBLE
+                   / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM target) + 10000)::DOUBLE))) AS BIGINT) AS gain
+            FROM (SELECT DISTINCT b FROM hashed) LEFT JOIN source USING (b) LEFT JOIN target USING (b)),
+        sums AS (SELECT n, sum(gain) AS weight FROM places JOIN hashed USING (w) JOIN gains USING (b) GROUP BY n),
+        scored AS (
+            SELECT n, doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                   CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT
+                        + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+            FROM split LEFT JOIN sums USING (n)),
+        placed AS (
+            SELECT n, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () * 10 // 100 AS drawn
+            FROM scored WHERE n_features >= 20)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank
+        FROM scored LEFT JOIN placed USING (n)""",
+    "op13_hyperplane_tree": """
+        WITH rows_ AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [floor(256 * x::DOUBLE) for x in embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM rows_ a JOIN rows_ b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+             AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+        WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+        QUALIFY row_number() OVER w <= 5""",
 }
