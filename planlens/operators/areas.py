@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from planlens.functions.nulls import n_distinct, ratio, replace_where
 from planlens.operators.joins import anti_join, left_join, lookup_join, mark_member, semi_join
+from planlens.session import materialise
+from planlens.sources.tables import literal_table
 
 AREA = "mpa_id"
 PLAN = "plan_id"
@@ -25,9 +29,38 @@ def union_search(*lists: DataFrame) -> DataFrame:
     return result
 
 
+def qualifies(no_take: Sequence[str] = ("Part", "All")) -> list[tuple[str, Column]]:
+    """The conditions of a qualifying area, in the order in which they are applied, with their names."""
+    return [
+        ("implemented", F.col("implemente") == 1),
+        ("no-take", F.col("no_take").isin(*no_take)),
+        ("is an area", F.col("is_mpa") == 1),
+    ]
+
+
 def qualify_areas(atlas: DataFrame, no_take: Sequence[str] = ("Part", "All")) -> DataFrame:
     """Implemented areas that are wholly or partly no-take and count as areas."""
-    return atlas.where((F.col("implemente") == 1) & F.col("no_take").isin(*no_take) & (F.col("is_mpa") == 1))
+    return atlas.where(reduce(and_, [condition for _, condition in qualifies(no_take)]))
+
+
+def qualify_counted(atlas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The qualifying areas, stored, and how many areas each step left: step, condition, n_areas.
+
+    The counts are observed while the areas are written, so the atlas is read
+    once.  The filters lie in the task that writes, whose counts enter once
+    however often it is tried.  The last row tells how many areas a stricter
+    rule, wholly no-take, would keep.
+    """
+    rows, seen = atlas, []
+    for name, condition in [("all", None), *qualifies()]:
+        rows = rows if condition is None else rows.where(condition)
+        watch = Observation()
+        rows = rows.observe(watch, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("no_take") == "All").alias("strict"))
+        seen.append((name, watch))
+    stored = materialise(rows)
+    counts = [(name, watch.get["rows"]) for name, watch in seen] + [("wholly no-take", seen[-1][1].get["strict"])]
+    steps = literal_table(atlas.sparkSession, ["step", "condition", "n_areas"], [(i, *c) for i, c in enumerate(counts)])
+    return stored, steps.withColumn("n_areas", F.col("n_areas").cast("long"))
 
 
 def missing_plans(
@@ -56,10 +89,22 @@ def area_list(
     search: DataFrame,
     all_plans: DataFrame,
 ) -> DataFrame:
-    """Qualifying areas plus the areas of plans that would otherwise be lost."""
-    qualified = qualify_areas(atlas)
-    lost = missing_plans(search, qualified, all_plans)
-    return qualified.unionByName(areas_of_plans(atlas, search, lost))
+    """Qualifying areas plus the areas of plans that would otherwise be lost.
+
+    The rows of the atlas are read once and marked with the narrow list of lost
+    areas; none of those qualifies, or its plan would not be lost.
+    """
+    lost = missing_plans(search, qualify_areas(atlas).select(AREA), all_plans)
+    links = semi_join(search.select(AREA, "plan_id"), lost, PLAN)
+    marked = mark_member(atlas, links, AREA, "_lost")
+    kept = reduce(and_, [condition for _, condition in qualifies()])
+    return marked.where(F.coalesce(kept, F.lit(False)) | F.col("_lost")).drop("_lost")
+
+
+def area_links(atlas: DataFrame, search: DataFrame, all_plans: DataFrame) -> DataFrame:
+    """mpa_id and plan_id of the listed areas and all their search rows: the narrow form of the area metadata."""
+    listed = materialise(area_list(atlas, search, all_plans).select(AREA))
+    return lookup_join(listed, search.select(AREA, "plan_id", "search"), AREA).select(AREA, "plan_id")
 
 
 def lost_by_strict_rule(
@@ -101,10 +146,9 @@ def area_metadata(
 ) -> DataFrame:
     """Area list with search outcome, plan metadata and final status.
 
-    The areas and plans with very many rows are counted by the caller, once, on
-    the narrow search list.
+    The area list, itself the result of several joins, is stored once.
     """
-    listed = area_list(atlas, search, all_plans)
+    listed = materialise(area_list(atlas, search, all_plans))
     rows = with_search(listed, search)
     return with_status(with_plan(rows, plans), review_plans)
 
@@ -114,13 +158,27 @@ def found(areas: DataFrame) -> DataFrame:
     return areas.where(F.col("search") == FOUND)
 
 
+def _by_id(pairs: DataFrame, first: Sequence[Column], second: Sequence[Column], names: Sequence[str]) -> DataFrame:
+    """Two tagged rows for each row of ``pairs``, whose ids of two kinds are to be counted: ``_first`` tells them apart.
+
+    Counting different values of two columns in one aggregate would multiply
+    every input row; here only the different pairs are doubled.
+    """
+    row = lambda tag, values: F.struct(F.lit(tag).alias("_first"), *[v.alias(n) for n, v in zip(names, values, strict=True)])
+    return pairs.select(F.inline(F.array(row(True, first), row(False, second))))
+
+
 def overview_totals(areas: DataFrame, na_rm: bool = True) -> DataFrame:
     """Areas searched, plans included, areas those plans cover."""
-    hit = F.col("search") == FOUND
-    return areas.agg(
-        n_distinct(F.col("mpa_id"), na_rm).alias("n_areas_search"),
-        n_distinct(F.when(hit, F.col("plan_id"))).alias("n_plans"),
-        n_distinct(F.when(hit, F.col("mpa_id"))).alias("n_areas_w_plans"),
+    hit = F.coalesce(F.col("search") == FOUND, F.lit(False))
+    pairs = areas.groupBy("mpa_id", F.when(hit, F.col("plan_id")).alias("plan_id")).agg(F.max(hit).alias("_hit"))
+    ids = [[F.col(c).cast("string"), F.col("_hit")] for c in ("mpa_id", "plan_id")]
+    per_id = _by_id(pairs, *ids, ["_id", "_hit"]).groupBy("_first", "_id").agg(F.max("_hit").alias("_hit"))
+    known, area = F.col("_id").isNotNull(), F.col("_first")
+    return per_id.agg(
+        F.count_if(area & (known | F.lit(not na_rm))).alias("n_areas_search"),
+        F.count_if(~area & known).alias("n_plans"),
+        F.count_if(area & known & F.col("_hit")).alias("n_areas_w_plans"),
     )
 
 
@@ -137,13 +195,25 @@ def multi_area_plans(rows: DataFrame) -> DataFrame:
 
 def geography_stats(rows: DataFrame, recent_after: int = 2009) -> DataFrame:
     """Countries, publication years, and the share of plans published after a year."""
-    recent = F.when(F.col("mp_year") > recent_after, F.col("plan_id"))
-    totals = rows.agg(
-        n_distinct(F.col("country")).alias("n_countries"),
-        F.min("mp_year").alias("earliest_year"),
-        F.avg("mp_year").alias("average_year"),
-        n_distinct(recent).alias("_recent"),
-        n_distinct(F.col("plan_id")).alias("_plans"),
+    pairs = rows.groupBy("country", "plan_id").agg(
+        F.max(F.col("mp_year") > recent_after).alias("_recent"),
+        F.min("mp_year").alias("_least"),
+        F.sum("mp_year").alias("_sum"),
+        F.count("mp_year").alias("_known"),
+    )
+    names = ["_id", "_recent", "_least", "_sum", "_known"]
+    country = [F.col("country").cast("string"), F.lit(False), *[F.col(c) for c in names[2:]]]
+    plan = [F.col("plan_id").cast("string"), F.col("_recent"), *[F.lit(None)] * 3]
+    per_id = _by_id(pairs, country, plan, names).groupBy("_first", "_id").agg(
+        F.max("_recent").alias("_recent"), F.min("_least").alias("_least"), F.sum("_sum").alias("_sum"), F.sum("_known").alias("_known")
+    )
+    known, first = F.col("_id").isNotNull(), F.col("_first")
+    totals = per_id.agg(
+        F.count_if(first & known).alias("n_countries"),
+        F.min("_least").alias("earliest_year"),
+        F.try_divide(F.sum("_sum"), F.sum("_known")).alias("average_year"),
+        F.count_if(~first & known & F.col("_recent")).alias("_recent"),
+        F.count_if(~first & known).alias("_plans"),
     )
     return totals.select(
         "n_countries",

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from planlens.functions.geo import area_m2, centroid, geometry_problem, m2_to_km2
 from planlens.functions.levels import level_rank
 from planlens.functions.nulls import first_match, strict_sum
-from planlens.operators.joins import left_join, lookup_join, semi_join
+from planlens.operators.joins import inner_join, left_join, semi_join
 from planlens.operators.reshape import stat_rows
 
 # Size classes from small to large, in square kilometres.
@@ -98,15 +98,16 @@ def climate_mention(review: DataFrame) -> DataFrame:
 
 def map_points(
     geometry: DataFrame,
-    areas: DataFrame,
+    links: DataFrame,
     review: DataFrame,
 ) -> DataFrame:
     """Centroid and class of every area and plan, inside the limits of the map.
 
-    Only listed areas are drawn: polygons of others are left out before they are measured.
+    ``links`` has the areas and plans to be drawn.  Polygons are measured where
+    they are read and only ids and points are shuffled; points of other areas
+    find no link.
     """
-    links = areas.select("mpa_id", "plan_id")
-    points = lookup_join(polygon_centroid(area_geometry(geometry, areas)), links, "mpa_id")
+    points = inner_join(polygon_centroid(geometry), links.select("mpa_id", "plan_id"), "mpa_id")
     classed = left_join(points, climate_mention(review), "plan_id")
     label = F.coalesce(F.col("climate_mention"), F.lit(MENTION_CLASSES[2]))
     return classed.where(F.col("X").between(*LON_LIMITS) & F.col("Y").between(*LAT_LIMITS)).select(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,12 +43,19 @@ def indicator_matrix(review: DataFrame) -> DataFrame:
 def indicator_full_join(review: DataFrame) -> DataFrame:
     """The matrix put together from six section tables.
 
-    Each has one row a plan, so that one aggregate over all of them is their
-    full join, NULL plans included, without a join after another.
+    The answers are widened once.  Each section gives one tagged row a plan, in
+    which the columns of the others are missing, so that one aggregate by plan is
+    the full join of all six, NULL plans included; the rows already lie by plan.
     """
-    parts = [indicators(review, section_rules(s)) for s in SECTIONS]
-    rows = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)
-    return rows.groupBy("plan_id").agg(*[F.max(c).alias(c) for c in rows.columns if c != "plan_id"])
+    wide = answers_wide(review, input_codes(RULES), numeric=True)
+    stats = [r.stat for r in RULES]
+    matrix = wide.selectExpr("plan_id", *[r.column for r in RULES])
+    rows = [
+        F.struct(*[(F.col(r.stat) if r.section == section else F.lit(None).cast(matrix.schema[r.stat].dataType)).alias(r.stat) for r in RULES])
+        for section in SECTIONS
+    ]
+    tagged = matrix.select("plan_id", F.explode(F.array(*rows)).alias("_row")).select("plan_id", "_row.*")
+    return tagged.groupBy("plan_id").agg(*[F.max(c).alias(c) for c in stats])
 
 
 def _rule_sum(rule: Rule) -> Column:

@@ -1,8 +1,8 @@
 """Equi-joins on one key in which NULL matches NULL.
 
 There is one path for every key and size.  The side that may hold many rows of
-one key is always one that adaptive execution can split: the left one of left,
-semi and anti joins, either one of an inner join.  Which side is broadcast is
+one key is always one that adaptive execution can split (the left one of left,
+semi and anti joins, either one of an inner join) or is cut into pieces.  Which side is broadcast is
 left to the optimizer, which knows the sizes.
 """
 
@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+#: Pieces for each shuffle partition that a hot key is cut into; several, so that chance deals them out evenly.
+PIECES = 8
+
 
 def _keyed(df: DataFrame, on: str) -> DataFrame:
     return df.withColumnRenamed(on, "_r_key")
@@ -35,14 +38,29 @@ def anti_join(left: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return _joined(left, ids.select(on).distinct(), on, "left_anti")
 
 
+def inner_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """The matches alone; either side may have many rows of a key."""
+    return _joined(left, right, on, "inner")
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """All rows of a unique ``left`` with their many, possibly very many, ``right`` matches.
 
-    A left join cannot split its right side, so the matches come from an inner
-    join, and the left rows without any from an anti join.
+    A left join cannot split its right side.  So the right rows of a key are cut
+    into pieces by a digest of the row, and a left row goes to each piece that its
+    key has, or, without any match, to none, where the second join leaves it
+    alone.  ``left`` is read once, ``right`` once for its keys and pieces and once
+    for its rows; a hot key spreads over all partitions.  Rows that are equal in
+    every column share a piece.  No column of ``right`` may be a map.
     """
-    matched = _joined(left, right, on, "inner")
-    return matched.unionByName(anti_join(left, right, on), allowMissingColumns=True)
+    most = PIECES * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    renamed = _keyed(right, on)
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in renamed.columns])
+    rows = renamed.withColumn("_r_piece", F.pmod(digest, F.lit(most)))
+    pieces = rows.select(F.col("_r_key").alias(on), F.col("_r_piece").alias("_piece")).distinct()
+    spread = left_join(left, pieces, on)
+    same = spread[on].eqNullSafe(rows["_r_key"]) & (spread["_piece"] == rows["_r_piece"])
+    return spread.join(rows, same, "left").drop("_piece", "_r_key", "_r_piece")
 
 
 def mark_member(left: DataFrame, ids: DataFrame, on: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from planlens.functions.nulls import in_set, n_distinct, not_in_set, percent, ratio, to_number
 from planlens.functions.text import remove_all, sentence_case, trim_space
@@ -45,7 +45,7 @@ def count_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
 def language_share(review: DataFrame) -> DataFrame:
     """Languages with their number and share of plans, most frequent first."""
     counts = count_by(stat_rows(review).where(F.col("q_code") == "metadata_language"), "entry", name="count")
-    total = counts.agg(F.sum("count")).scalar()
+    total = F.sum("count").over(Window.partitionBy())  # over one row per language
     return counts.select(
         sentence_case(F.col("entry")).alias("entry"),
         "count",

@@ -620,6 +620,15 @@ def oracle_sql() -> dict[str, str]:
               'monitor_exp_any', 'threat_cc_combined', 'threat_strat_combined', 'threat_any_combined') GROUP BY plan_id""",
         ),
         "qualify_areas": _with(_AREAS, "SELECT * FROM qualified"),
+        "filter_steps": _with(
+            _AREAS,
+            """SELECT CAST(step AS INTEGER) AS step, condition, n_areas FROM (
+            SELECT 0 AS step, 'all' AS condition, count(*) AS n_areas FROM atlas
+            UNION ALL SELECT 1, 'implemented', count(*) FROM atlas WHERE implemente = 1
+            UNION ALL SELECT 2, 'no-take', count(*) FROM atlas WHERE implemente = 1 AND no_take IN ('Part', 'All')
+            UNION ALL SELECT 3, 'is an area', count(*) FROM qualified
+            UNION ALL SELECT 4, 'wholly no-take', count(*) FROM qualified WHERE no_take = 'All')""",
+        ),
         "qualify_strict_lost_plans": _with(
             _AREAS,
             """SELECT * FROM atlas WHERE mpa_id IN (SELECT mpa_id FROM search WHERE plan_id IN (SELECT plan_id FROM all_plans

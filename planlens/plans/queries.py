@@ -65,7 +65,8 @@ def _sized(bed: DerivedTables) -> DataFrame:
 
 
 def _map_points(bed: DerivedTables) -> DataFrame:
-    return geometry.map_points(bed.geometry(), _area_metadata(bed), bed.review())
+    links = areas.area_links(bed.atlas(), bed.search(), bed.all_plans())
+    return geometry.map_points(bed.geometry(), links, bed.review())
 
 
 # Scans, cells, names, sinks
@@ -457,6 +458,11 @@ def qualify_areas(bed: DerivedTables) -> DataFrame:
     return areas.qualify_areas(bed.atlas())
 
 
+@_query
+def filter_steps(bed: DerivedTables) -> DataFrame:
+    return areas.qualify_counted(bed.atlas())[1]
+
+
 @_query
 def qualify_strict_lost_plans(bed: DerivedTables) -> DataFrame:
     return areas.lost_by_strict_rule(bed.atlas(), bed.search(), bed.all_plans())
@@ -568,16 +574,12 @@ def latitude_density(bed: DerivedTables) -> DataFrame:
 # Plan tables
 
 
-def _plan_inputs(bed: DerivedTables) -> tuple[DataFrame, DataFrame]:
-    return materialise(_found(bed)), bed.geometry()
-
-
 @_query
 def plan_table(bed: DerivedTables) -> DataFrame:
-    return _rounded(reports.plan_table(*_plan_inputs(bed)), 3, "total_plan_area")
+    return _rounded(reports.plan_table(_found(bed), bed.geometry()), 3, "total_plan_area")
 
 
 @_query
 def plan_results_wide(bed: DerivedTables) -> DataFrame:
-    results = reports.plan_results_wide(*_plan_inputs(bed), bed.review())
+    results = reports.plan_results_wide(_found(bed), bed.geometry(), bed.review())
     return _rounded(results, 3, "total_plan_area")
