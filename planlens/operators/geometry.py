@@ -9,6 +9,7 @@ from planlens.functions.levels import level_rank
 from planlens.functions.nulls import first_match, strict_sum
 from planlens.operators.joins import inner_join, left_join, semi_join
 from planlens.operators.reshape import stat_rows
+from planlens.operators.validity import checked
 
 # Size classes from small to large, in square kilometres.
 SIZE_CLASSES = ["Very Small", "Small", "Large", "Very Large"]
@@ -21,7 +22,7 @@ LAT_LIMITS = (-89.0, 89.0)
 
 def ring_quality(geometry: DataFrame) -> DataFrame:
     """Each geometry with the reason why it cannot be measured, NULL if it can."""
-    return geometry.select("*", geometry_problem(F.col("geometry")).alias("problem"))
+    return checked(geometry, "*")
 
 
 def usable(geometry: DataFrame) -> DataFrame:
@@ -37,16 +38,20 @@ def area_geometry(geometry: DataFrame, areas: DataFrame) -> DataFrame:
     return semi_join(usable(geometry), areas, "mpa_id")
 
 
+def _measured(geometry: DataFrame, measure: Column) -> DataFrame:
+    """mpa_id and ``_m`` of the usable geometries, measured where they are read."""
+    safe = F.when(geometry_problem(F.col("geometry")).isNull(), measure).alias("_m")
+    return checked(geometry, "mpa_id", safe).where(F.col("problem").isNull())
+
+
 def polygon_area(geometry: DataFrame) -> DataFrame:
     """Square kilometres of the usable geometries."""
-    return usable(geometry).select("mpa_id", m2_to_km2(area_m2(F.col("geometry"))).alias("area_calc"))
+    return _measured(geometry, m2_to_km2(area_m2(F.col("geometry")))).select("mpa_id", F.col("_m").alias("area_calc"))
 
 
 def polygon_centroid(geometry: DataFrame) -> DataFrame:
     """X and Y of the planar centroid of the usable geometries."""
-    return usable(geometry).select("mpa_id", centroid(F.col("geometry")).alias("_c")).select(
-        "mpa_id", F.col("_c.X").alias("X"), F.col("_c.Y").alias("Y")
-    )
+    return _measured(geometry, centroid(F.col("geometry"))).select("mpa_id", F.col("_m.X").alias("X"), F.col("_m.Y").alias("Y"))
 
 
 def size_class(area: Column) -> Column:

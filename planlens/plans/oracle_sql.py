@@ -250,7 +250,7 @@ def _box_km2(lat: str, width: str) -> str:
 
 _BOXES = f"""
 boxes AS (SELECT p_partkey AS mpa_id, CAST(p_partkey * 37 % 340 - 170 AS DOUBLE) AS lon, CAST(p_partkey * 53 % 140 - 70 AS DOUBLE) AS lat,
-    CAST(p_size * p_size AS DOUBLE) / 500 AS w, p_size % 2 = 0 AS holed, p_size % 5 = 0 AS doubled FROM part WHERE p_partkey % 50 > 4),
+    CAST(p_size * p_size AS DOUBLE) / 500 AS w, p_size % 2 = 0 AS holed, p_size % 5 = 0 AS doubled FROM part WHERE p_partkey % 50 > 7),
 sizes AS (SELECT mpa_id, {_box_km2("lat", "w")} - CASE WHEN holed THEN {_box_km2("(lat + w / 4)", "(w / 2)")} ELSE 0 END
     + CASE WHEN doubled THEN {_box_km2("(lat - w - 1)", "w")} ELSE 0 END AS area_calc FROM boxes),
 centres AS (SELECT mpa_id, lon + w / 2 AS X, (a * (lat + w / 2) + b * (lat - w / 2 - 1)) / (a + b) AS Y
@@ -670,7 +670,8 @@ def oracle_sql() -> dict[str, str]:
               WHERE o_orderkey % 3 <> 0 AND o_custkey IN (SELECT plan_id FROM review_plans)), n_all"""
         ),
         "ring_quality": """SELECT p_partkey AS mpa_id, CASE p_partkey % 50 WHEN 0 THEN 'not closed' WHEN 1 THEN 'too few points'
-            WHEN 2 THEN 'coordinate out of range' WHEN 3 THEN 'missing coordinate' WHEN 4 THEN 'no ring' END AS problem FROM part""",
+            WHEN 2 THEN 'coordinate out of range' WHEN 3 THEN 'missing coordinate' WHEN 4 THEN 'no ring' WHEN 5 THEN 'crosses itself'
+            WHEN 6 THEN 'hole outside its shell' WHEN 7 THEN 'crosses itself' END AS problem FROM part""",
         "polygon_area": _with(_BOXES, "SELECT mpa_id, round(area_calc, 3) AS area_calc FROM sizes"),
         "polygon_centroid": _with(_BOXES, "SELECT mpa_id, round(X, 6) AS \"X\", round(Y, 6) AS \"Y\" FROM centres"),
         "area_size_class": _sized("SELECT mpa_id, plan_id, round(area_calc, 3) AS area_calc, size_class, size_rank FROM sized"),

@@ -6,6 +6,7 @@ one polygon and one plan name per part, one document per order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import wraps
 
@@ -19,6 +20,7 @@ from planlens.operators.review import review_long
 from planlens.questions import FIRST_ANSWER, N_QUESTIONS, question_key
 
 PLANS_PER_SHEET = 20
+STAR = 31
 AREAS_PER_PLAN = 8
 
 # Name endings that the name shortening knows.
@@ -189,7 +191,7 @@ class DerivedTables:
 
     @_once
     def geometry(self) -> DataFrame:
-        """Boxes, some with a hole or a second polygon, and five kinds of bad rings."""
+        """Boxes, some with a hole or a second polygon, and eight kinds of bad geometries."""
         key, width = F.col("p_partkey"), F.col("p_size") * F.col("p_size") / 500.0
         lon, lat = (key * 37 % 340 - 170).cast("double"), (key * 53 % 140 - 70).cast("double")
         outer = _box(lon, lat, width)
@@ -204,11 +206,19 @@ class DerivedTables:
             2: F.concat(F.array(point(lon, F.lit(95.0))), F.slice(outer, 2, 3), F.array(point(lon, F.lit(95.0)))),
             3: F.concat(F.slice(outer, 1, 2), F.array(point(lon, F.lit(None).cast("double"))), F.slice(outer, 4, 2)),
         }
+        tie = F.array(*[F.get(outer, F.lit(i)) for i in (0, 2, 1, 3, 0)])
+        angle = lambda i: (i % STAR) * (4 * math.pi / STAR)  # noqa: E731  every second corner, so the edges cross
+        star = F.transform(
+            F.sequence(F.lit(0), F.lit(STAR)), lambda i: point(lon + width / 2 * F.cos(angle(i)), lat + width / 2 * F.sin(angle(i)))
+        )
+        bad |= {5: tie, 7: star}
         kind = key % 50
-        geometry = F.when(kind == 4, F.lit(None))
+        geometry = F.when(kind == 4, F.lit(None)).when(kind == 6, F.array(F.array(outer, _box(lon, lat - 2 * width, width / 2))))
         for remainder, ring in bad.items():
             geometry = geometry.when(kind == remainder, F.array(F.array(ring)))
-        return self._partitioned("part", "p_partkey").select(key.alias("mpa_id"), geometry.otherwise(good).alias("geometry"))
+        # As a generator's output the geometry is made once, as if read, however often later expressions mention it.
+        made = F.explode(F.array(geometry.otherwise(good))).alias("geometry")
+        return self._partitioned("part", "p_partkey").select(key.alias("mpa_id"), made)
 
     @_once
     def names(self) -> DataFrame:

@@ -1,12 +1,15 @@
 """Polygon measures against closed forms."""
 
+import itertools
 import math
+import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from planlens.functions import geo
-from planlens.operators import geometry
+from planlens.operators import geometry, validity
 
 R = geo.EARTH_RADIUS_M
 
@@ -95,3 +98,115 @@ def test_quality(shapes):
     }
     assert geometry.usable(frame).count() + geometry.quarantined(frame).count() == frame.count()
     assert geometry.polygon_area(frame).count() == 1
+
+
+def side(a, b, p):
+    s = (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    return (s > 0) - (s < 0)
+
+
+def on(a, b, p):
+    return side(a, b, p) == 0 and min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1])
+
+
+def plain_problem(rings):
+    """By comparing all pairs of edges in fractions; corners are whole thousandths here."""
+    exact = [[(Fraction(round(x * 1000)), Fraction(round(y * 1000))) for x, y in r] for r in rings]
+    exact = [[p for i, p in enumerate(r) if i == 0 or p != r[i - 1]] for r in exact]
+    edges = [(r, i, len(c) - 1, c[i], c[i + 1]) for r, c in enumerate(exact) for i in range(len(c) - 1)]
+    crossed = False
+    for (r, i, n, a, b), (s, j, _, c, d) in itertools.combinations(edges, 2):
+        proper = side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+        if r != s:
+            crossed |= proper
+        elif abs(i - j) in (1, n - 1):
+            v, p, q = (b, a, d) if b == c else (a, b, c)
+            if side(v, p, q) == 0 and (p[0] - v[0]) * (q[0] - v[0]) + (p[1] - v[1]) * (q[1] - v[1]) > 0:
+                return validity.CROSSES
+        elif proper or on(a, b, c) or on(a, b, d) or on(c, d, a) or on(c, d, b):
+            return validity.CROSSES
+    shell = [(a, b) for r, _, _, a, b in edges if r == 0]
+    for p in (a for r, _, _, a, _ in edges if r):
+        rays = sum((a[1] > p[1]) != (b[1] > p[1]) and side(a, b, p) == (1 if b[1] > a[1] else -1) for a, b in shell)
+        crossed |= rays % 2 == 0 and not any(on(a, b, p) for a, b in shell)
+    return validity.OUTSIDE if crossed else None
+
+
+def random_polygons(n):
+    """Wavy rings with long and tiny edges, some with a pushed corner, a spike, a repeated point, holes inside, outside, across or touching."""
+    draw = random.Random(11)
+    found = []
+    for k in range(n):
+        corners = draw.choice([3, 5, 8, 30, 60])
+        angles = sorted(draw.sample(range(3600), corners))
+        radius = lambda: draw.choice([10, 10, 9, 8])
+        shell = [(round(r * math.cos(t / 1800 * math.pi), 3), round(r * math.sin(t / 1800 * math.pi), 3)) for t in angles for r in [radius()]]
+        kind = draw.randrange(6)
+        if kind == 1:
+            shell[draw.randrange(corners)] = (round(draw.uniform(-12, 12), 3), round(draw.uniform(-12, 12), 3))
+        if kind == 2:
+            i = draw.randrange(corners)
+            shell[i:i] = [shell[i]]
+        if kind == 3:
+            i = draw.randrange(corners)
+            shell[i + 1 : i + 1] = [(15.0, 15.0), shell[i]]
+        rings = [[*shell, shell[0]]]
+        for _ in range(draw.choice([0, 1, 2])):
+            x, y, w = round(draw.uniform(-9, 9), 3), round(draw.uniform(-9, 9), 3), draw.choice([0.5, 2.0])
+            rings.append(box(x, y, w) if draw.random() < 0.8 else [(x, y), shell[0], (x, y + w), (x, y)])
+        found.append(rings)
+    return found
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_crossings_against_all_pairs(spark, small):
+    """In the row and through the grid."""
+    rows = random_polygons(250)
+    frame = spark.createDataFrame([(i, [r]) for i, r in enumerate(rows)], f"mpa_id int, geometry {geo.GEOMETRY}")
+    got = {r["mpa_id"]: r["problem"] for r in validity.checked(frame, "mpa_id", small=small).collect()}
+    want = {i: plain_problem(r) for i, r in enumerate(rows)}
+    assert got == want
+    assert min(list(want.values()).count(x) for x in (None, validity.CROSSES, validity.OUTSIDE)) > 20
+
+
+@pytest.mark.parametrize("small", [0, 16])
+def test_shapes_by_name(shapes, small):
+    across = [(179.0, 0.0), (-179.0, 0.0), (-179.0, 2.0), (179.0, 2.0), (179.0, 0.0)]
+    tie = [(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0), (0.0, 0.0)]
+    cap = [(float((lon + 180) % 360 - 180), 60.0) for lon in range(0, 360, 10)] + [(0.0, 60.0)]
+    frame = shapes(
+        good=[[box(0.0, 0.0, 4.0), box(1.0, 1.0, 1.0)]],
+        touching=[[box(0.0, 0.0, 4.0), [(0.0, 2.0), (1.0, 1.0), (1.0, 3.0), (0.0, 2.0)]]],
+        tie=[[tie]],
+        second=[[box(5.0, 5.0, 1.0)], [tie]],
+        across=[[across]],
+        across_tie=[[[across[0], across[2], across[1], across[3], across[0]]]],
+        across_hole=[[across, [(-179.8, 0.5), (-179.5, 0.5), (-179.5, 1.0), (-179.8, 0.5)]]],
+        across_outside=[[across, box(0.0, 0.5, 0.2)]],
+        spike=[[[(0.0, 0.0), (2.0, 0.0), (5.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 0.0)]]],
+        corner_on_edge=[[[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 0.0), (0.0, 4.0), (0.0, 0.0)]]],
+        hole_below=[[box(0.0, 0.0, 1.0), box(0.0, -2.0, 0.5)]],
+        hole_across=[[box(0.0, 0.0, 2.0), box(1.0, 1.0, 2.0)]],
+        pole=[[cap]],
+        short=[[tie[:3]]],
+        nothing=None,
+    )
+    got = {r["mpa_id"]: r["problem"] for r in validity.checked(frame, "mpa_id", small=small).collect()}
+    crossed, outside = validity.CROSSES, validity.OUTSIDE
+    assert got == {
+        "good": None, "touching": None, "tie": crossed, "second": crossed, "across": None, "across_tie": crossed, "across_hole": None,
+        "across_outside": outside, "spike": crossed, "corner_on_edge": crossed, "hole_below": outside, "hole_across": outside,
+        "pole": None, "short": "too few points", "nothing": "no ring",
+    }
+
+
+def test_edges_are_not_compared_with_all_others(spark):
+    """A ring of 20,000 corners, half of them within a thousandth of its size: pairs that meet grow with the edges, not their square."""
+    n = 20_000
+    fine = [(10 + 1e-3 * math.cos(2 * math.pi * i / n), 10 + 1e-3 * math.sin(2 * math.pi * i / n)) for i in range(n // 2)]
+    wide = [(10 + 5 * math.cos(2 * math.pi * i / n), 10 + 5 * math.sin(2 * math.pi * i / n)) for i in range(n // 2, n)]
+    ring = [*fine, *wide, fine[0]]
+    frame = spark.createDataFrame([(1, [[ring]]), (2, [[[*ring[:5000], ring[2], *ring[5000:]]]])], f"mpa_id int, geometry {geo.GEOMETRY}")
+    assert {r["mpa_id"]: r["problem"] for r in geometry.ring_quality(frame).select("mpa_id", "problem").collect()} == {1: None, 2: validity.CROSSES}
+    pairs = [r for r in validity.shape_problems(frame, 0)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Cartesian" in r]
+    assert not pairs
