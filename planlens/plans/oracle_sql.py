@@ -413,7 +413,7 @@ def oracle_sql() -> dict[str, str]:
         f"max(CASE WHEN q_code = '{c}' THEN {'TRY_CAST(entry AS DOUBLE)' if c in numeric_codes else 'entry'} END) AS {c}"
         for c in wide_codes
     )
-    return {
+    statements = {
         "typed_scan": """SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_orderstatus, CAST(o_custkey AS DOUBLE) AS o_custkey,
             o_orderpriority FROM orders""",
         "text_scan": "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus FROM orders",
@@ -716,3 +716,5 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT * FROM facts FULL JOIN (SELECT plan_id, {', '.join(f'coalesce({s}, 0) AS {s}' for s in _STATS)} FROM matrix) USING (plan_id)",
         ),
     }
+    # the same results from the review as it is stored
+    return statements | {"stored_review_stat": statements["all_stat"], "stored_review_levels": statements["inclusion_levels"]}

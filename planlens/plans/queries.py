@@ -114,6 +114,17 @@ def write_roundtrip(bed: DerivedTables) -> DataFrame:
     return back.groupBy("q_code", "entry").agg(F.count(F.lit(1)).alias("n"), F.sum("plan_id").alias("plan_sum"))
 
 
+@_query
+def stored_review_stat(bed: DerivedTables) -> DataFrame:
+    """The review stored in buckets of plans; its indicators then need no shuffle by plan."""
+    return indicators.all_stat(tables.store_by_key(bed.review(), "plan_id"))
+
+
+@_query
+def stored_review_levels(bed: DerivedTables) -> DataFrame:
+    return inclusion.inclusion_levels(tables.store_by_key(bed.review(), "plan_id"))
+
+
 # Ids and joins
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from planlens.functions.text import clean_names
+from planlens.session import new_shared_path
 
 # Cells that mean "no answer".
 NA_TOKENS = ("NA", "NS", "")
@@ -120,6 +121,23 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def store_by_key(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """Store ``df`` as a table in buckets of ``key`` in the shared folder and read it from there.
+
+    Rows of a key lie in one file, sorted by it, so aggregates and joins by the
+    key need no shuffle.  For keys with a bounded number of rows, such as a
+    plan's answers; there are as many buckets as shuffle partitions unless told otherwise.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_shared_path(spark, "buckets")
+    name = f"planlens_{path[-32:]}"
+    # dealt out as the buckets are, so that each task writes one file
+    dealt = df.repartition(buckets, F.col(key))
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Write CSV with a header and without an index column."""
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from planlens.operators import areas, condensed, inclusion, indicators, review
+from planlens.operators import areas, condensed, geometry, inclusion, indicators, reports, review
 from planlens.operators.reshape import sheet_key, sheet_long
 from planlens.questions import COMPONENTS, QUESTION_CODES, component_of, question_key
 from planlens.rules import FIGURE_LABELS, RULES, SECTIONS, input_codes
@@ -185,3 +185,54 @@ def test_filter_counts_shrink(bed):
     no_take = implemented.where(F.col("no_take").isin("Part", "All"))
     counts = [f.count() for f in (atlas, implemented, no_take, areas.qualify_areas(atlas), areas.qualify_areas(atlas, ["All"]))]
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0
+
+
+def test_filter_steps_are_observed(spark, bed):
+    atlas = bed.atlas()
+    stored, steps = areas.qualify_counted(atlas)
+    implemented = atlas.where(F.col("implemente") == 1)
+    no_take = implemented.where(F.col("no_take").isin("Part", "All"))
+    want = [atlas, implemented, no_take, areas.qualify_areas(atlas), areas.qualify_areas(atlas, ["All"])]
+    assert [r["n_areas"] for r in steps.orderBy("step").collect()] == [f.count() for f in want]
+    assert stored.exceptAll(areas.qualify_areas(atlas)).count() == 0
+    unknown = spark.createDataFrame([(1, None, "All", 1), (2, 1, None, 1), (3, 1, "All", None), (4, 1, "All", 1)], "mpa_id long, implemente int, no_take string, is_mpa int")
+    assert [r["n_areas"] for r in areas.qualify_counted(unknown)[1].orderBy("step").collect()] == [4, 3, 2, 1, 1]
+    assert [r["n_areas"] for r in areas.qualify_counted(unknown.limit(0))[1].orderBy("step").collect()] == [0, 0, 0, 0, 0]
+
+
+def test_distinct_counts_do_not_multiply_rows(spark):
+    """Missing ids, areas found and not found, plans of several years; no plan expands its input."""
+    rows = [(1, "F", 10, "NZ", 2010), (1, "NS", None, "NZ", None), (2, "F", 10, None, 2012), (None, "F", 11, "FJ", 2001), (3, None, None, "FJ", None), (3, "F", None, "FR", 1990)]
+    frame = spark.createDataFrame(rows, "mpa_id long, search string, plan_id long, country string, mp_year int")
+    totals = areas.overview_totals(frame)
+    assert tuple(totals.first()) == (3, 2, 3)
+    assert areas.overview_totals(frame, na_rm=False).first()["n_areas_search"] == 4
+    geography = areas.geography_stats(frame, 2005)
+    assert tuple(geography.first()) == (3, 1990, (2010 + 2012 + 2001 + 1990) / 4, 0.5)
+    assert tuple(areas.overview_totals(frame.limit(0)).first()) == (0, 0, 0)
+    assert areas.geography_stats(frame.limit(0)).first()["average_year"] is None
+    for result in (totals, geography):
+        assert "Expand" not in result._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_facts_in_one_aggregate(spark):
+    """A plan with two regions, one of them unknown, and two descriptions has a row for each; an unmeasured area makes its total missing."""
+    rows = [(10, 1, "A", "P", "NZ", 2010), (10, 1, "A", "P", "NZ", 2010), (10, 2, None, "P", "NZ", 2011), (11, 3, "B", None, None, None), (None, 9, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "plan_id long, mpa_id long, region string, name_plan string, country_plan string, mp_year int")
+    ring = lambda x: [[[(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 0.0)]]]
+    shapes = spark.createDataFrame([(1, ring(0.0)), (2, ring(5.0))], "mpa_id long, geometry array<array<array<struct<lon:double,lat:double>>>>")
+    facts = reports.plan_facts(frame, shapes)
+    size = {r["mpa_id"]: r["area_calc"] for r in geometry.polygon_area(shapes).collect()}
+    got = {(r["plan_id"], r["mp_year"], r["region"]): (r["n_areas"], r["total_plan_area"]) for r in facts.collect()}
+    both = (2, pytest.approx(2 * size[1] + size[2]))
+    assert got == {(10, y, g): both for y in (2010, 2011) for g in ("A", None)} | {(11, None, "B"): (1, None), (None, None, None): (1, None)}
+    assert facts.count() == 6
+
+
+def test_metadata_reads_each_table_once_or_twice(bed):
+    scans = lambda frame: frame._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    args = bed.atlas(), bed.search(), bed.all_plans()
+    metadata = areas.area_metadata(bed.atlas(), bed.search(), bed.plans(), bed.all_plans(), review.plan_ids(bed.review()))
+    points = geometry.map_points(bed.geometry(), areas.area_links(*args), bed.review())
+    assert scans(metadata) <= 12 and scans(points) <= 20
+    assert "NestedLoop" not in metadata._jdf.queryExecution().executedPlan().toString()

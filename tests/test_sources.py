@@ -1,8 +1,11 @@
 """Scans, cells, column types and sinks."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from planlens.operators import inclusion, indicators
 from planlens.session import materialise, new_shared_path
 from planlens.sources import tables
 from planlens.sources.derived import DerivedTables
@@ -69,3 +72,17 @@ def test_every_order_is_a_search_row(spark):
     assert search.count() == orders.count()
     assert search.select("mpa_id").distinct().count() < search.count()
     assert {r["search"] for r in search.select("search").distinct().collect()} == {"F", "F-AI", "NI", "NS"}
+
+
+def test_a_review_stored_by_plan_needs_no_shuffle_by_plan(spark):
+    """One file a bucket; indicators and levels over it exchange nothing by plan, and equal those of the review stored plainly, which needs one."""
+    review = DerivedTables(spark, "/root/testdata/sf0.001").review()
+    stored, plain = tables.store_by_key(review, "plan_id"), materialise(review)
+    files = stored.select(F.input_file_name()).distinct().count()
+    assert files <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for build in (indicators.all_stat, indicators.indicators, inclusion.inclusion_levels):
+        plan = build(stored)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(plan_id" not in plan and "Bucketed: true" in plan
+        assert "hashpartitioning(plan_id" in build(plain)._jdf.queryExecution().executedPlan().toString()
+        assert Counter(map(tuple, build(stored).collect())) == Counter(map(tuple, build(review).collect()))
+    assert Counter(map(tuple, stored.collect())) == Counter(map(tuple, review.collect()))
