@@ -142,7 +142,13 @@ def _taught(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int, sam
     found = docs.join(F.broadcast(drawn), docs.doc_id == drawn._id)  # ``sample`` rows at most
     texts = found.select("_y", whole_text(F.col("text")).alias("text"))
     chosen = texts.groupBy(F.xxhash64("text").alias("_h"), "text").agg(F.max("_y").alias("_y"))
-    return chosen.orderBy("_h", "text").limit(sample).select("_y", "text")  # ids that repeat can bring more texts than ids
+    # in as many parts as a shuffle has, whatever their bytes: each text is read word by word twice
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taught = store(chosen.repartition(parts, "_h"), "taught")
+    if taught.count() > sample:  # ids that repeat can bring more texts than ids
+        last = taught.select("_h").orderBy("_h").offset(sample - 1).limit(1).first()[0]
+        taught = taught.where(F.col("_h") <= last)
+    return taught.select("_y", "text")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +180,7 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int
     Missing labels and ids teach nothing.  The driver holds the features of the
     drawn documents' sentences that have any.
     """
-    taught = store(_taught(docs, labels, modulus, held_out, sample), "taught")
+    taught = _taught(docs, labels, modulus, held_out, sample)
     rows, positive = taught.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not 0 < positive < rows:
         return fit([], np.concatenate([np.ones(positive), np.zeros(rows - positive)]), [])

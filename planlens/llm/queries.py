@@ -191,7 +191,7 @@ ORACLE_SQL = {
                count(*) AS n_docs, CAST(sum(CASE WHEN lang <> 'en' THEN finer ELSE words END) AS BIGINT) AS n_tokens
         FROM counted WHERE doc_id = kept GROUP BY ALL""",
     "op10_source_mix": rf"""
-        WITH sized AS (
+        WITH RECURSIVE sized AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
                    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
         sources AS (
@@ -206,12 +206,29 @@ ORACLE_SQL = {
             FROM weighed),
         targets AS (SELECT *, least(2.0::DOUBLE * n, max(reached) OVER () * w) AS target FROM ordered),
         placed AS (
-            SELECT s.doc_id, s.size, t.n, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS take,
+            SELECT s.doc_id, s.size, t.idx, t.n, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS take,
                    CAST(sum(s.size) OVER (PARTITION BY t.idx ORDER BY s.k, s.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - s.size AS pos
-            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+        shares AS (
+            SELECT idx, slots, CAST(sum(slots) OVER (ORDER BY idx) AS BIGINT) - slots AS first, CAST(sum(slots) OVER () AS BIGINT) AS every
+            FROM (SELECT idx, CAST(ceil(floor(target + 0.5) / {source_mix.BLOCK}) AS BIGINT) AS slots FROM targets)),
+        near AS (SELECT any_value(every) AS every, CAST(round_even(any_value(every) * (sqrt(5) - 1) / 2, 0) AS BIGINT) AS m FROM shares),
+        -- the quotients of Euclid's steps: the step with the smallest largest one spreads its multiples best
+        euclid AS (
+            SELECT every, m, m + d AS g, every AS a, m + d AS b, 0::BIGINT AS most FROM near, range(-63, 64) t(d) WHERE m + d > 0 AND m + d < every
+            UNION ALL SELECT every, m, g, b, a % b, greatest(most, a // b) FROM euclid WHERE b <> 0),
+        step AS (SELECT CASE WHEN any_value(every) < 3 THEN 1 ELSE first(g ORDER BY most, abs(g - m), g) END AS g FROM euclid WHERE b = 0 AND a = 1),
+        times AS (SELECT slot, CAST((CAST(slot AS HUGEINT) * coalesce(g, 1)) % every AS BIGINT) AS point FROM near, step, range(every) t(slot)),
+        schedule AS (
+            SELECT idx, slot, row_number() OVER (PARTITION BY idx ORDER BY slot) - 1 AS block
+            FROM times JOIN shares ON point >= first AND point < first + slots),
+        begun AS (
+            SELECT *, CASE WHEN size > 0 AND pos < take THEN pos // {source_mix.BLOCK} END AS block0,
+                   CASE WHEN size > 0 AND n + pos < take THEN (n + pos) // {source_mix.BLOCK} END AS block1 FROM placed)
         SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target,
-               CAST(greatest(0, least(take, pos + size) - pos) + greatest(0, least(take, n + pos + size) - n - pos) AS BIGINT) AS taken
-        FROM placed""",
+               CAST(greatest(0, least(take, pos + size) - pos) + greatest(0, least(take, n + pos + size) - n - pos) AS BIGINT) AS taken,
+               s0.slot AS first_slot, s1.slot AS second_slot
+        FROM begun b LEFT JOIN schedule s0 ON s0.idx = b.idx AND s0.block = block0 LEFT JOIN schedule s1 ON s1.idx = b.idx AND s1.block = block1""",
     # crc32 goes bit by bit over each distinct word: the remainder is shifted, and 3988292384 is the polynomial.
     "op12_importance_resampling": rf"""
         WITH split AS (

@@ -82,7 +82,7 @@ def golden_step(n: int, around: int = 64) -> int:
 
     near = round(n * (5**0.5 - 1) / 2)
     prime = [g for d in range(around) for g in {near - d, near + d} if 0 < g < n and gcd(g, n) == 1]
-    return min(prime, key=lambda g: (largest_term(g), abs(g - near)))
+    return min(prime, key=lambda g: (largest_term(g), abs(g - near), g))
 
 
 def schedule(targets: DataFrame, n: int) -> DataFrame:
@@ -141,26 +141,36 @@ def pieces(placed: DataFrame, slots: DataFrame) -> DataFrame:
         F.explode(F.expr(f"sequence(_from div {BLOCK}, (_to - 1) div {BLOCK})")).alias("rank"),
     )
     words = F.least("_to", (F.col("rank") + 1) * BLOCK) - F.greatest("_from", F.col("rank") * BLOCK)
-    return cut.join(slots, ["idx", "rank"]).select("idx", "at", "size", "epoch", "slot", words.alias("words"))
+    # both sides grow with the corpus, so neither is sent to all tasks whatever its compressed size suggests
+    return cut.join(slots.hint("merge"), ["idx", "rank"]).select("idx", "at", "size", "epoch", "slot", words.alias("words"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, source, size and what else is carried) with their place in the stream and what the mix takes."""
+    """``rows`` (doc_id, source, size and what else is carried) with their place in the stream, what the mix takes and when.
+
+    For each pass through the stream: the words taken, and the first slot of the
+    schedule that takes any, missing where none does.
+    """
     sizes = store(rows, "sizes")
     targets = store(source_targets(sizes), "targets")
     n = targets.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     placed = store(streams(sizes, targets), "placed")
     taken = pieces(placed, schedule(targets, n)).groupBy("idx", "at").agg(
-        *[F.sum(F.when(F.col("epoch") == e, F.col("words")).otherwise(0)).alias(f"taken{e}") for e in range(MOST)]
+        *[F.sum(F.when(F.col("epoch") == e, F.col("words")).otherwise(0)).alias(f"taken{e}") for e in range(MOST)],
+        *[F.min(F.when(F.col("epoch") == e, F.col("slot"))).alias(f"slot{e}") for e in range(MOST)],
     )
     some, none = placed.where("size > 0"), placed.where("size = 0")
     zero: dict[str, Column] = {f"taken{e}": F.lit(0).cast("long") for e in range(MOST)}
-    got = some.join(taken, ["idx", "at"], "left").fillna(0, list(zero))
-    return got.unionByName(none.withColumns(zero))
+    never = {f"slot{e}": F.lit(None).cast("long") for e in range(MOST)}
+    got = some.join(taken.hint("merge"), ["idx", "at"], "left").fillna(0, list(zero))
+    return got.unionByName(none.withColumns(zero | never))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text; others are ignored).
+    """doc_id, size, source_size, target, taken, first_slot, second_slot for every row of ``docs`` (doc_id, source, text).
+
+    ``first_slot`` and ``second_slot`` are the times of the schedule at which
+    the mix begins to take the document, in the first and the second pass.  Other columns are ignored.
 
     A missing text has size 0 and is never taken; a missing source is a source
     of its own, the last; repeated rows are rows of their own; an empty table
@@ -168,7 +178,8 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "source", n_words(whole_text(F.col("text"))).alias("size"))
     taken = sum((F.col(f"taken{e}") for e in range(1, MOST)), F.col("taken0"))
-    return _mixed(rows).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    slots = [F.col("slot0").alias("first_slot"), F.col("slot1").alias("second_slot")]
+    return _mixed(rows).select("doc_id", "size", "source_size", "target", taken.alias("taken"), *slots)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
