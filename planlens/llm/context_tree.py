@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from planlens.llm.common import remainder, shared_files, store, store_path, text_steps, whole_text
 
@@ -245,11 +245,13 @@ def _read_part(folder: str, part: int, columns: list[str]) -> pa.Table:
 
 
 def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of ``docs`` (doc_id, text).
 
     Learns from rows whose crc32(doc_id) modulo ``modulus`` is not ``held_out``
     (a missing id counts as the empty text).  base_score is that of single
-    tokens with one added to each count; score is the tree's log10 probability.
+    tokens with one added to each count; score is the tree's log10 probability;
+    bits_per_byte is its code length over the coded bytes: words joined by one
+    space, and the end.
     Missing and empty texts are the end token alone; repeated rows are learned
     and scored each; other columns are ignored; an empty table, or one to learn
     nothing from, gives defined numbers too.
@@ -295,11 +297,12 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
                     split = [tokens(t) for t in texts[a:b]]
                     codes, starts = sequences([b" ".join(w) for w in split])
                     scores = np.add.reduceat(cost[places.of(codes)], starts)
-                    for w, s in zip(split, scores.tolist(), strict=True):
+                    rates = scores / (-np.log10(2.0) * np.diff(starts, append=len(codes)))
+                    for w, s, rate in zip(split, scores.tolist(), rates.tolist(), strict=True):
                         c = np.fromiter(map(words.__getitem__, [*w, END]), dtype=np.int64, count=len(w) + 1)
                         base = float(np.log10((c + 1) / (n + v + 1)).sum())
-                        out.append((len(c), int((c > 0).sum()), base, s))
-                size, known_size, base, s = zip(*out, strict=True)
+                        out.append((len(c), int((c > 0).sum()), base, s, rate))
+                size, known_size, base, s, rate = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         step.column("doc_id"),
@@ -309,16 +312,11 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
                         pa.array([n] * len(size), pa.int64()),
                         pa.array(base, pa.float64()),
                         pa.array(s, pa.float64()),
+                        pa.array(rate, pa.float64()),
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    )
-
-
-def code_length(scored: DataFrame, text_bytes: Column) -> DataFrame:
-    """Adds bits_per_byte, the tree's code length over ``text_bytes``."""
-    return scored.withColumn("bits_per_byte", -F.col("score") / F.lit(float(np.log10(2.0))) / text_bytes)
+    found = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, {found}")

@@ -2,14 +2,19 @@
 
 Four statistics of each text are transformed to roughly symmetric scales.  For
 every language and source a minimum-covariance-determinant estimate of centre
-and scatter is found by concentration steps: from medians and median deviations,
-take the half of the rows with the smallest Mahalanobis distances, estimate
-again, and so on.  Rows far from the centre in the last estimate are rejected.
-Neither the start nor a step is moved far by less than half of the rows.
+and scatter is found by concentration steps: from a robust start, take the half
+of the rows with the smallest Mahalanobis distances, estimate again, and so on.
+There are three starts, all around the medians: with uncorrelated scales, with
+the correlations of squashed values, and with those of directions.  After two
+steps the start with the smallest determinant goes on until its determinant
+stays.  No start and no step is moved far by less than half of the rows.
 
 Only sums per group and distance bin are aggregated: one pass gives the counts,
 sums and products per bin, and the bins up to the wanted number, the last one in
 part, make the next estimate.  A group is never gathered, however many rows it has.
+
+A row is judged by the mixture of its group's estimate and that of all rows,
+weighted by the group's number of rows against ``PRIOR``, at every size alike.
 """
 
 from __future__ import annotations
@@ -25,13 +30,12 @@ FEATURES = ("x0", "x1", "x2", "x3")
 #: Scale that a transformed statistic has at least: mean word length (log), symbols, repeated lines, repeated words (roots of shares).
 #: The root of a share counted over n items varies by 1 / (2 sqrt(n)) at most: 0.02 over 625 characters, 0.1 over 25 lines or 25 windows of three words.
 FLOORS = (0.05, 0.02, 0.1, 0.1)
-STEPS = 4
-#: Rows of a group up to which the factor of its scatter is that of its number; above it is that of one half.
-EXACT = 400
+#: Steps of all starts, and the most that the best one takes after them while its log determinant changes by more than SETTLED.
+STEPS, MORE, SETTLED = 2, 6, 0.001
 #: Share of normal rows that lie within the distance at which rows are rejected.
 WITHIN = 0.9999
-#: Rows that a group needs for an estimate of its own; smaller ones use that of all rows.
-LEAST = 60
+#: Number of rows at which a group's own estimate weighs as much as that of all rows.
+PRIOR = 60
 MIN_WORDS = 50
 #: Bins per unit of log distance, and per unit of a statistic.
 BINS, GRID = 32, 200
@@ -46,30 +50,37 @@ def chi_square(share: float) -> float:
     return q
 
 
-def consistency(share: float) -> float:
-    """Factor that makes the scatter of the inner ``share`` of four normal statistics unbiased."""
-    if share >= 1:
-        return 1.0
-    q = chi_square(share)
-    return share / (1 - exp(-q / 2) * (1 + q / 2 + q * q / 8))
+#: Squared distance within which half of the rows lie, and beyond which a row is rejected: 3.36 and 23.5.
+HALF, CUT = chi_square(0.5), chi_square(WITHIN)
 
 
-def core(n: int | Column) -> int | Column:
-    """Of ``n`` rows those that make an estimate: the fewest that two estimates without a common row can't have, four statistics given."""
-    if isinstance(n, int):
-        return min(n, (n + len(FEATURES) + 1) // 2)
-    return F.least(n, F.floor((n + len(FEATURES) + 1) / 2))
+def consistency(share: Column) -> Column:
+    """Factor that makes the scatter of the inner ``share`` (half or more) of four normal statistics unbiased.
+
+    The quantile by Newton's steps from that of one half, below which the
+    distribution is concave, so that the steps approach from one side.
+    """
+
+    def nearer(q: Column, _: Column) -> Column:
+        return q - (1 - F.exp(-q / 2) * (1 + q / 2) - share) / (q * F.exp(-q / 2) / 4)
+
+    def factor(q: Column) -> Column:
+        return share / (1 - F.exp(-q / 2) * (1 + q / 2 + q * q / 8))
 
+    return F.when(share >= 1, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(HALF), nearer, factor))
 
-#: Squared distance beyond which a row is rejected: 23.5.
-CUT = chi_square(WITHIN)
+
+def core(n: Column) -> Column:
+    """Of ``n`` rows those that make an estimate: the fewest that two estimates without a common row can't have, four statistics given."""
+    return F.least(n, F.floor((n + len(FEATURES) + 1) / 2))
 
 
 def base_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """Columns ``keep``, lang, source, the counts of words, their characters, symbols, repeated lines and words, base_failed and x0 to x3.
 
     A missing text has no words.  base_failed: fewer than 50 words, or more
-    than half of them in repeated three-word windows.
+    than half of them in repeated three-word windows.  A text is one array of
+    words in its task, which a text of some million words still is.
     """
     rows = docs.select(*keep, *[c for c in ("lang", "source") if c not in keep], whole_text(F.col("text")).alias("_text"))
     rows = rows.withColumns({"_words": stats.words(F.col("_text")), "_lines": stats.lines_with_a_word(F.col("_text"))})
@@ -106,7 +117,7 @@ def _group(df: DataFrame) -> DataFrame:
 
 
 def _starting(grouped: DataFrame) -> DataFrame:
-    """Medians and median deviations per group, from counts per bin of each statistic."""
+    """_g, n, medians m and scales s per group, from counts per bin of each statistic."""
     long = grouped.select("_g", F.posexplode(F.array(*FEATURES)).alias("f", "x"))
     bins = long.groupBy("_g", "f", F.floor(F.col("x") * GRID).alias("b")).agg(F.count("*").alias("n"))
     whole = Window.partitionBy("_g", "f")
@@ -121,15 +132,47 @@ def _starting(grouped: DataFrame) -> DataFrame:
     )
     pick = lambda c, f: F.max(F.when(F.col("f") == f, F.col(c)))
     p = range(len(FEATURES))
-    wide = each.groupBy("_g").agg(
+    return each.groupBy("_g").agg(
         F.max("n").alias("n"), *[pick("m", f).alias(f"m{f}") for f in p], *[pick("s", f).alias(f"s{f}") for f in p]
     )
-    spread = {f"c{i}{j}": F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0) for i in p for j in range(i + 1)}
-    return wide.withColumns(spread).drop(*[f"s{f}" for f in p])
+
+
+def _starts(grouped: DataFrame) -> DataFrame:
+    """_g, start, n, centre m and scatter c: the medians with three scatters of the same scales.
+
+    Correlations: none; those of tanh of the scaled distances from the median;
+    those of the directions from the medians.
+    """
+    p = range(len(FEATURES))
+    pairs = [(i, j) for i in p for j in range(i + 1)]
+    scaled = store(_starting(grouped), "scales")
+    rows = grouped.join(scaled, "_g").select(
+        "_g", *[((F.col(FEATURES[i]) - F.col(f"m{i}")) / F.sqrt(F.col(f"s{i}") * F.col(f"s{i}") + FLOORS[i] ** 2)).alias(f"z{i}") for i in p]
+    )
+    rows = rows.withColumn("far", F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in p), F.lit(0.0))))
+    rows = rows.select(
+        "_g",
+        *[F.tanh(f"z{i}").alias(f"u{i}") for i in p],
+        *[F.when(F.col("far") > 0, F.col(f"z{i}") / F.col("far")).otherwise(0.0).alias(f"v{i}") for i in p],
+    )
+    sums = rows.groupBy("_g").agg(*[F.sum(F.col(f"{a}{i}") * F.col(f"{a}{j}")).alias(f"{a}{i}{j}") for a in "uv" for i, j in pairs])
+
+    def scatter(start: int, letter: str) -> Column:
+        def cell(i: int, j: int) -> Column:
+            scales = F.col(f"s{i}") * F.col(f"s{j}")
+            if i == j:
+                return scales
+            both = F.sqrt(F.col(f"{letter}{i}{i}") * F.col(f"{letter}{j}{j}")) if letter else F.lit(0.0)
+            return F.when(both > 0, scales * F.col(f"{letter}{i}{j}") / both).otherwise(0.0) if letter else F.lit(0.0)
+
+        return F.struct(F.lit(start).alias("start"), *[cell(i, j).alias(f"c{i}{j}") for i, j in pairs])
+
+    each = F.inline(F.array(*[scatter(k, letter) for k, letter in enumerate(("", "u", "v"))]))
+    return scaled.join(sums, "_g").select("_g", "n", *[f"m{i}" for i in p], each)
 
 
 def _factored(params: DataFrame) -> DataFrame:
-    """_g, n, the centre and the lower triangle l of the scatter's Cholesky factor."""
+    """Adds the lower triangle l of the Cholesky factor of the scatter c with the floors, and drops c."""
     p = range(len(FEATURES))
     out = params.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + FLOORS[i] ** 2 for i in p})
     for i in p:
@@ -137,7 +180,15 @@ def _factored(params: DataFrame) -> DataFrame:
             rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
             value = F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}")
             out = out.withColumn(f"l{i}{j}", value)
-    return out.select("_g", "n", *[f"m{i}" for i in p], *[f"l{i}{j}" for i in p for j in range(i + 1)])
+    return out.drop(*[f"c{i}{j}" for i in p for j in range(i + 1)])
+
+
+def _with_determinant(params: DataFrame) -> DataFrame:
+    """Adds ld, the log determinant of the scatter with the floors."""
+    p = range(len(FEATURES))
+    kept = F.struct(*[f"c{i}{j}" for i in p for j in range(i + 1)]).alias("_c")
+    done = _factored(params.select("*", kept)).withColumn("ld", 2 * sum((F.log(f"l{i}{i}") for i in p), F.lit(0.0)))
+    return done.select(*[c for c in params.columns if not c.startswith("c")], "_c.*", "ld")
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -149,28 +200,30 @@ def _distance(df: DataFrame) -> DataFrame:
 
 
 def _concentrate(grouped: DataFrame, params: DataFrame) -> DataFrame:
-    """The estimate from the half of each group's rows that lie nearest under ``params``.
+    """The estimates from the half of each group's rows that lie nearest under each of its ``params``.
 
     Of the bin that crosses the half all rows count, with the weight that makes up the number.
     """
     p = range(len(FEATURES))
-    far = _distance(grouped.join(params.drop("n"), "_g"))
+    far = _distance(grouped.join(_factored(params.drop("n", "ld")), "_g"))
     sums = {f"t{i}": F.sum(FEATURES[i]) for i in p}
     sums |= {f"q{i}{j}": F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in p for j in range(i + 1)}
-    bins = far.groupBy("_g", F.floor(F.log1p("d2") * BINS).alias("b")).agg(
+    bins = far.groupBy("_g", "start", F.floor(F.log1p("d2") * BINS).alias("b")).agg(
         F.count("*").alias("k"), *[v.alias(c) for c, v in sums.items()]
     )
-    below = Window.partitionBy("_g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("_g", "start")
+    below = own.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     inner = bins.withColumns(
-        {"c": F.coalesce(F.sum("k").over(below), F.lit(0)), "n": F.sum("k").over(Window.partitionBy("_g"))}
+        {"c": F.coalesce(F.sum("k").over(below), F.lit(0)), "n": F.sum("k").over(own)}
     ).withColumn("w", F.least(F.lit(1.0), (core(F.col("n")) - F.col("c")) / F.col("k"))).where("w > 0")
-    total = inner.groupBy("_g").agg(
+    total = inner.groupBy("_g", "start").agg(
         F.max("n").alias("n"), *[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("k", *sums)]
     )
-    exact = F.array(*[F.lit(consistency(core(n) / n)) for n in range(1, EXACT + 1)])
-    factor = F.coalesce(F.get(exact, F.least(F.col("n"), F.lit(EXACT + 1)).cast("int") - 1), F.lit(consistency(0.5)))
+    total = total.withColumn("factor", consistency(core(F.col("n")) / F.col("n")))
+    factor = F.col("factor")
     return total.select(
         "_g",
+        "start",
         "n",
         *[(F.col(f"t{i}") / F.col("k")).alias(f"m{i}") for i in p],
         *[
@@ -181,31 +234,57 @@ def _concentrate(grouped: DataFrame, params: DataFrame) -> DataFrame:
     )
 
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """One row a group (_g: pooled, lang, source) with n, centre and factor, from rows that passed the base rules.
+def estimates(rows: DataFrame, steps: int = STEPS, more: int = MORE) -> DataFrame:
+    """One row a group (_g: pooled, lang, source) with n, centre m and scatter c, from rows that passed the base rules.
 
     A few hundred numbers a group; stored after each step, which keeps the plan
     of a step short and its size known to the join that follows.
     """
     grouped = _group(rows.where("not base_failed").select("lang", "source", *FEATURES))
-    params = store(_factored(_starting(grouped)), "centre")
+    params = store(_starts(grouped), "starts")
     for _ in range(steps):
-        params = store(_factored(_concentrate(grouped, params)), "scatter")
-    return params
+        params = store(_with_determinant(_concentrate(grouped, params)), "scatter")
+    names = [c for c in params.columns if c != "_g"]
+    best = F.min_by(F.struct(*names), F.struct("ld", "start")).alias("best")
+    params = store(params.groupBy("_g").agg(best).select("_g", "best.*"), "best")
+    for _ in range(more):
+        before, params = params, store(_with_determinant(_concentrate(grouped, params)), "scatter")
+        moved = params.join(before.select("_g", F.col("ld").alias("was")), "_g").agg(F.max(F.abs(F.col("ld") - F.col("was")))).first()[0]
+        if moved is None or moved <= SETTLED:
+            break
+    return params.drop("start", "ld")
+
+
+def blended(params: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """_lang, _source, m and c: the mixture of each group's estimate, n / (n + prior) of it, and the one of all rows."""
+    p = range(len(FEATURES))
+    pairs = [(i, j) for i in p for j in range(i + 1)]
+    numbers = [f"m{i}" for i in p] + [f"c{i}{j}" for i, j in pairs]
+    own = params.where("not _g.pooled")
+    pooled = params.where("_g.pooled").select(*[F.col(c).alias(f"all_{c}") for c in numbers])
+    both = own.join(F.broadcast(pooled), F.lit(True))  # one row
+    w = F.col("n") / (F.col("n") + prior)
+    mix = lambda c: w * F.col(c) + (1 - w) * F.col(f"all_{c}")
+    off = lambda i: F.col(f"m{i}") - F.col(f"all_m{i}")
+    return both.select(
+        F.col("_g.lang").alias("_lang"),
+        F.col("_g.source").alias("_source"),
+        *[mix(f"m{i}").alias(f"m{i}") for i in p],
+        *[(mix(f"c{i}{j}") + w * (1 - w) * off(i) * off(j)).alias(f"c{i}{j}") for i, j in pairs],
+    )
 
 
-def judged(rows: DataFrame, params: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
+def judged(rows: DataFrame, params: DataFrame, cut: float = CUT, prior: int = PRIOR) -> DataFrame:
     """Adds d2 and kept to ``rows``: false if base_failed or d2 is above ``cut``.
 
-    A missing language or source is a value of its own.  Rows of a group with
-    fewer than ``least`` rows are judged by the estimate of all rows; without
-    any estimate a row that passed the base rules is kept.
+    A missing language or source is a value of its own.  Rows of a group without
+    an estimate are judged by that of all rows; without any estimate a row that
+    passed the base rules is kept.
     """
-    names = [c for c in params.columns if c not in ("_g", "n")]
-    own = params.where(~F.col("_g.pooled") & (F.col("n") >= least)).select(
-        F.col("_g.lang").alias("_lang"), F.col("_g.source").alias("_source"), F.struct(*names).alias("_own")
-    )
-    pooled = params.where("_g.pooled").select(F.struct(*names).alias("_all"))
+    p = range(len(FEATURES))
+    names = [f"m{i}" for i in p] + [f"l{i}{j}" for i in p for j in range(i + 1)]
+    own = _factored(blended(params, prior)).select("_lang", "_source", F.struct(*names).alias("_own"))
+    pooled = _factored(params.where("_g.pooled")).select(F.struct(*names).alias("_all"))
     found = rows.join(own, rows.lang.eqNullSafe(own._lang) & rows.source.eqNullSafe(own._source), "left")
     found = found.join(F.broadcast(pooled), F.lit(True), "left")  # one row at most
     used = found.withColumn("_p", F.coalesce("_own", "_all"))

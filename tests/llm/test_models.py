@@ -76,6 +76,9 @@ def check_scores(rows, got):
     found = sorted((str(r[0]), *r[1:5], round(r.base_score, 6), round(r.score, 5)) for r in got)
     for a, b in zip(found, expected, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=2e-5)
+    size = {(str(r.doc_id), len(w) + 1): len(" ".join(w).encode()) + 1 for r, w in zip(rows, split, strict=True)}
+    for r in got:
+        assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / size[str(r.doc_id), r.n_tokens])
     return tree
 
 

@@ -109,9 +109,8 @@ def test_outliers_follow_a_plain_estimate(spark):
     own = params.where("not _g.pooled").first()
     assert own.n == 4400
     assert np.allclose([own[f"m{i}"] for i in range(4)], clean.mean(axis=0), atol=0.03)
-    low = np.array([[own[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
-    scatter = np.cov(clean.T) + np.diag(np.square(robust_outliers.FLOORS))
-    assert np.allclose(low @ low.T, scatter, atol=0.03)
+    found = np.array([[own[f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])
+    assert np.allclose(found, np.cov(clean.T), atol=0.03)
     kept = {r.doc_id: r.kept for r in robust_outliers.judged(frame, params).collect()}
     assert not any(kept[i] for i in range(4000, 4400)) and sum(kept[i] for i in range(4000)) >= 3990
 
