@@ -79,6 +79,19 @@ def to_number(value: Column) -> Column:
     return value.try_cast("double")
 
 
+#: What an answer can state, from the weakest to the strongest where a plan has several to one question.
+STATUSES = ("missing", "other", "planned", "answered")
+
+
+def answer_status(entry: Column) -> Column:
+    """Place in ``STATUSES`` of a text answer: none, some other text, one that says it is planned, a number.
+
+    The number that ``to_number`` makes of it is missing for the first three alike.
+    """
+    stated = F.lower(F.trim(entry)) == "planned"
+    return F.when(to_number(entry).isNotNull(), 3).when(stated, 2).when(F.trim(entry) != "", 1).otherwise(0)
+
+
 def cap(value: Column, limit) -> Column:
     """Upper limit that keeps NULL (``least`` would return the limit)."""
     return F.when(value > limit, F.lit(limit)).otherwise(value)

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from planlens.functions.nulls import in_set, n_distinct, not_in_set, percent, ratio, to_number
+from planlens.functions.nulls import STATUSES, answer_status, in_set, n_distinct, not_in_set, percent, ratio, to_number
 from planlens.functions.text import remove_all, sentence_case, trim_space
-from planlens.operators.reshape import answers_wide, spread_counts, stat_rows
+from planlens.operators.reshape import answers_wide, spread_counts, stat_rows, to_long
 from planlens.questions import EXCLUDED_PLANS
 
 
@@ -98,6 +98,32 @@ def assessment_total(review: DataFrame, n_plans=None) -> DataFrame:
     return totals.select("n_plans", percent(F.col("n_plans"), whole).alias("pct_assess"), "n_countries")
 
 
+def stated_answers(review: DataFrame, codes: Sequence[str]) -> DataFrame:
+    """One row per plan, one column per code: what the plan states, before answers become numbers.
+
+    "answered" (a number), "planned", "other" (another text) or "missing", also
+    where a plan has no row of the code; of several the first that applies.
+    The indicators take the last three for planned.
+    """
+    cells = stat_rows(review).select("plan_id", "q_code", answer_status(F.col("entry")).alias("status"))
+    wide = cells.groupBy("plan_id").agg(*[F.max(F.when(F.col("q_code") == c, F.col("status"))).alias(c) for c in codes])
+    named = F.array(*[F.lit(s) for s in STATUSES])
+    return wide.select("plan_id", *[F.get(named, F.coalesce(F.col(c), F.lit(0))).alias(c) for c in codes])
+
+
+def planned_counts(review: DataFrame, codes: Sequence[str], n_plans=None) -> DataFrame:
+    """Per code the plans of each status, and the shares that are taken for planned and that state it."""
+    long = to_long(stated_answers(review, codes), ["plan_id"], codes, "q_code", "status")
+    counts = long.groupBy("q_code").agg(
+        *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES],
+        F.count_if(F.col("status") != "answered").alias("n_taken"),
+        F.count(F.lit(1)).alias("_all"),
+    )
+    whole = F.col("_all") if n_plans is None else F.lit(n_plans)
+    shares = {"pct_taken": percent(F.col("n_taken"), whole), "pct_planned": percent(F.col("n_planned"), whole)}
+    return counts.withColumns(shares).drop("_all")
+
+
 def design_entry_counts(review: DataFrame) -> DataFrame:
     """Design answers by code and value, with the share of ones among ones and zeros."""
     design = stat_rows(review).where(F.col("category") == "design")

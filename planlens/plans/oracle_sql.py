@@ -346,6 +346,15 @@ def _with(*parts_and_body: str) -> str:
     return f"WITH {text}\n{body}"
 
 
+_ASSESSMENT = [QUESTION_CODES[n] for n in (31, 32, 33)]
+_STATED = ", ".join(
+    f"""CASE WHEN count(TRY_CAST(entry AS DOUBLE)) FILTER (q_code = '{c}') > 0 THEN 'answered'
+  WHEN count(*) FILTER (q_code = '{c}' AND entry = 'Planned') > 0 THEN 'planned'
+  WHEN count(entry) FILTER (q_code = '{c}') > 0 THEN 'other' ELSE 'missing' END AS {c}"""
+    for c in _ASSESSMENT
+)
+
+
 def _review(body: str) -> str:
     return _with(_REVIEW, body)
 
@@ -527,6 +536,15 @@ def oracle_sql() -> dict[str, str]:
               max(CASE WHEN q_code = 'assess_climate' THEN TRY_CAST(entry AS DOUBLE) END) AS c FROM stat GROUP BY plan_id)
             WHERE a IS NULL OR a = 1 OR c IS NULL OR c = 1), n_all"""
         ),
+        "stated_answers": _review(f"SELECT plan_id, {_STATED} FROM stat GROUP BY plan_id"),
+        "planned_counts": _review(
+            f"""SELECT q_code, n_missing, n_other, n_planned, n_answered, whole - n_answered AS n_taken,
+            {_pct("(whole - n_answered)", "whole")} AS pct_taken, {_pct("n_planned", "whole")} AS pct_planned FROM (
+            SELECT q_code, count(*) FILTER (s = 'missing') AS n_missing, count(*) FILTER (s = 'other') AS n_other,
+              count(*) FILTER (s = 'planned') AS n_planned, count(*) FILTER (s = 'answered') AS n_answered, count(*) AS whole
+            FROM (UNPIVOT (SELECT plan_id, {_STATED} FROM stat GROUP BY plan_id) ON {", ".join(_ASSESSMENT)} INTO NAME q_code VALUE s)
+            GROUP BY q_code)"""
+        ),
         "design_entry_counts": _review(
             """SELECT q_code, "0", "0.5", "1", round(CAST("1" AS DOUBLE) / ("1" + "0") * 100, 6) AS pct_1 FROM (
             SELECT q_code, nullif(count(*) FILTER (entry = '0'), 0) AS "0", nullif(count(*) FILTER (entry = '0.5'), 0) AS "0.5",

@@ -10,7 +10,7 @@ from planlens.functions import nulls
 from planlens.functions.levels import level_rank, only_levels
 from planlens.operators import areas, condensed, geometry, inclusion, indicators, joins, reports, reshape, review
 from planlens.operators.density import kernel_density
-from planlens.questions import ANSWER_CODES, COMPONENTS, EXCLUDED_PLANS
+from planlens.questions import ANSWER_CODES, COMPONENT_RANGES, COMPONENTS, EXCLUDED_PLANS, QUESTION_CODES
 from planlens.rules import (
     ASSESSMENTS,
     CLIMATE,
@@ -29,6 +29,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 RECENT_AFTER = 1997
 LEFT_PANEL = ("AFRICA", "AMERICA", "ASIA")
 
+ASSESSMENT_CODES = [QUESTION_CODES[n] for low, high in dict(COMPONENT_RANGES)["assessment"] for n in range(low, high + 1)]
+
 _REGISTRY: dict[str, Query] = {}
 
 
@@ -353,6 +355,16 @@ def assessment_total(bed: DerivedTables) -> DataFrame:
     return review.assessment_total(bed.review())
 
 
+@_query
+def stated_answers(bed: DerivedTables) -> DataFrame:
+    return review.stated_answers(bed.review(), ASSESSMENT_CODES)
+
+
+@_query
+def planned_counts(bed: DerivedTables) -> DataFrame:
+    return review.planned_counts(bed.review(), ASSESSMENT_CODES)
+
+
 @_query
 def design_entry_counts(bed: DerivedTables) -> DataFrame:
     return _rounded(review.design_entry_counts(bed.review()), 6, "pct_1")

@@ -236,3 +236,39 @@ def test_metadata_reads_each_table_once_or_twice(bed):
     points = geometry.map_points(bed.geometry(), areas.area_links(*args), bed.review())
     assert scans(metadata) <= 12 and scans(points) <= 20
     assert "NestedLoop" not in metadata._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stated_answers(spark):
+    plans = {
+        1: {"assess_any": "Planned", "assess_climate": None},
+        2: {"assess_any": " planned ", "assess_climate": ""},
+        3: {"assess_any": "see annex", "assess_climate": "0.5"},
+        4: {"assess_any": "1", "assess_climate": "0"},
+    }
+    frame = small_review(spark, plans)
+    again = frame.where("plan_id = 1 and q_code = 'assess_climate'").withColumn("entry", F.lit("Planned"))
+    twice = frame.where("plan_id = 4 and q_code = 'assess_any'").withColumn("entry", F.lit("Planned"))
+    lone = frame.where("plan_id = 4 and q_code = 'country'").withColumn("plan_id", F.lit(None).cast("long"))
+    frame = frame.unionByName(again).unionByName(twice).unionByName(lone)
+    codes = ["assess_any", "assess_climate"]
+    found = {r.plan_id: (r.assess_any, r.assess_climate) for r in review.stated_answers(frame, codes).collect()}
+    assert found == {
+        1: ("planned", "planned"),
+        2: ("planned", "missing"),
+        3: ("other", "answered"),
+        4: ("answered", "answered"),
+        None: ("missing", "missing"),
+    }
+    counts = {r.q_code: r for r in review.planned_counts(frame, codes, 4).collect()}
+    assert tuple(counts["assess_any"])[1:] == (1, 1, 2, 1, 4, 100.0, 50.0)
+    assert tuple(counts["assess_climate"])[1:] == (2, 0, 1, 2, 3, 75.0, 25.0)
+    plan = review.stated_answers(frame, codes)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert review.planned_counts(frame.limit(0), codes).count() == 0
+
+
+def test_stated_answers_agree_with_the_indicators(spark):
+    bed = DerivedTables(spark, "/root/testdata/sf0.001")
+    stated = {r.q_code: r.n_taken for r in review.planned_counts(bed.review(), ["assess_any", "assess_climate"]).collect()}
+    rows = indicators.indicator_matrix(bed.review()).agg(F.sum("assess_any_planned"), F.sum("assess_cc_planned")).first()
+    assert (stated["assess_any"], stated["assess_climate"]) == tuple(rows)
