@@ -5,8 +5,10 @@ conjunctive rule.  A lasso logistic regression gives most rules weight zero, and
 what remains is compiled into one Spark column expression, so scoring runs
 inside the scan of the texts.
 
-Fitting happens on the driver on at most SAMPLE labelled rows of fifteen
-numbers each, drawn by a digest of their id; scoring covers all rows.
+Fitting happens on the driver on at most SAMPLE labelled ids of twelve
+numbers each, drawn by a digest of the id, and on at most twice as many rows
+where ids repeat; scoring covers all rows.  A text is one array of words in its
+task, which a text of some million words still is.
 """
 
 from __future__ import annotations
@@ -212,7 +214,11 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int) ->
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int) -> DataFrame:
-    """The rows of ``docs``, all columns, with a score of at least one half."""
+    """The rows of ``docs``, all columns, with a score of at least one half.
+
+    Missing texts are scored as empty ones, repeated rows alike; without any
+    label to learn from all rows have the score one half and stay.
+    """
     model = fit_labelled(docs.select("doc_id", "text"), labels, modulus, held_out)
     rows, _ = statistics(docs.select(F.struct("*").alias("_row"), "text"), "_row")
     return rows_where(rows, model.score() >= 0.5, docs.columns)

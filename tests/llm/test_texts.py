@@ -1,5 +1,6 @@
 """Operators on single texts, against plain versions and the tokenizers library."""
 
+import math
 import zlib
 
 import brute
@@ -128,6 +129,49 @@ def test_rules(spark, documents, awkward, empty):
     assert rule_ensemble.classify(documents, labels.limit(0), 3, 1).select("score").distinct().count() == 1
 
 
+def plain_statistics(text):
+    text = text or ""
+    w, counts = brute.words(text), brute.base_counts(text)
+    n, chars = max(len(w), 1), max(len(text), 1)
+    lines = [x for x in text.split("\n") if brute.words(x)]
+    among = lambda marks: sum(c in marks for c in text) / chars
+    return [
+        math.log1p(len(w)),
+        sum(map(len, w)) / n,
+        math.log1p(max(map(len, w), default=0)),
+        len(set(w)) / n,
+        sum(a == b for a, b in zip(w, w[1:])) / n,
+        counts["n_repeat_words"] / n,
+        counts["n_symbols"] / chars,
+        len(lines) / n,
+        counts["n_dup_lines"] / max(len(lines), 1),
+        among("0123456789"),
+        among("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        among(".,;:!?"),
+    ]
+
+
+def test_rule_statistics(documents, awkward):
+    for table in (documents, awkward):
+        rows, names = rule_ensemble.statistics(table, "text")
+        assert len(names) == 12
+        for r in rows.collect():
+            assert [r[n] for n in names] == pytest.approx(plain_statistics(r.text))
+
+
+def test_good_documents(spark, documents, awkward, empty):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    mixed = awkward.unionByName(documents, allowMissingColumns=True)
+    good = rule_ensemble.good_documents(mixed, labels, 3, 1)
+    scored = [r for r in rule_ensemble.classify(mixed, labels, 3, 1).collect() if r.predicted]
+    assert good.columns == mixed.columns
+    assert sorted(str(r.doc_id) for r in good.collect()) == sorted(str(r.doc_id) for r in scored)
+    whole = {tuple(r) for r in mixed.collect()}
+    assert all(tuple(r) in whole for r in good.collect())
+    assert rule_ensemble.good_documents(empty, labels, 3, 1).count() == 0
+    assert rule_ensemble.good_documents(awkward, labels.limit(0), 3, 1).count() == awkward.count()
+
+
 def test_rules_held_out(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
