@@ -22,7 +22,6 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +40,8 @@ MASK_SHIFT, MASK_DELTA = 15, 0xA282EAD8
 #: The splitting pattern of byte-level BPE, with Unicode's white space spelled out; fixed values.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE}\\p{{L}}\\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Pieces in one generation that a Python worker remembers, and pieces joined for one call of the library.
+#: Pieces in one generation that a Python worker remembers.
 REMEMBERED = 300_000
-LINES = 500
-#: Marks that are tokens of their own after a letter.
-STOPS = ".,;:!?"
 BUFFER = 8 << 20
 
 
@@ -82,72 +78,71 @@ def unframe(read: Callable[[int], bytes]) -> tuple[int | None, np.ndarray] | Non
     return doc_id if has_id else None, np.frombuffer(payload, f"<u{width}", offset=PAYLOAD.size).astype("<u4")
 
 
-class Pieces:
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: printable Latin ones as they are, the others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    others = sorted(set(range(256)) - set(plain))
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Pieces(dict):
     """Ids of whole texts by the tokenizers library, which sees each distinct piece of text once.
 
-    Where no white space stands beside a space, a text is cut before every
-    space: a token never crosses such a place, so a piece alone is encoded as
-    it is within the text.  Other texts are cut by the tokenizer's own pattern,
-    and those with special tokens or with characters beyond the Latin ones go
-    to the library whole.  Two generations of pieces are remembered.
+    Maps a piece to its ids.  Where no white space stands beside a space or a
+    line end, a text is cut before every space and around every line end: a
+    token never crosses such a place, so a piece alone is encoded as it is
+    within the text.  A piece of several parts by the tokenizer's own pattern
+    is looked up part by part; a single part goes to the library's model.
+    Other texts are cut by the pattern at once, and those with special tokens
+    or with characters beyond the Latin ones go to the library whole.  Two
+    generations of pieces are remembered.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         specials = [regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(["[^\\x00-\u024f]", *specials]))
         self.pattern = regex.compile(PIECES)
         self.beside = [x for c in "\t\n\v\f\r \x85\xa0" for x in (" " + c, c + " ")]
-        self.newline = self._ids(["\n"])[0]
-        self.known: dict[str, bytes] = {}
+        self.beside += [x for c in "\t\v\f\r\x85\xa0" for x in ("\n" + c, c + "\n")] + ["\n\n"]
+        self.letters = byte_letters()
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            parts = [piece] if piece.removeprefix(" ").isalpha() else self.pattern.findall(piece)
+            if len(parts) != 1:
+                ids = b"".join([self[p] for p in parts])
+            else:
+                found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+                ids = np.array([t.id for t in found], dtype="<u4").tobytes()
+        self[piece] = ids
+        return ids
 
     def _pieces(self, text: str) -> list[str] | None:
         if (not text.isascii() or "<|" in text) and self.whole.search(text):
             return None
         if "\0" in text or text[:1] == " " or text[-1:] == " " or any(x in text for x in self.beside):
             return self.pattern.findall(text)
-        return text.replace(" ", "\0 ").split("\0")
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Stops after a word apart from it, pieces with white space inside one by one, the others as lines of longer texts."""
-        ended = [p for p in pieces if p[-1:] in STOPS and p.rstrip(STOPS)[-1:].isalpha()]
-        words = [p.rstrip(STOPS) for p in ended]
-        tails = [p[len(w) :] for p, w in zip(ended, words, strict=True)]
-        pieces = list(set(pieces).difference(ended).union(words, tails) - self.known.keys())
-        inner = [p for p in pieces if p.removeprefix(" ").split() != [p.removeprefix(" ")]]
-        self.known.update(zip(inner, self._ids(inner), strict=True))
-        plain = list(set(pieces) - set(inner))
-        lines = self._ids(["\n".join(plain[i : i + LINES]) for i in range(0, len(plain), LINES)])
-        raw = self.newline.join(lines)
-        cuts = (np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.newline, "<u4")[0]) * 4).tolist()
-        if len(cuts) + 1 != len(plain) and plain:
-            raise AssertionError("a piece of text was not encoded alone")
-        edges = zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)
-        self.known.update(zip(plain, (raw[a:b] for a, b in edges), strict=False))
-        look = self.known.__getitem__
-        self.known.update(zip(ended, (look(w) + look(t) for w, t in zip(words, tails, strict=True)), strict=True))
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+    def ids(self, text: str) -> np.ndarray:
+        pieces = self._pieces(text)
+        if pieces is None:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), dtype="<u4")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self._pieces(t) for t in texts]
-        whole = [p for p in split if p]
-        new = set(filterfalse(self.known.__contains__, chain.from_iterable(whole)))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.older, self.known = self.known, {}
-            new = set().union(*whole)
-        back = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in back)
-        self._learn(list(new - back))
-        look = self.known.__getitem__
-        rows = [self._ids([t])[0] if p is None else b"".join(map(look, p)) for t, p in zip(texts, split, strict=True)]
-        return [np.frombuffer(r, dtype="<u4") for r in rows]
+        return [self.ids(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -156,16 +151,18 @@ def load(path: str) -> Pieces:
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
-    """Write all of ``docs`` in ascending doc_id (missing first; ties by text) and return the index.
+    """Write all of ``docs`` in ascending doc_id (missing first; ties by a digest of the text, then the text) and return the index.
 
     ``folder`` must be shared by all machines.  Every document's ids end with
     ``end_id``; a missing or empty text is that id alone.  Repeated rows are
-    repeated records; an empty table has an empty index.  Only the ids, offsets
+    repeated records; an empty table has an empty index.  Rows that share an id,
+    or have none, are cut into tasks by the digest.  Only the ids, offsets
     and sizes pass through Spark again, a task holds one record at a time.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col(text)).alias("_text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_text")
+    order = ["doc_id", F.xxhash64("_text"), "_text"]
+    rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     names = ["doc_id", "shard", "file", "offset", "length", "before", "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

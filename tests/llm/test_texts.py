@@ -2,6 +2,7 @@
 
 import math
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -82,6 +83,21 @@ def test_record_files_shuffled_damage_and_awkward(spark, awkward, empty, tmp_pat
         record_files.read_records(index, folder).collect()
 
 
+def test_record_files_cut_rows_that_share_an_id(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(900)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        index = record_files.write_records(docs, f"{tmp_path}/even", BYTE, 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = sorted(Counter(r.shard for r in index).values())
+    assert sum(sizes) == 900 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert len({r.shard for r in index if r.doc_id is None}) > 1
+    ids = [r.doc_id or 0 for r in sorted(index, key=lambda r: (r.shard, r.offset))]
+    assert ids == sorted(ids)
+
+
 def test_base_counts(spark, documents, awkward):
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     for table in (documents, awkward):
