@@ -72,11 +72,14 @@ def _edges(corners: Column, ring: Column, shift: Column) -> Column:
 def polygons(geometry: DataFrame) -> DataFrame:
     """One row per polygon with usable rings: digests of its geometry, ``_polygon``, ``_rings``.
 
+    ``_polygon`` is a number of its own for every row, so that equal geometries
+    stay apart; it is fixed once the rows are stored.
     A generator instead of a filter, which the optimizer would push down and
     with it compute the geometry again for every mention.
     """
     good = F.when(geometry_problem(F.col("geometry")).isNull(), F.col("geometry"))
-    return geometry.select(*digests(F.col("geometry")), F.posexplode(good).alias("_polygon", "_rings"))
+    rows = geometry.select(*digests(F.col("geometry")), F.explode(good).alias("_rings"))
+    return rows.withColumn("_polygon", F.monotonically_increasing_id())
 
 
 def with_edges(found: DataFrame) -> DataFrame:

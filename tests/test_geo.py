@@ -200,6 +200,19 @@ def test_shapes_by_name(shapes, small):
     }
 
 
+@pytest.mark.parametrize("small", [0, 16])
+def test_equal_geometries_are_judged_alone(spark, small):
+    """Two and three areas with the same holed polygon: the hole of each lies in its own shell."""
+    inside, outside = [[box(0.0, 0.0, 4.0), box(1.0, 1.0, 1.0)]], [[box(0.0, 0.0, 1.0), box(0.0, -2.0, 0.5)]]
+    kinds = [inside, inside, outside, outside, outside, [*inside, *inside], [*inside, *inside]]
+    frame = spark.createDataFrame(list(enumerate(kinds)), f"mpa_id int, geometry {geo.GEOMETRY}")
+    good = [0, 1, 5, 6]
+    got = {r["mpa_id"]: r["problem"] for r in validity.checked(frame, "mpa_id", small=small).collect()}
+    assert got == {i: None if i in good else validity.OUTSIDE for i in range(len(kinds))}
+    assert sorted(r["mpa_id"] for r in geometry.polygon_area(frame).collect()) == good
+    assert sorted(r["mpa_id"] for r in geometry.polygon_centroid(frame).collect()) == good
+
+
 def test_edges_are_not_compared_with_all_others(spark):
     """A ring of 20,000 corners, half of them within a thousandth of its size: pairs that meet grow with the edges, not their square."""
     n = 20_000
