@@ -3,12 +3,13 @@
 There is one path for every key and size.  The side that may hold many rows of
 one key is always one that adaptive execution can split (the left one of left,
 semi and anti joins, either one of an inner join) or is cut into pieces.  Which side is broadcast is
-left to the optimizer, which knows the sizes.
+left to the optimizer, which knows the sizes.  Where the right side is different ids alone, a task holds its
+share of these and lets the left rows pass: sorted, half of them on one key would fill its memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Pieces for each shuffle partition that a hot key is cut into; several, so that chance deals them out evenly.
 PIECES = 8
@@ -23,6 +24,11 @@ def _joined(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
     return left.join(renamed, left[on].eqNullSafe(renamed["_r_key"]), how).drop("_r_key")
 
 
+def _different(ids: DataFrame, on: str, **marks: Column) -> DataFrame:
+    """The different ids, with constant ``marks``, to be held in a hash table by the task that joins them."""
+    return ids.select(on).distinct().withColumns(marks).hint("shuffle_hash")
+
+
 def left_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """All left rows, of which a key may have many, with their matches."""
     return _joined(left, right, on, "left")
@@ -30,12 +36,12 @@ def left_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 def semi_join(left: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Left rows whose key occurs in ``ids``; a NULL key matches a NULL id."""
-    return _joined(left, ids.select(on).distinct(), on, "left_semi")
+    return _joined(left, _different(ids, on), on, "left_semi")
 
 
 def anti_join(left: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Left rows whose key does not occur in ``ids``; NULL keys stay unless NULL is an id."""
-    return _joined(left, ids.select(on).distinct(), on, "left_anti")
+    return _joined(left, _different(ids, on), on, "left_anti")
 
 
 def inner_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -65,7 +71,7 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 def mark_member(left: DataFrame, ids: DataFrame, on: str, name: str) -> DataFrame:
     """Left rows with a true/false column: does the key occur in ``ids``?"""
-    marked = left_join(left, ids.select(on).distinct().withColumn(name, F.lit(True)), on)
+    marked = left_join(left, _different(ids, on, **{name: F.lit(True)}), on)
     return marked.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 

@@ -119,6 +119,22 @@ def test_hot_side_is_split(spark):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def test_members_are_not_sorted(spark):
+    """Half of the rows on one key: the join with different ids holds the ids, not the rows, in memory."""
+    many = spark.range(20_000).selectExpr("nullif(id % 2 * id, 0) AS k", "id AS a")
+    few = spark.range(3000).selectExpr("nullif(id, 3) AS k")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frames = [joins.semi_join(many, few, "k"), joins.anti_join(many, few, "k"), joins.mark_member(many, few, "k", "m").where("m")]
+        assert [f.count() for f in frames] == [11_499, 8501, 11_499]
+        for frame in frames:
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "Sort" not in plan and "ShuffledHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_lookup_join_spreads_hot_keys(spark):
     """Half of the rows on one key, a quarter without: no task joins twice the mean, whichever side is unique; one plan reads each side."""
     settings = {
