@@ -73,18 +73,22 @@ class DerivedTables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _partitioned(self, name: str, key: str) -> DataFrame:
-        """A table partitioned by its later id while its rows are still narrow.
+    def _partitioned(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows partitioned by their later id while they are still narrow.
 
-        The rows grow manyfold afterwards, and answers of a plan then need no second shuffle.
+        They grow manyfold afterwards, and answers of a plan then need no second shuffle.
         """
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return self.table(name).repartition(partitions, key)
+        return rows.repartition(partitions, key)
 
     @_once
     def answers(self) -> DataFrame:
         """plan_id, name, type, q_id, q_num, entry: both record types of every plan."""
-        customers = self._partitioned("customer", "c_custkey").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        return self._answers(self._partitioned(self.table("customer"), "c_custkey"))
+
+    def _answers(self, plans: DataFrame, *kept: str) -> DataFrame:
+        """The answers of ``plans``, rows of ``customer``, and the columns ``kept`` of these."""
+        customers = plans.join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         number = F.explode(F.sequence(F.lit(FIRST_ANSWER), F.lit(N_QUESTIONS))).alias("q_num")
         kind = F.explode(F.array(F.lit("stat"), F.lit("detail"))).alias("type")
         rows = customers.select("*", number).select("*", kind)
@@ -98,6 +102,7 @@ class DerivedTables:
             F.concat(F.lit("Q_"), F.col("q_num")).alias("q_id"),
             "q_num",
             F.when(F.col("type") == "stat", stat).when(stat.isin("1", "0.5", "Planned"), text).alias("entry"),
+            *kept,
         )
 
     @_once
@@ -106,24 +111,27 @@ class DerivedTables:
 
     @_once
     def sheets(self) -> DataFrame:
-        """Questionnaire sheets: 83 rows and two columns per plan, 20 plans to a sheet."""
-        answers = self.answers().select("plan_id", "name", "type", "q_num", "entry")
-        first = answers.where(F.col("q_num") == FIRST_ANSWER)
-        heads = first.select(
+        """Questionnaire sheets: 83 rows and two columns per plan, 20 plans to a sheet.
+
+        The plans of a sheet lie together from the start, so their cells are not shuffled.
+        """
+        sheet = F.floor(F.col("c_custkey") / PLANS_PER_SHEET).alias("sheet_id")
+        rows = self._answers(self._partitioned(self.table("customer").select("*", sheet), "sheet_id"), "sheet_id")
+        # both heading rows come with the first answer, so that a plan's rows are made in one place
+        entry, kind = F.col("entry"), F.col("type")
+        cells = rows.select(
+            "sheet_id",
             "plan_id",
             "type",
             F.inline(
-                F.array(
-                    F.struct(F.lit(1).alias("q_num"), F.col("name").alias("entry")),
-                    F.struct(F.lit(2).alias("q_num"), F.col("type").alias("entry")),
-                )
+                F.when(
+                    F.col("q_num") == FIRST_ANSWER,
+                    F.array(*[F.struct(n.alias("q_num"), v.alias("entry")) for n, v in [(F.lit(1), F.col("name")), (F.lit(2), kind), (F.col("q_num"), entry)]]),
+                ).otherwise(F.array(F.struct("q_num", "entry")))
             ),
         )
-        cells = answers.select("plan_id", "type", "q_num", "entry").unionByName(heads)
-        at = F.col("plan_id") % PLANS_PER_SHEET * 2 + F.when(F.col("type") == "stat", 0).otherwise(1)
-        located = cells.select(
-            F.floor(F.col("plan_id") / PLANS_PER_SHEET).alias("sheet_id"), "q_num", at.alias("_at"), "entry"
-        )
+        at = F.col("plan_id") % PLANS_PER_SHEET * 2 + F.when(kind == "stat", 0).otherwise(1)
+        located = cells.select("sheet_id", "q_num", at.alias("_at"), "entry")
         columns = [cell_max(F.col("entry"), F.col("_at") == i).alias(f"p{i + 1}") for i in range(2 * PLANS_PER_SHEET)]
         key = question_key(self.spark).select("q_num", F.col("q_code").alias("code"), F.col("q_long").alias("plan-id"))
         wide = located.groupBy("sheet_id", "q_num").agg(*columns)
@@ -218,7 +226,7 @@ class DerivedTables:
             geometry = geometry.when(kind == remainder, F.array(F.array(ring)))
         # As a generator's output the geometry is made once, as if read, however often later expressions mention it.
         made = F.explode(F.array(geometry.otherwise(good))).alias("geometry")
-        return self._partitioned("part", "p_partkey").select(key.alias("mpa_id"), made)
+        return self._partitioned(self.table("part"), "p_partkey").select(key.alias("mpa_id"), made)
 
     @_once
     def names(self) -> DataFrame:

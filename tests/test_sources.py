@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from planlens.operators import inclusion, indicators
+from planlens.operators import inclusion, indicators, reshape
 from planlens.session import materialise, new_shared_path
 from planlens.sources import tables
 from planlens.sources.derived import DerivedTables
@@ -86,3 +86,12 @@ def test_a_review_stored_by_plan_needs_no_shuffle_by_plan(spark):
         assert "hashpartitioning(plan_id" in build(plain)._jdf.queryExecution().executedPlan().toString()
         assert Counter(map(tuple, build(stored).collect())) == Counter(map(tuple, build(review).collect()))
     assert Counter(map(tuple, stored.collect())) == Counter(map(tuple, review.collect()))
+
+
+def test_cells_of_sheets_are_not_shuffled(spark):
+    """The plans of a sheet lie together: only they, and no answers or cells, pass an exchange by key."""
+    long = reshape.sheet_long(DerivedTables(spark, "/root/testdata/sf0.001").sheets(), "sheet_id")
+    assert long.count() == 150 * 2 * 81
+    plan = long._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert moved and all("REPARTITION_BY_NUM" in line for line in moved)
