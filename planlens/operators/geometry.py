@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from planlens.functions.geo import area_m2, centroid, geometry_problem, m2_to_km2
+from planlens.functions.geo import area_m2, centroid, m2_to_km2
 from planlens.functions.levels import level_rank
 from planlens.functions.nulls import first_match, strict_sum
 from planlens.operators.joins import inner_join, left_join, semi_join
@@ -40,7 +40,7 @@ def area_geometry(geometry: DataFrame, areas: DataFrame) -> DataFrame:
 
 def _measured(geometry: DataFrame, measure: Column) -> DataFrame:
     """mpa_id and ``_m`` of the usable geometries, measured where they are read."""
-    safe = F.when(geometry_problem(F.col("geometry")).isNull(), measure).alias("_m")
+    safe = F.when(F.col("_rings").isNull(), measure).alias("_m")
     return checked(geometry, "mpa_id", safe).where(F.col("problem").isNull())
 
 

@@ -25,7 +25,7 @@ _REASONS = [CROSSES, OUTSIDE]
 UNITS = 1e9
 #: Polygons with so many edges at most are tested without a join.
 SMALL = 16
-_POLYGON = ["_g1", "_g2", "_polygon"]
+_POLYGON = ["_row", "_polygon"]
 
 
 def _turns(ring: Column) -> Column:
@@ -37,7 +37,7 @@ def _turns(ring: Column) -> Column:
 
 def unrolled(ring: Column) -> Column:
     """Corners ``struct<x,y>`` in whole units along a ring, without repetitions one after another."""
-    whole = lambda degrees: F.round(degrees * UNITS).cast("bigint")
+    whole = lambda degrees: F.rint(degrees * UNITS).cast("bigint")
 
     def point(p: Column, i: Column, turns: Column) -> Column:
         rounds = F.aggregate(F.filter(turns, lambda t: t["i"] <= i), F.lit(0), lambda n, t: n + t["turn"])
@@ -69,21 +69,24 @@ def _edges(corners: Column, ring: Column, shift: Column) -> Column:
     )
 
 
-def polygons(geometry: DataFrame) -> DataFrame:
-    """One row per polygon with usable rings: digests of its geometry, ``_polygon``, ``_rings``.
+def laid_out(geometry: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` of each geometry, ``_rings``, why its rings are not usable, ``_shapes``, its polygons' edges, and ``_row``, its number.
 
-    ``_polygon`` is a number of its own for every row, so that equal geometries
-    stay apart; it is fixed once the rows are stored.
-    A generator instead of a filter, which the optimizer would push down and
-    with it compute the geometry again for every mention.
+    Stored, so that geometries are read and measured once, whatever follows, and
+    equal ones keep numbers of their own.  ``columns`` may use ``_rings``.
+    Generators instead of projections, which the optimizer would fold into later
+    filters and with it compute the columns again for every mention.
     """
-    good = F.when(geometry_problem(F.col("geometry")).isNull(), F.col("geometry"))
-    rows = geometry.select(*digests(F.col("geometry")), F.explode(good).alias("_rings"))
-    return rows.withColumn("_polygon", F.monotonically_increasing_id())
+    judged = geometry.select("*", F.explode(F.array(geometry_problem(F.col("geometry")))).alias("_rings"))
+    shapes = F.transform(F.when(F.col("_rings").isNull(), F.col("geometry")), _laid_polygon)
+    every = [F.col(f"`{c}`") for c in geometry.columns]
+    chosen = [x for c in columns for x in (every if isinstance(c, str) and c == "*" else [c])]
+    rows = judged.select(F.inline(F.array(F.struct(*chosen, "_rings", shapes.alias("_shapes")))))
+    return materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
 
 
-def with_edges(found: DataFrame) -> DataFrame:
-    """``_edges`` of all rings of a polygon, and ``_closed``: does the shell's unrolled course end where it began?
+def _laid_polygon(rings: Column) -> Column:
+    """``edges`` of all rings of a polygon, and ``closed``: does the shell's unrolled course end where it began?
 
     Holes are moved by whole turns next to the middle of the shell.  A shell
     that does not close winds round a pole.
@@ -100,19 +103,13 @@ def with_edges(found: DataFrame) -> DataFrame:
 
         return _with(F.get(rings, F.lit(0)), laid)
 
-    rows = found.select(*_POLYGON, _with(F.transform("_rings", unrolled), made).alias("_made"))
-    return rows.select(*_POLYGON, F.col("_made.edges").alias("_edges"), F.col("_made.closed").alias("_closed"))
-
-
-def digests(geometry: Column) -> list[Column]:
-    """128 bits that stand for a geometry."""
-    return [F.xxhash64(geometry).alias("_g1"), F.xxhash64(F.lit(1), geometry).alias("_g2")]
+    return _with(F.transform(rings, unrolled), made)
 
 
 def _side(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> str:
     """1, 0, -1: the point lies left of, on or right of the line from a to b.
 
-    Doubles decide where their rounding can't matter, whole numbers of 38 digits where it can.
+    Doubles decide where their rounding can't matter, as of products that are both zero, whole numbers of 38 digits where it can.
     """
     def products(kind: str) -> tuple[str, str]:
         one, other = f"CAST({bx} - {ax} AS {kind}) * CAST({py} - {ay} AS {kind})", f"CAST({by} - {ay} AS {kind}) * CAST({px} - {ax} AS {kind})"
@@ -120,7 +117,7 @@ def _side(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> str:
 
     one, other = products("double")
     exact, less = products("decimal(15,0)")
-    sure = f"abs(({one}) - ({other})) > 1e-15D * (abs({one}) + abs({other}))"
+    sure = f"abs(({one}) - ({other})) >= 1e-15D * (abs({one}) + abs({other}))"
     return f"CAST(CASE WHEN {sure} THEN signum(({one}) - ({other})) ELSE signum(({exact}) - ({less})) END AS int)"
 
 
@@ -139,7 +136,7 @@ def _pair_problem(pairs: DataFrame) -> DataFrame:
     fold back; edges of different rings may touch but not cross.
     """
     kind = "CASE WHEN _a.ring <> _b.ring THEN 2 WHEN abs(_a.at - _b.at) IN (1, _a.n - 1) THEN 0 ELSE 1 END AS _kind"
-    flat = pairs.selectExpr("_g1", "_g2", kind, *[f"_{e}.{c} AS {e}{c}" for e in "ab" for c in _CORNERS])
+    flat = pairs.selectExpr("_row", kind, *[f"_{e}.{c} AS {e}{c}" for e in "ab" for c in _CORNERS])
     ends = [("ax1", "ay1", "ax2", "ay2", p, q) for p, q in (("bx1", "by1"), ("bx2", "by2"))]
     ends += [("bx1", "by1", "bx2", "by2", p, q) for p, q in (("ax1", "ay1"), ("ax2", "ay2"))]
     sides = flat.selectExpr("*", "bx1 = ax2 AND by1 = ay2 AS _next", *[f"{_side(*e)} AS _o{k}" for k, e in enumerate(ends)])
@@ -148,7 +145,7 @@ def _pair_problem(pairs: DataFrame) -> DataFrame:
     fold = f"IF(_next, _o1, _o0) = 0 AND {' AND '.join(away)}"
     wrong = f"""CASE _kind WHEN 0 THEN CAST({fold} AS int) WHEN 1 THEN CAST(_o0 * _o1 <= 0 AND _o2 * _o3 <= 0 AS int)
         ELSE 2 * CAST(_o0 * _o1 < 0 AND _o2 * _o3 < 0 AS int) END AS _wrong"""
-    return sides.selectExpr("_g1", "_g2", wrong)
+    return sides.selectExpr("_row", wrong)
 
 
 #: Does the ray from a corner ``_x, _y`` to the east cross the edge ``_s``, and does the corner lie on it?  ``_side`` is the corner's.
@@ -160,14 +157,14 @@ _HOLE_CORNER = ["_ring", "_corner", "_x", "_y"]
 def _holes_outside(looked: DataFrame) -> DataFrame:
     """``_wrong`` of hole corners beside the shell's edges ``_s`` that lie at their height, if any: 2 where a corner is outside."""
     sided = looked.selectExpr(*_POLYGON, *_HOLE_CORNER, "_s", f"{_side('_s.x1', '_s.y1', '_s.x2', '_s.y2', '_x', '_y')} AS _side")
-    per_corner = sided.groupBy(*_POLYGON, *_HOLE_CORNER).agg(F.count_if(F.expr(_RAY)).alias("_n"), F.count_if(F.expr(_ON)).alias("_on"))
-    return per_corner.selectExpr("_g1", "_g2", "2 * CAST(_n % 2 = 0 AND _on = 0 AS int) AS _wrong")
+    per_corner = sided.groupBy(*_POLYGON, "_ring", "_corner").agg(F.count_if(F.expr(_RAY)).alias("_n"), F.count_if(F.expr(_ON)).alias("_on"))
+    return per_corner.selectExpr("_row", "2 * CAST(_n % 2 = 0 AND _on = 0 AS int) AS _wrong")
 
 
 def _small(found: DataFrame) -> DataFrame:
     """Problems of polygons with few edges: their pairs are rows of the task that reads the polygon."""
-    first = found.select("_g1", "_g2", "_edges", F.posexplode("_edges").alias("_at", "_a"))
-    pairs = first.select("_g1", "_g2", "_a", F.explode(F.slice("_edges", F.col("_at") + 2, F.size("_edges"))).alias("_b"))
+    first = found.select("_row", "_edges", F.posexplode("_edges").alias("_at", "_a"))
+    pairs = first.select("_row", "_a", F.explode(F.slice("_edges", F.col("_at") + 2, F.size("_edges"))).alias("_b"))
     shell, holes = F.filter("_edges", lambda e: e["ring"] == 0), F.filter("_edges", lambda e: e["ring"] > 0)
     corners = found.where("_closed").select(*_POLYGON, shell.alias("_shell"), F.explode(holes).alias("_e"))
     looked = corners.selectExpr(*_POLYGON, *_AT_CORNER, "explode(_shell) AS _s")
@@ -202,7 +199,7 @@ def _large(found: DataFrame) -> DataFrame:
     # of two edges of one level each looks up the other
     once = (size(F.col("_a")) < F.col("_level")) | F.expr("struct(_a.ring, _a.at) < struct(_b.ring, _b.at)")
     met = probes.join(residents, [*_POLYGON, "_level", "_cx", "_cy"]).where(once).where(_MEET)
-    ordered = met.selectExpr("_g1", "_g2", "least(_a, _b) AS _a", "greatest(_a, _b) AS _b")
+    ordered = met.selectExpr("_row", "least(_a, _b) AS _a", "greatest(_a, _b) AS _b")
 
     shell = rows.where("_closed and _e.ring = 0").withColumn("_level", height(e))
     strips = shell.withColumn("_cy", F.explode(F.expr("sequence(shiftright(least(_e.y1, _e.y2), _level), shiftright(greatest(_e.y1, _e.y2), _level))")))
@@ -212,26 +209,28 @@ def _large(found: DataFrame) -> DataFrame:
     return _pair_problem(ordered).unionByName(_holes_outside(looked))
 
 
-def shape_problems(geometry: DataFrame, small: int = SMALL) -> DataFrame:
-    """``_g1, _g2, _wrong`` of the different geometries with usable rings that cross themselves or have a hole outside.
-
-    Six branches read the edges, so they are stored once.
-    """
-    found = materialise(with_edges(polygons(geometry)))
+def _worst(stored: DataFrame, small: int) -> DataFrame:
+    """``_row, _wrong`` of the rows of ``laid_out`` that cross themselves or have a hole outside."""
+    found = stored.select("_row", F.posexplode("_shapes").alias("_polygon", "_shape"))
+    found = found.select(*_POLYGON, F.col("_shape.edges").alias("_edges"), F.col("_shape.closed").alias("_closed"))
     few = F.size("_edges") <= small
     both = _small(found.where(few)).unionByName(_large(found.where(~few)))
-    worst = both.groupBy("_g1", "_g2").agg(F.min(F.nullif("_wrong", F.lit(0))).alias("_wrong")).where("_wrong is not null")
+    worst = both.groupBy("_row").agg(F.min(F.nullif("_wrong", F.lit(0))).alias("_wrong")).where("_wrong is not null")
     return worst.withColumn("_wrong", F.element_at(F.array(*map(F.lit, _REASONS)), F.col("_wrong")))
 
 
+def shape_problems(geometry: DataFrame, small: int = SMALL) -> DataFrame:
+    """Number and ``_wrong`` of the geometries with usable rings that cross themselves or have a hole outside."""
+    return _worst(laid_out(geometry, F.lit(True).alias("_read")), small)
+
+
 def checked(geometry: DataFrame, *columns: Column | str, small: int = SMALL) -> DataFrame:
     """``columns`` of each geometry, NULL where its rings are not usable, and ``problem``, NULL for a good geometry.
 
-    Columns are computed where the polygons are read; only their results and
-    digests meet the problems.
+    Columns are computed where the polygons are read, which is once; only they
+    and a number meet the problems.
     """
-    rings = geometry_problem(F.col("geometry"))
-    rows = geometry.select(*columns, rings.alias("_rings"), *digests(F.col("geometry")))
-    wrong = shape_problems(geometry, small).withColumnsRenamed({"_g1": "_w1", "_g2": "_w2"})
-    joined = rows.join(wrong, (F.col("_g1") == F.col("_w1")) & (F.col("_g2") == F.col("_w2")), "left")
-    return joined.withColumn("problem", F.coalesce("_rings", "_wrong")).drop("_rings", "_wrong", "_g1", "_g2", "_w1", "_w2")
+    stored = laid_out(geometry, *columns)
+    wrong = _worst(stored, small).withColumnRenamed("_row", "_w")
+    joined = stored.drop("_shapes").join(wrong, F.col("_row") == F.col("_w"), "left")
+    return joined.withColumn("problem", F.coalesce("_rings", "_wrong")).drop("_rings", "_wrong", "_row", "_w")

@@ -213,6 +213,13 @@ def test_equal_geometries_are_judged_alone(spark, small):
     assert sorted(r["mpa_id"] for r in geometry.polygon_centroid(frame).collect()) == good
 
 
+def test_measures_are_computed_once(shapes):
+    """A filter on the centroid reads the stored one: the plan has no polygon expression left."""
+    points = geometry.polygon_centroid(shapes(a=[[box(0.0, 0.0, 2.0)]], b=[[box(10.0, 0.0, 1.0)]])).where("X BETWEEN 0 AND 5 AND Y > 0")
+    assert [tuple(r) for r in points.collect()] == [("a", 1.0, 1.0)]
+    assert "zip_with" not in points._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_edges_are_not_compared_with_all_others(spark):
     """A ring of 20,000 corners, half of them within a thousandth of its size: pairs that meet grow with the edges, not their square."""
     n = 20_000
